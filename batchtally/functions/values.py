@@ -45,8 +45,8 @@ def floor_to_history(ts: Column | str) -> Column:
 
 def try_number(text: Column | str) -> Column:
     """Double value of ``text``; NULL for clock-like (``:``) or bad text."""
-    t = _c(text)
-    return F.when(~t.contains(":"), F.trim(t).try_cast("double"))
+    t = F.trim(_c(text))
+    return F.when(~t.contains(":") & ~t.rlike("[0-9.][dDfF]$"), t.try_cast("double"))
 
 
 def is_clock_text(text: Column | str) -> Column:
