@@ -46,7 +46,8 @@ def floor_to_history(ts: Column | str) -> Column:
 def try_number(text: Column | str) -> Column:
     """Double value of ``text``; NULL for clock-like (``:``) or bad text."""
     t = F.trim(_c(text))
-    return F.when(~t.contains(":") & ~t.rlike("[0-9.][dDfF]$"), t.try_cast("double"))
+    java_suffix = F.right(t, F.lit(1)).isin("d", "D", "f", "F") & t.rlike("[0-9.][dDfF]$")
+    return F.when(~t.contains(":") & ~java_suffix, t.try_cast("double"))
 
 
 def is_clock_text(text: Column | str) -> Column:

@@ -6,6 +6,8 @@ shuffle is needed until results of different logs meet.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ MESSAGE_LENGTH = 300
 SUBMIT_MARK = "Success"
 NAME_LINE = "Task name"
 NAME_MARK = "Task name:"
+BLANKS = " \t\n\x0b\f\r"
 HOST_MARK = "Host:"
 
 
@@ -32,16 +35,26 @@ def _c(x: Column | str) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop white space of any ASCII kind at both ends."""
-    return F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def lines_of(body: Column | str) -> Column:
     return F.split(_c(body), "\n")
 
 
-def section_lines(body: Column | str, section: str) -> Column:
-    """Lines of the body inside ``section``; the begin line is inside, the end line is not."""
-    lines = lines_of(body)
+def _once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add computed columns behind a generator.
+
+    A filter on them is then not pushed below, which would run the parse twice.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
+def section_lines(logs: DataFrame, section: str, keep: Sequence[str], body: str = "body") -> DataFrame:
+    """``keep`` and ``_lines``: the lines inside ``section``.
+
+    The begin line is inside, the end line is not. A section may occur several times.
+    """
     order = [(s, b) for s in SECTIONS for b in (True, False)]
 
     def mark(line: Column) -> Column:
@@ -52,105 +65,93 @@ def section_lines(body: Column | str, section: str) -> Column:
             kind = F.when(hit, value) if kind is None else kind.when(hit, value)
         return kind
 
-    marked = F.transform(lines, lambda line, i: F.struct(i.alias("at"), mark(line).alias("begins")))
-    marks = F.filter(marked, lambda m: m["begins"].isNotNull())
+    whole = _once(logs.select(*keep, body), _all=lines_of(body)).drop(body)
+    marked = F.transform("_all", lambda line, i: F.struct(i.alias("at"), mark(line).alias("begins")))
+    found = _once(whole, _marks=F.filter(marked, lambda m: m["begins"].isNotNull()))
     spans = F.transform(
-        marks,
-        lambda m, j: F.struct(
-            m["begins"].alias("begins"),
-            m["at"].alias("lo"),
-            F.coalesce(F.try_element_at(marks, j + 2)["at"], F.size(lines)).alias("hi"),
-        ),
+        "_marks",
+        lambda m, j: F.when(
+            m["begins"],
+            F.slice("_all", m["at"] + 1, F.coalesce(F.try_element_at("_marks", j + 2)["at"], F.size("_all")) - m["at"]),
+        ).otherwise(F.slice("_all", 1, 0)),
     )
-    inside = F.filter(spans, lambda s: s["begins"])
-    return F.flatten(F.transform(inside, lambda s: F.slice(lines, s["lo"] + 1, s["hi"] - s["lo"])))
+    return _once(found, _lines=F.flatten(spans)).select(*keep, "_lines")
 
 
 def header_args(logs: DataFrame, *, log: str = "log", body: str = "body") -> DataFrame:
     """``key: value`` lines of the header section; a later line of the same key wins."""
-    found = logs.select(log, F.posexplode(section_lines(body, "header")).alias("line_no", "line")).filter(
-        F.col("line").contains(":")
-    )
+    found = section_lines(logs, "header", [log], body).select(log, F.posexplode("_lines").alias("line_no", "line"))
     head = F.substring_index("line", ":", 1)
     tail = F.expr("substring(line, locate(':', line) + 1)")
-    pairs = found.select(log, "line_no", strip(head).alias("key"), strip(tail).alias("val"))
+    pairs = found.filter(F.col("line").contains(":")).select(log, "line_no", strip(head).alias("key"), strip(tail).alias("val"))
     return pairs.groupBy(log, "key").agg(F.max_by("val", "line_no").alias("val"))
 
 
-def _table(logs: DataFrame, lines: Column, keep: list[str]) -> DataFrame:
-    """Add ``_cols`` (header names) and ``_rows`` (split data lines) of the telemetry table."""
-    with_lines = logs.select(*keep, lines.alias("_lines"))
+def _table(logs: DataFrame, keep: Sequence[str], body: str) -> DataFrame:
+    """``keep``, header names ``_cols``, split data lines ``_rows``, and ``_keep``.
+
+    ``_keep`` holds the 1-based positions of the columns that count: repeated
+    names keep their first column, columns beyond the shortest row go.
+    """
     heads = F.transform("_lines", lambda x: x.startswith(TELEMETRY_HEAD))
-    placed = with_lines.withColumn("_head", F.array_position(heads, F.lit(True)))
+    lines = section_lines(logs, "dstat", keep, body)
+    placed = _once(lines, _head=F.array_position(heads, F.lit(True)).cast("int")).filter("_head > 0")
     names = F.transform(
-        F.split(strip(F.try_element_at("_lines", F.col("_head").cast("int"))), ","),
-        lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))),
+        F.split(strip(F.try_element_at("_lines", F.col("_head"))), ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))
     )
-    after = F.slice("_lines", (F.col("_head") + 1).cast("int"), F.size("_lines"))
+    after = F.slice("_lines", F.col("_head") + 1, F.size("_lines"))
     rows = F.transform(F.filter(after, lambda x: x.contains(",")), lambda x: F.split(strip(x), ","))
-    return placed.filter("_head > 0").select(*keep, names.alias("_cols"), rows.alias("_rows"))
-
-
-def _kept_columns(logs: DataFrame, log: str, body: str) -> DataFrame:
-    """Add ``_keep``: 1-based positions of the columns that count.
-
-    Repeated names keep their first column; columns beyond the shortest row go.
-    """
-    table = _table(logs, section_lines(body, "dstat"), [log])
+    parsed = _once(placed, _cols=names, _rows=rows).filter(F.size("_rows") > 0)
     width = F.least(F.size("_cols"), F.array_min(F.transform("_rows", lambda r: F.size(r))))
-    return table.filter(F.size("_rows") > 0).withColumn(
-        "_keep",
-        F.filter(
-            F.sequence(F.lit(1), width),
-            lambda p: F.array_position("_cols", F.element_at("_cols", p)) == p,
-        ),
-    )
+    first_of_name = lambda p: F.array_position("_cols", F.element_at("_cols", p)) == p
+    return _once(parsed, _keep=F.filter(F.sequence(F.lit(1), width), first_of_name)).drop("_lines", "_head")
 
 
-def telemetry(logs: DataFrame, *, log: str = "log", body: str = "body") -> DataFrame:
-    """Long telemetry: one row per (log, row, metric).
+def telemetry(logs: DataFrame, *, log: str = "log", body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
+    """Long telemetry: one row per (log, row, metric), with the columns of ``keep``.
 
     ``value`` is the number, ``raw`` the text of clock-like cells, ``bad`` marks
     text that is neither. ``epoch`` and ``since_start`` repeat the row's time, so
     that time pairs need no join.
     """
-    table = _kept_columns(logs, log, body)
+    ids = [log, *keep]
     at = F.array_position("_cols", F.lit("epoch")).cast("int")
-    timed = table.withColumn("_epoch_at", F.when(F.array_contains("_keep", at), at))
-    first = F.try_element_at(F.try_element_at("_rows", F.lit(1)), F.col("_epoch_at"))
-    rows = timed.withColumn("_first", try_number(first)).select(
-        log, "_cols", "_keep", "_epoch_at", "_first", F.posexplode("_rows").alias("row_no", "_cells")
+    timed = _once(_table(logs, ids, body), _at=F.when(F.array_contains("_keep", at), at))
+    first = F.try_element_at(F.try_element_at("_rows", F.lit(1)), F.col("_at"))
+    rows = _once(timed, _first=try_number(first)).select(
+        *ids, "_cols", "_keep", "_at", "_first", F.posexplode("_rows").alias("row_no", "_cells")
     )
-    epoch = try_number(F.try_element_at("_cells", F.col("_epoch_at")))
-    cells = rows.select(
-        log,
-        "row_no",
-        epoch.alias("epoch"),
-        (epoch - F.col("_first")).alias("since_start"),
-        F.explode(
-            F.transform(
-                "_keep",
-                lambda p: F.struct(F.element_at("_cols", p).alias("metric"), F.element_at("_cells", p).alias("cell")),
-            )
-        ).alias("_x"),
-    ).select(log, "row_no", "epoch", "since_start", "_x.metric", "_x.cell")
+    epoch = try_number(F.try_element_at("_cells", F.col("_at")))
+    pairs = F.transform(
+        "_keep", lambda p: F.struct(F.element_at("_cols", p).alias("metric"), F.element_at("_cells", p).alias("cell"))
+    )
+    cells = rows.select(*ids, "row_no", "_first", epoch.alias("epoch"), F.inline(pairs))
     value, clock = try_number("cell"), is_clock_text("cell")
     return cells.select(
-        log, "row_no", "epoch", "since_start", "metric",
-        value.alias("value"), F.when(clock, F.col("cell")).alias("raw"), (value.isNull() & ~clock).alias("bad"),
+        *ids,
+        "row_no",
+        "epoch",
+        (F.col("epoch") - F.col("_first")).alias("since_start"),
+        "metric",
+        value.alias("value"),
+        F.when(clock, F.col("cell")).alias("raw"),
+        (value.isNull() & ~clock).alias("bad"),
     )
 
 
 def telemetry_columns(logs: DataFrame, *, log: str = "log", body: str = "body") -> DataFrame:
     """Telemetry transposed inside each log: one row per (log, metric) with the cells in row order."""
-    table = _kept_columns(logs, log, body)
     columns = F.transform(
         "_keep",
         lambda p: F.struct(
             F.element_at("_cols", p).alias("metric"), F.transform("_rows", lambda r: F.element_at(r, p)).alias("cells")
         ),
     )
-    return table.select(log, F.explode(columns).alias("_x")).select(log, "_x.metric", "_x.cells")
+    return _table(logs, [log], body).select(log, F.inline(columns))
+
+
+def _is_legacy_head(line: Column) -> Column:
+    return F.substring_index(line, ",", 1).contains("usr") & ~line.contains(HOST_MARK)
 
 
 def telemetry_legacy(logs: DataFrame, *, log: str = "log", body: str = "body") -> DataFrame:
@@ -160,28 +161,19 @@ def telemetry_legacy(logs: DataFrame, *, log: str = "log", body: str = "body") -
     names share one list in cell order; rows are lines without lowercase letters;
     cells with a blank are skipped.
     """
-    outs = logs.filter(F.col(log).endswith(".out"))
-    lines = lines_of(body)
-    with_lines = outs.select(log, lines.alias("_lines"), legacy_host(body).alias("host"))
-    is_head = lambda x: F.substring_index(x, ",", 1).contains("usr") & ~x.contains(HOST_MARK)
-    placed = with_lines.withColumn("_head", F.array_position(F.transform("_lines", is_head), F.lit(True)))
-    names = F.transform(
-        F.split(F.try_element_at("_lines", F.col("_head").cast("int")), ","), lambda x: F.try_element_at(F.split(x, '"'), F.lit(2))
-    )
-    after = F.slice("_lines", (F.col("_head") + 1).cast("int"), F.size("_lines"))
+    outs = logs.filter(F.col(log).endswith(".out")).select(log, legacy_host(body).alias("host"), lines_of(body).alias("_lines"))
+    heads = F.transform("_lines", _is_legacy_head)
+    placed = _once(outs, _head=F.array_position(heads, F.lit(True)).cast("int")).filter("_head > 0")
+    quoted = lambda x: F.try_element_at(F.split(x, '"'), F.lit(2))
+    names = F.transform(F.split(F.try_element_at("_lines", F.col("_head")), ","), quoted)
+    after = F.slice("_lines", F.col("_head") + 1, F.size("_lines"))
     rows = F.filter(after, lambda x: (x != "") & ~x.contains(HOST_MARK) & ~x.rlike("[a-z]"))
-    table = placed.filter("_head > 0").select(log, "host", names.alias("_cols"), rows.alias("_rows"))
     used = F.lit("used")
-    renamed = table.withColumn(
-        "_cols",
-        F.transform(
-            "_cols",
-            lambda x, i: F.when(
-                x == used, F.when(F.array_position("_cols", used) == i + 1, F.lit("used_mem")).otherwise(F.lit("used_swp"))
-            ).otherwise(x),
-        ),
-    )
-    exploded = renamed.select(log, "host", "_cols", F.posexplode("_rows").alias("row_no", "_line"))
+    renamed = lambda x, i: F.when(
+        x == used, F.when(F.array_position("_names", used) == i + 1, F.lit("used_mem")).otherwise(F.lit("used_swp"))
+    ).otherwise(x)
+    table = _once(_once(placed, _names=names, _rows=rows), _cols=F.transform("_names", renamed))
+    exploded = table.select(log, "host", "_cols", F.posexplode("_rows").alias("row_no", "_line"))
     cells = exploded.select(log, "host", "row_no", "_cols", F.posexplode(F.split("_line", ",")).alias("col_no", "cell"))
     return cells.filter(~F.col("cell").contains(" ")).select(
         log, "host", "row_no", "col_no", F.try_element_at("_cols", F.col("col_no") + 1).alias("metric"), try_number("cell").alias("value")
@@ -197,9 +189,8 @@ def legacy_host(body: Column | str) -> Column:
 
 def log_validity(logs: DataFrame, *, log: str = "log", body: str = "body") -> DataFrame:
     """Valid logs name their host and hold a ``usr`` table."""
-    has_table = F.exists(lines_of(body), lambda x: F.substring_index(x, ",", 1).contains("usr") & ~x.contains(HOST_MARK))
     host = legacy_host(body)
-    return logs.select(log, host.alias("host"), (host.isNotNull() & has_table).alias("valid"))
+    return logs.select(log, host.alias("host"), (host.isNotNull() & F.exists(lines_of(body), _is_legacy_head)).alias("valid"))
 
 
 def _after_first(text: Column, mark: str) -> Column:
@@ -214,8 +205,9 @@ def error_parts(body: Column | str) -> tuple[Column, Column, Column]:
     block = F.substring_index(_after_first(b, FATAL_BEGIN), FATAL_END, 1)
     token = F.regexp_extract(_after_first(block, FATAL_CATEGORY), r"[^ \t\n\x0B\f\r]+", 0)
     category = F.replace(token, F.lit("'"), F.lit(""))
-    lines = F.split(strip(block), r"\r\n|\n|\r")
-    tail = F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), 2)
+    newline = F.lit("\n")
+    lines = F.replace(F.replace(strip(block), F.lit("\r\n"), newline), F.lit("\r"), newline)
+    tail = F.split(F.substring_index(lines, "\n", -2), "\n")
     message = F.left(F.array_join(F.transform(tail, strip), ", "), F.lit(MESSAGE_LENGTH))
     return found, category, message
 

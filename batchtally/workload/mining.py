@@ -179,8 +179,7 @@ FROM (SELECT y, lo, hi, {_bin('x', 'lo', 'hi', 12)} AS bin FROM points, (SELECT
 
 
 def panel_hists(t: Tables) -> DataFrame:
-    tel = G.telemetry(t.logs.select("log", "body")).join(t.logs.select("log", "dataset"), "log")
-    return T.panel_hists(tel, bins=50)
+    return T.panel_hists(G.telemetry(t.logs, keep=["dataset"]), bins=50)
 
 
 PANELS_SQL = with_views(

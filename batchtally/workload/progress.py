@@ -12,6 +12,7 @@ from batchtally.workload.mining import SIGNATURE_VIEW
 from batchtally.workload.tables import NOW, Tables, with_views
 from batchtally.workload.tracking import summary_rows
 
+LATER = 1_710_000_000
 MEASURES_SQL = ", ".join(M.MEASURES)
 
 
@@ -208,11 +209,11 @@ def elapsed_minutes(t: Tables) -> DataFrame:
     s = F.col("ts").cast("string")
     stamp = F.concat(*[F.substring(s, i, 2) for i in (3, 6, 9)], F.lit("_"), *[F.substring(s, i, 2) for i in (12, 15, 18)])
     named = t.events.select("event_id", F.concat(stamp, F.lit(":user")).alias("request"))
-    got = M.minutes_since_submit(named, NOW)
+    got = M.minutes_since_submit(named, LATER)
     return got.select("event_id", F.round("minutes", 4).alias("minutes"), F.round("elapsed", 4).alias("elapsed"))
 
 
-MINUTES_SQL = f"""SELECT event_id, round((({NOW} - s) % 86400) / 60e0, 4) AS minutes, round(({NOW} - s) / 60e0, 4) AS elapsed
+MINUTES_SQL = f"""SELECT event_id, round((({LATER} - s) % 86400) / 60e0, 4) AS minutes, round(({LATER} - s) / 60e0, 4) AS elapsed
 FROM (SELECT event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events)"""
 
 

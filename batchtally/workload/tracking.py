@@ -163,7 +163,7 @@ QUERIED_SQL = with_views(
 
 
 def status_names(t: Tables) -> DataFrame:
-    codes = t.orders.groupBy(F.month("o_orderdate").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    codes = t.orders.groupBy(F.month("o_orderdate").cast("bigint").alias("code")).agg(F.count(F.lit(1)).alias("n"))
     return L.with_status_name(codes)
 
 

@@ -52,9 +52,9 @@ def test_header(logs):
 def test_sections_toggle(spark):
     body = "begin header output\nk: 1\nend header output\nk: 2\nbegin header output\nk: 3\nbegin dstat output\nk: 4"
     df = spark.createDataFrame([("x", body)], "log string, body string")
-    lines = df.select(G.section_lines("body", "header").alias("l")).first().l
+    lines = G.section_lines(df, "header", ["log"]).first()._lines
     assert lines == ["begin header output", "k: 1", "begin header output", "k: 3", "begin dstat output", "k: 4"]
-    assert df.select(G.section_lines("body", "dstat").alias("l")).first().l == ["begin dstat output", "k: 4"]
+    assert G.section_lines(df, "dstat", ["log"]).first()._lines == ["begin dstat output", "k: 4"]
 
 
 def test_telemetry(logs):
