@@ -45,7 +45,12 @@ def assign_chunks(
     census: DataFrame | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Add ``chunk`` (0-based) to each file."""
+    """Add ``chunk`` (0-based) to each file, and whether the chunk is ``closed``.
+
+    Only the trailing chunk of a key is open; with a file limit it is closed when
+    exactly full. Both come out of one pass, without joining the files to
+    their chunks.
+    """
     if rule.events is not None:
         counted = files.withColumn("nevents", F.coalesce(F.col("nevents"), F.lit(0)).cast("bigint"))
         return greedy_groups(
@@ -53,27 +58,23 @@ def assign_chunks(
             census=census, max_group_rows=max_group_rows,
         )
     if rule.files is None:
-        return files.withColumn("chunk", F.lit(0).cast("bigint"))
-    placed = number_rows(files, keys, order, pos="_pos", census=census, max_group_rows=max_group_rows)
-    return placed.withColumn("chunk", F.floor((F.col("_pos") - 1) / rule.files).cast("bigint")).drop("_pos")
+        return files.withColumns({"chunk": F.lit(0).cast("bigint"), "closed": F.lit(False)})
+    placed = number_rows(files, keys, order, pos="_pos", total="_n", census=census, max_group_rows=max_group_rows)
+    chunk = F.floor((F.col("_pos") - 1) / rule.files).cast("bigint")
+    return placed.withColumns({"chunk": chunk, "closed": (chunk + 1) * rule.files <= F.col("_n")}).drop("_pos", "_n")
 
 
-def chunk_table(
-    assigned: DataFrame, rule: ChunkRule, *, flush: bool | Column = False, keys: Sequence[str] = ("dataset",)
-) -> DataFrame:
+def chunk_table(assigned: DataFrame, *, flush: bool | Column = False, keys: Sequence[str] = ("dataset",)) -> DataFrame:
     """One row per chunk: file and event totals, and whether it is emitted.
 
-    The trailing chunk is a leftover unless flushed or, with a file limit,
-    exactly full. ``flush`` may be a column of the keys.
+    An open chunk is a leftover unless flushed; ``flush`` may be a column.
     """
-    keys = list(keys)
-    chunks = assigned.groupBy(*keys, "chunk").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum(F.coalesce("nevents", F.lit(0))).cast("bigint").alias("n_events")
-    )
-    last = assigned.groupBy(*keys).agg(F.max("chunk").alias("_last"))
     flushed = flush if isinstance(flush, Column) else F.lit(flush)
-    full = F.col("n_files") == rule.files if rule.files is not None else F.lit(False)
-    return chunks.join(last, keys).withColumn("emitted", flushed | (F.col("chunk") < F.col("_last")) | full).drop("_last")
+    return assigned.groupBy(*keys, "chunk").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.sum(F.coalesce("nevents", F.lit(0))).cast("bigint").alias("n_events"),
+        F.bool_or(flushed | F.col("closed")).alias("emitted"),
+    )
 
 
 def output_name(directory: Column | str, base: str, index: Column | str) -> Column:
@@ -128,17 +129,10 @@ def extend_mapping(
     """
     files = unmapped_files(manifest, mapping, datasets).select("dataset", "seq", "name", "nevents")
     assigned = assign_chunks(files, rule, census=manifest, max_group_rows=max_group_rows)
-    flags = datasets.select("dataset", F.coalesce("open", F.lit(False)).alias("_open"), "output_dir")
-    ready = (
-        chunk_table(assigned, rule, keys=["dataset"])
-        .join(flags, "dataset")
-        .filter(F.col("emitted") | ~F.col("_open") | F.lit(flush))
-    )
     used = mapping.groupBy("dataset").agg(F.max("out_index").alias("_used"))
-    kept = ready.select("dataset", "chunk", "output_dir").join(used, "dataset", "left")
-    numbered = assigned.join(kept, ["dataset", "chunk"]).withColumn(
-        "out_index", F.coalesce("_used", F.lit(0)) + F.col("chunk") + 1
-    )
+    plan = datasets.select("dataset", F.coalesce("open", F.lit(False)).alias("_open"), "output_dir").join(used, "dataset", "left")
+    kept = assigned.join(plan, "dataset").filter(F.col("closed") | ~F.col("_open") | F.lit(flush))
+    numbered = kept.withColumn("out_index", F.coalesce("_used", F.lit(0)) + F.col("chunk") + 1)
     return _mapping_rows(numbered, F.col("output_dir"), base)
 
 
@@ -238,11 +232,10 @@ def combine_stage(
         rows = rows.join(done, "task", "left").filter(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen")))
     else:
         rows = rows.withColumn("_base", F.lit(0))
-    placed = number_rows(rows, ["task"], ["seq", "name"], census=inputs, max_group_rows=max_group_rows)
+    placed = number_rows(rows, ["task"], ["seq", "name"], total="_n", census=inputs, max_group_rows=max_group_rows)
     grouped = placed.withColumn("_g", F.floor((F.col("pos") - 1) / per_output))
     if not flush:
-        sizes = placed.groupBy("task").agg(F.max("pos").alias("_n"))
-        grouped = grouped.join(sizes, "task").filter((F.col("_g") + 1) * per_output <= F.col("_n"))
+        grouped = grouped.filter((F.col("_g") + 1) * per_output <= F.col("_n"))
     index = (F.coalesce("_base", F.lit(0)) + F.col("_g")).cast("bigint")
     return grouped.select(
         "task", index.alias("out_index"), F.format_string(pattern, index).alias("out_name"), "name", "seq"

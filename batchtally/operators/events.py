@@ -144,13 +144,9 @@ def event_ranges_of(
     The range join is an equation: range = floor((position - 1) / per) + 1. The
     remainder after the last full range is dropped.
     """
-    placed = number_rows(events, keys, order, max_group_rows=max_group_rows)
+    placed = number_rows(events, keys, order, total="_n", max_group_rows=max_group_rows)
     ranged = placed.withColumn("range_no", (F.floor((F.col("pos") - 1) / per) + 1).cast("bigint"))
-    if keys:
-        full = events.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / per).alias("_full"))
-        return ranged.join(full, list(keys)).filter(F.col("range_no") <= F.col("_full")).drop("_full")
-    full = events.agg(F.floor(F.count(F.lit(1)) / per).alias("_full"))
-    return ranged.filter(F.col("range_no") <= full.scalar())
+    return ranged.filter(F.col("range_no") * per <= F.col("_n")).drop("_n")
 
 
 def check_counts(plan: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:

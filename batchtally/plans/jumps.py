@@ -41,26 +41,40 @@ def _opening_rule(files: int | None, limit: float | None) -> Callable[[float, fl
     return lambda held, n: held >= files or held + n > limit
 
 
-def _fold(keys: list[str], count: str, files: int | None, limit: float | None, out: str):
-    """mapInPandas function over rows sorted by key; its state outlives a batch."""
+def _fold(keys: list[str], count: str, files: int | None, limit: float | None, out: str, closed: str):
+    """mapInPandas function over rows sorted by key; its state outlives a batch.
+
+    The rows of the open group wait until it is closed or its key ends.
+    """
     opens = _opening_rule(files, limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current: Any = None
         held, filled, group = 0, 0, 0
+        waiting: list[pd.DataFrame] = []
         for pdf in batches:
-            ids = []
-            for key, n in zip(pdf[keys].itertuples(index=False, name=None), pdf[count].tolist()):
-                if key != current:
-                    current, held, filled, group = key, 0, 0, 0
-                if opens(held, n):
-                    group += 1 if filled else 0
+            ids, done = [], []
+            open_from = 0  # first row of this batch that is in the open group
+            for i, (key, n) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), pdf[count].tolist())):
+                ends_key = key != current
+                if ends_key or (filled and opens(held, n)):
+                    full = not ends_key or filled == files
+                    done += [full] * (i - open_from)
+                    for part in waiting:
+                        yield part.assign(**{closed: full})
+                    waiting, open_from = [], i
+                    current, group = key, 0 if ends_key else group + 1
                     held, filled = 0, 0
                 filled += 1
                 held += 1 if files is not None else n
                 ids.append(group)
             pdf[out] = np.asarray(ids, dtype="int64")
-            yield pdf
+            if open_from:
+                yield pdf.iloc[:open_from].assign(**{closed: np.asarray(done, dtype=bool)})
+            if open_from < len(pdf):
+                waiting.append(pdf.iloc[open_from:])
+        for part in waiting:
+            yield part.assign(**{closed: filled == files})
 
     return run
 
@@ -157,14 +171,14 @@ def _walk_block(keys: list[str]):
         while 0 <= at < len(pdf):
             start[at] = 1
             at = jump[at] - first
-        pdf["_starts"] = np.cumsum(start)
-        return pdf[[*keys, "_block", "_pos", "_starts"]]
+        pdf["_start"], pdf["_starts"] = start, np.cumsum(start)
+        return pdf[[*keys, "_block", "_pos", "_start", "_starts"]]
 
     return run
 
 
-def _reach(jumps: DataFrame, keys: list[str], bound: int) -> DataFrame:
-    """Rows (keys, _pos, _group) from each row's jump."""
+def _reach(jumps: DataFrame, keys: list[str], bound: int, files: int | None) -> DataFrame:
+    """Rows (keys, _pos, _group, _closed) from each row's jump."""
     at = [*keys, "_pos"]
     blocked = cut(jumps.withColumn("_block", _block_of("_pos", bound)))
     by_block = [*keys, "_block"]
@@ -187,14 +201,24 @@ def _reach(jumps: DataFrame, keys: list[str], bound: int) -> DataFrame:
         entries = cut(entries.unionByName(further))
 
     marked = blocked.join(entries.withColumn("_entry", F.lit(1)), at, "left")
-    walked = cut(marked.groupBy(*by_block).applyInPandas(_walk_block(keys), _shape(jumps, keys, "_block", "_pos", "_starts")))
+    walked = cut(marked.groupBy(*by_block).applyInPandas(_walk_block(keys), _shape(jumps, keys, "_block", "_pos", "_start", "_starts")))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         walked.groupBy(*by_block)
         .agg(F.max("_starts").alias("_n"))
         .select(*by_block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     )
-    return walked.join(offsets, by_block).select(*at, (F.col("_starts") + F.col("_off") - 1).cast("bigint").alias("_group"))
+    ends = walked.groupBy(*keys).agg(
+        (F.sum("_start") - 1).alias("_last"),
+        (F.max("_pos") - F.max(F.when(F.col("_start") == 1, F.col("_pos"))) + 1).alias("_tail"),
+    )
+    group = (F.col("_starts") + F.col("_off") - 1).cast("bigint")
+    full = F.col("_tail") == files if files is not None else F.lit(False)
+    return (
+        walked.join(offsets, by_block)
+        .join(ends, keys)
+        .select(*at, group.alias("_group"), ((group < F.col("_last")) | full).alias("_closed"))
+    )
 
 
 def greedy_groups(
@@ -206,22 +230,24 @@ def greedy_groups(
     files: int | None = None,
     limit: float | None = None,
     out: str = "chunk",
+    closed: str = "closed",
     census: DataFrame | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add the 0-based group of each row, walking each key in ``order``.
 
-    A row opens a group when the held number plus its ``count`` would pass
+    ``closed`` is false in the last group of a key unless it holds exactly
+    ``files`` rows. A row opens a group when the held number plus its ``count`` would pass
     ``limit`` (strictly), or when ``files`` rows are held. With ``files`` given
     the held number counts rows. Keys, order and counts must not be NULL, the
     order must be total, and counts must not be negative.
     """
     keys, order = list(keys), list(order)
-    shape = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
+    shape = T.StructType([*df.schema.fields, T.StructField(out, T.LongType()), T.StructField(closed, T.BooleanType())])
 
     def folded(part: DataFrame) -> DataFrame:
         ready = part.repartition(*keys).sortWithinPartitions(*keys, *order)
-        return ready.mapInPandas(_fold(keys, count, files, limit, out), shape)
+        return ready.mapInPandas(_fold(keys, count, files, limit, out, closed), shape)
 
     hot = cut(hot_keys(census if census is not None else df, keys, max_group_rows))
     if hot.isEmpty():
@@ -238,6 +264,6 @@ def greedy_groups(
         jumps = _event_jumps(rows, keys, count, limit, max_group_rows)
     else:
         jumps = rows.select(*keys, "_pos", (F.col("_pos") + files).alias("_jump"))
-    groups = _reach(jumps, keys, max_group_rows)
-    large = rows.join(groups, [*keys, "_pos"]).drop("_pos", "_sum").withColumnRenamed("_group", out)
+    groups = _reach(jumps, keys, max_group_rows, files)
+    large = rows.join(groups, [*keys, "_pos"]).drop("_pos", "_sum").withColumnsRenamed({"_group": out, "_closed": closed})
     return folded(df.join(hot, keys, "left_anti")).unionByName(large)

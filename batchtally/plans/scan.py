@@ -72,14 +72,16 @@ def number_rows(
     *,
     sums: Mapping[str, Column | str] | None = None,
     pos: str = "pos",
+    total: str | None = None,
     census: DataFrame | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key, and running sums.
 
     ``order`` must be total within a key. ``sums`` maps a new column to the
-    expression summed up to and including the row. ``census`` may be a cheaper
-    frame with the same number of rows per key, used for the size check only.
+    expression summed up to and including the row, ``total`` names a column for
+    the number of rows of the key. ``census`` may be a cheaper frame with at
+    least as many rows per key, used for the size check only.
     """
     keys = list(keys)
     sums = {k: (F.col(v) if isinstance(v, str) else v) for k, v in (sums or {}).items()}
@@ -87,17 +89,18 @@ def number_rows(
     if plain:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
         census = census.withColumn("_all", F.lit(0)) if census is not None else None
-    top, total = largest_group(census if census is not None else df, keys)
+    top, size = largest_group(census if census is not None else df, keys)
     if top <= max_group_rows:
         w = W.partitionBy(*keys).orderBy(*_cols(order))
         upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-        out = df.withColumns(
-            {pos: F.row_number().over(w).cast("bigint"), **{k: F.sum(v).over(upto) for k, v in sums.items()}}
-        )
+        added = {pos: F.row_number().over(w).cast("bigint"), **{k: F.sum(v).over(upto) for k, v in sums.items()}}
+        if total:
+            added[total] = F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        out = df.withColumns(added)
         return out.drop("_all") if plain else out
 
     names = [*keys, "_block"]
-    blocks = _blocks(df, keys, order, total, max_group_rows)
+    blocks = _blocks(df, keys, order, size, max_group_rows)
     w = W.partitionBy(*names).orderBy(*_cols(order))
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = blocks.withColumns(
@@ -110,6 +113,7 @@ def number_rows(
     shift = totals.select(
         *names,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"),
+        *([F.sum("_n").over(W.partitionBy(*keys)).alias(total)] if total else []),
         *[F.sum(f"_t_{k}").over(before).alias(f"_o_{k}") for k in sums],
     )
     joined = _join_blocks(local, shift, names)

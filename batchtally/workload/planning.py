@@ -18,7 +18,7 @@ CHUNK_COLUMNS = ["dataset", "chunk", "n_files", "n_events", "emitted"]
 def _chunks(t: Tables, rule: C.ChunkRule, **options) -> DataFrame:
     files = t.manifest.select("dataset", "seq", "name", "nevents")
     assigned = C.assign_chunks(files, rule, census=t.census, **options)
-    return C.chunk_table(assigned, rule).select(*CHUNK_COLUMNS)
+    return C.chunk_table(assigned).select(*CHUNK_COLUMNS)
 
 
 def chunk_by_files(t: Tables) -> DataFrame:
@@ -197,7 +197,7 @@ OF_OUTPUT_SQL = """SELECT dataset, CAST(3 AS BIGINT) AS out_index, in_name FROM
 
 def materialised_counts(t: Tables) -> DataFrame:
     """Write one folder per output, read it back and compare with the plan."""
-    mapping = _mapping(t)
+    mapping = _mapping(t, 1000)
     path = fresh_path(t.spark, "merged")
     C.materialise(t.events_of_files, mapping, path)
     actual = t.spark.read.parquet(path).groupBy("dataset", F.col("out_index").cast("bigint").alias("out_index")).agg(F.count(F.lit(1)).alias("actual"))
@@ -208,7 +208,7 @@ def materialised_counts(t: Tables) -> DataFrame:
 MATERIALISED_SQL = with_views(
     "manifest",
     """SELECT dataset, idx AS out_index, CAST(sum(nevents) AS BIGINT) AS expected, CAST(sum(nevents) AS BIGINT) AS actual, '' AS reason, true AS accepted
-FROM (SELECT dataset, nevents, (row_number() OVER (PARTITION BY dataset ORDER BY seq, name) - 1) // 100 + 1 AS idx FROM manifest) GROUP BY 1, 2""",
+FROM (SELECT dataset, nevents, (row_number() OVER (PARTITION BY dataset ORDER BY seq, name) - 1) // 1000 + 1 AS idx FROM manifest) GROUP BY 1, 2""",
 )
 
 

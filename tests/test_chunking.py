@@ -29,7 +29,7 @@ def files(spark, rows=SIX):
 
 
 def emitted(spark, rule, flush):
-    rows = chunk_table(assign_chunks(files(spark), rule), rule, flush=flush).orderBy("chunk").collect()
+    rows = chunk_table(assign_chunks(files(spark), rule), flush=flush).orderBy("chunk").collect()
     kept = [r for r in rows if r.emitted]
     return len(kept), sum(r.n_files for r in rows) - sum(r.n_files for r in kept)
 

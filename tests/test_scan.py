@@ -40,7 +40,9 @@ def greedy(counts, files, limit):
 def test_number_rows(spark, bound):
     rows = make_rows(1)
     df = spark.createDataFrame(rows, "k string, s bigint, n bigint").repartition(5)
-    got = number_rows(df, ["k"], ["s"], sums={"run": "n"}, max_group_rows=bound)
+    got = number_rows(df, ["k"], ["s"], sums={"run": "n"}, total="all", max_group_rows=bound)
+    sizes = {k: sum(r[0] == k for r in rows) for k in {r[0] for r in rows}}
+    assert all(r.all == sizes[r.k] for r in got.collect())
     got = {(r.k, r.s): (r.pos, r.run) for r in got.collect()}
     for k in {r[0] for r in rows}:
         total = 0
@@ -71,18 +73,20 @@ def test_carry_last(spark, bound):
 
 @pytest.mark.parametrize("bound", [1_000_000, 40])
 @pytest.mark.parametrize(
-    "files,limit", [(None, 20), (None, 300), (None, 5.5), (None, 1e9), (4, 9), (7, 40), (90, 200)]
+    "files,limit", [(None, 20), (None, 300), (None, 5.5), (None, 1e9), (4, 9), (7, 40), (90, 200), (25, None)]
 )
 def test_greedy_groups(spark, bound, files, limit):
     rows = make_rows(3)
     df = spark.createDataFrame(rows, "k string, s bigint, n bigint").repartition(6)
     got = greedy_groups(df, ["k"], ["s"], count="n", files=files, limit=limit, max_group_rows=bound)
-    got = {(r.k, r.s): r.chunk for r in got.collect()}
+    got = {(r.k, r.s): (r.chunk, r.closed) for r in got.collect()}
     assert len(got) == len(rows)
     for k in {r[0] for r in rows}:
         ordered = sorted(r for r in rows if r[0] == k)
         want = greedy([n for _, _, n in ordered], files, limit)
-        assert [got[(k, s)] for _, s, _ in ordered] == [want[i] for i in range(len(ordered))]
+        last = max(want.values())
+        full = files is not None and sum(g == last for g in want.values()) == files
+        assert [got[(k, s)] for _, s, _ in ordered] == [(want[i], want[i] < last or full) for i in range(len(ordered))]
 
 
 def test_groups_do_not_depend_on_partitions(spark):
@@ -95,6 +99,18 @@ def test_groups_do_not_depend_on_partitions(spark):
     assert len(seen) == 1
 
 
+def test_fold_waits_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = make_rows(6)
+        df = spark.createDataFrame(rows, "k string, s bigint, n bigint").repartition(3)
+        small = {tuple(r) for r in greedy_groups(df, ["k"], ["s"], count="n", limit=60).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == {tuple(r) for r in greedy_groups(df, ["k"], ["s"], count="n", limit=60).collect()}
+    assert len(small) == len(rows)
+
+
 def test_all_zero_counts_give_one_group(spark):
     df = spark.range(300).selectExpr("'a' as k", "id as s", "0L as n")
     out = greedy_groups(df, ["k"], ["s"], count="n", limit=10, max_group_rows=50)
