@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from batchtally.functions.paths import normpath
 from batchtally.plans.jumps import greedy_groups
-from batchtally.plans.scan import MAX_GROUP_ROWS, number_rows
+from batchtally.plans.scan import MAX_GROUP_ROWS, Census, largest_group, number_rows
 
 ORDER = ("seq", "name")
 
@@ -42,7 +42,7 @@ def assign_chunks(
     *,
     keys: Sequence[str] = ("dataset",),
     order: Sequence[str] = ORDER,
-    census: DataFrame | None = None,
+    census: Census = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``chunk`` (0-based) to each file, and whether the chunk is ``closed``.
@@ -217,6 +217,7 @@ def combine_stage(
     *,
     mapped: DataFrame | None = None,
     flush: bool = False,
+    census: Census = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Group inputs ``(task, name, seq)`` by ``per_output``; output indices count from 0.
@@ -232,7 +233,7 @@ def combine_stage(
         rows = rows.join(done, "task", "left").filter(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen")))
     else:
         rows = rows.withColumn("_base", F.lit(0))
-    placed = number_rows(rows, ["task"], ["seq", "name"], total="_n", census=inputs, max_group_rows=max_group_rows)
+    placed = number_rows(rows, ["task"], ["seq", "name"], total="_n", census=census or inputs, max_group_rows=max_group_rows)
     grouped = placed.withColumn("_g", F.floor((F.col("pos") - 1) / per_output))
     if not flush:
         grouped = grouped.filter((F.col("_g") + 1) * per_output <= F.col("_n"))
@@ -249,8 +250,10 @@ def combine_stages(inputs: DataFrame, sizes: Sequence[int], pattern: str = "stag
     """
     out = None
     current = inputs
+    top, rows = largest_group(inputs, ["task"])
     for stage, k in enumerate(sizes, 1):
-        mapped = combine_stage(current, k, pattern % stage, flush=flush)
+        mapped = combine_stage(current, k, pattern % stage, flush=flush, census=(top, rows))
+        top = -(-top // k)
         staged = mapped.withColumn("stage", F.lit(stage))
         out = staged if out is None else out.unionByName(staged)
         current = mapped.select("task", F.col("out_name").alias("name"), F.col("out_index").alias("seq")).distinct()

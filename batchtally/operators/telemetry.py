@@ -62,31 +62,40 @@ def mean(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.avg(F.col(col).cast("double")).alias("mean"))
 
 
-def _bounds(points: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    aggs = []
-    for a in axes:
-        aggs += [F.min(a).alias(f"_lo_{a}"), F.max(a).alias(f"_hi_{a}")]
+def _boxed(points: DataFrame, keys: Sequence[str], axes: Sequence[str], top: Column | None = None, scale_y: float = 1.0) -> DataFrame:
+    """Points with the first axis divided by ``top``, the second times ``scale_y``, and the range of each axis.
+
+    One aggregate over the raw values serves both: dividing and scaling keep the
+    order (or turn it around), so the ends of the new ranges are the moved ends.
+    Per key the ranges come by an equi join, for the whole table as one scalar
+    subquery.
+    """
+    x = axes[0]
+    ends = [f(a).alias(f"_{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]
+    aggs = [*ends, (top if top is not None else F.lit(1.0)).alias("_top")]
     stats = points.groupBy(*keys).agg(*aggs) if keys else points.agg(*aggs)
+    moved = {x: lambda c: c / F.col("_top")} if top is not None else {}
+    if scale_y != 1.0:
+        moved[axes[1]] = lambda c: c * F.lit(scale_y)
     for a in axes:
         lo, hi = F.col(f"_lo_{a}"), F.col(f"_hi_{a}")
-        flat = lo == hi
-        stats = stats.withColumns(
-            {f"_lo_{a}": F.when(flat, lo - 0.5).otherwise(lo), f"_hi_{a}": F.when(flat, hi + 0.5).otherwise(hi)}
-        )
-    return stats
-
+        if a in moved:
+            p, q = moved[a](lo), moved[a](hi)
+            stats = stats.withColumns({f"_lo_{a}": F.least(p, q), f"_hi_{a}": F.greatest(p, q)})
+        flat = lo == hi  # widened by a half on each side
+        stats = stats.withColumns({f"_lo_{a}": F.when(flat, lo - 0.5).otherwise(lo), f"_hi_{a}": F.when(flat, hi + 0.5).otherwise(hi)})
+    if keys:
+        boxed = points.join(stats, list(keys))
+    else:
+        names = stats.columns
+        box = points.withColumn("_b", stats.select(F.struct(*names)).scalar())
+        boxed = box.select(*points.columns, *[F.col(f"_b.{n}").alias(n) for n in names])
+    return boxed.withColumns({a: f(F.col(a)) for a, f in moved.items()}) if moved else boxed
 
-def with_bounds(points: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    """Add the range of each axis, per key or for the whole table (widened when flat).
 
-    Per key it is an equi join; the single global row comes in as a scalar subquery.
-    """
-    stats = _bounds(points, keys, axes)
-    if keys:
-        return points.join(stats, list(keys))
-    names = [f"_{e}_{a}" for a in axes for e in ("lo", "hi")]
-    box = stats.select(F.struct(*names).alias("_b"))
-    return points.withColumn("_b", box.scalar()).select(*points.columns, *[F.col(f"_b.{n}").alias(n) for n in names])
+def _largest(x: str, floor_at_one: bool = True) -> Column:
+    top = F.max(x).cast("double")
+    return F.greatest(top, F.lit(1.0)) if floor_at_one else top
 
 
 def bin_of(value: Column | str, lo: Column | str, hi: Column | str, bins: int) -> Column:
@@ -109,14 +118,14 @@ def bin_of(value: Column | str, lo: Column | str, hi: Column | str, bins: int) -
 
 def hist_1d(points: DataFrame, x: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Counts per bin between the least and the largest value."""
-    boxed = with_bounds(points.filter(F.col(x).isNotNull()).select(*keys, x), keys, [x])
+    boxed = _boxed(points.filter(F.col(x).isNotNull()).select(*keys, x), keys, [x])
     binned = boxed.withColumn("bin", bin_of(x, f"_lo_{x}", f"_hi_{x}", bins))
     return binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def normalise(points: DataFrame, x: str, keys: Sequence[str] = (), floor_at_one: bool = True) -> DataFrame:
     """x divided by its largest value (by at least 1)."""
-    top = F.greatest(F.max(x), F.lit(1.0)) if floor_at_one else F.max(x)
+    top = _largest(x, floor_at_one)
     if keys:
         tops = points.groupBy(*keys).agg(top.alias("_top"))
         return points.join(tops, list(keys)).withColumn(x, F.col(x) / F.col("_top")).drop("_top")
@@ -128,11 +137,7 @@ def hist_2d(
 ) -> DataFrame:
     """Cell counts of a bins x bins grid (cells without points are absent)."""
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    if norm_x:
-        p = normalise(p, x, keys)
-    if scale_y != 1.0:
-        p = p.withColumn(y, F.col(y) * scale_y)
-    boxed = with_bounds(p, keys, [x, y])
+    boxed = _boxed(p, keys, [x, y], _largest(x) if norm_x else None, scale_y)
     binned = boxed.select(
         *keys,
         bin_of(x, f"_lo_{x}", f"_hi_{x}", bins).alias("xbin"),
@@ -144,9 +149,7 @@ def hist_2d(
 def profile(points: DataFrame, x: str, y: str, bins: int, *, keys: Sequence[str] = (), norm_x: bool = False) -> DataFrame:
     """Mean and spread of y per bin of x, at the bin centre."""
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    if norm_x:
-        p = normalise(p, x, keys, floor_at_one=False)
-    boxed = with_bounds(p, keys, [x])
+    boxed = _boxed(p, keys, [x], _largest(x, floor_at_one=False) if norm_x else None)
     lo, hi = F.col(f"_lo_{x}"), F.col(f"_hi_{x}")
     binned = boxed.withColumn("bin", bin_of(x, lo, hi, bins))
     centre = lo + (F.col("bin") + 0.5) * ((hi - lo) / bins)
@@ -167,22 +170,8 @@ def panel_hists(telemetry: DataFrame, *, keys: Sequence[str] = ("dataset",), bin
         F.col("metric").isin(*PANEL_SCALES) & F.col("value").isNotNull() & F.col("since_start").isNotNull()
     ).select(*keys, "metric", F.col("since_start").alias("x"), (F.col("value") * scale).alias("y"))
     panel = [*keys, "metric"]
-    stats = points.groupBy(*panel).agg(
-        F.greatest(F.max("x"), F.lit(1.0)).alias("_top"),
-        F.min("x").alias("_a"), F.max("x").alias("_b"),
-        F.min("y").alias("_lo_y"), F.max("y").alias("_hi_y"),
-    )
-    stats = stats.withColumns({"_lo_x": F.col("_a") / F.col("_top"), "_hi_x": F.col("_b") / F.col("_top")})
-    for a in ("x", "y"):
-        lo, hi = F.col(f"_lo_{a}"), F.col(f"_hi_{a}")
-        stats = stats.withColumns(
-            {f"_lo_{a}": F.when(lo == hi, lo - 0.5).otherwise(lo), f"_hi_{a}": F.when(lo == hi, hi + 0.5).otherwise(hi)}
-        )
-    binned = points.join(stats, panel).select(
-        *panel,
-        bin_of(F.col("x") / F.col("_top"), "_lo_x", "_hi_x", bins).alias("xbin"),
-        bin_of("y", "_lo_y", "_hi_y", bins).alias("ybin"),
-    )
+    boxed = _boxed(points, panel, ["x", "y"], _largest("x"))
+    binned = boxed.select(*panel, bin_of("x", "_lo_x", "_hi_x", bins).alias("xbin"), bin_of("y", "_lo_y", "_hi_y", bins).alias("ybin"))
     return binned.groupBy(*panel, "xbin", "ybin").agg(F.count(F.lit(1)).alias("n"))
 
 

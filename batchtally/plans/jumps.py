@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from batchtally.plans.scan import MAX_GROUP_ROWS, carry_last, hot_keys, number_rows
+from batchtally.plans.scan import MAX_GROUP_ROWS, Census, carry_last, group_sizes, hot_keys, number_rows
 from batchtally.plans.storage import cut
 
 
@@ -231,7 +231,7 @@ def greedy_groups(
     limit: float | None = None,
     out: str = "chunk",
     closed: str = "closed",
-    census: DataFrame | None = None,
+    census: Census = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add the 0-based group of each row, walking each key in ``order``.
@@ -249,10 +249,10 @@ def greedy_groups(
         ready = part.repartition(*keys).sortWithinPartitions(*keys, *order)
         return ready.mapInPandas(_fold(keys, count, files, limit, out, closed), shape)
 
-    hot = cut(hot_keys(census if census is not None else df, keys, max_group_rows))
-    if hot.isEmpty():
+    if group_sizes(df, keys, census)[0] <= max_group_rows:
         return folded(df)
 
+    hot = cut(hot_keys(census if isinstance(census, DataFrame) else df, keys, max_group_rows))
     rows = cut(
         number_rows(
             df.join(hot, keys, "left_semi"), keys, order, pos="_pos", sums={"_sum": count}, max_group_rows=max_group_rows

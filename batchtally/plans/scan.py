@@ -39,6 +39,16 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return (row["top"] or 0, row["total"] or 0)
 
 
+Census = DataFrame | tuple[int, int] | None
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str], census: Census) -> tuple[int, int]:
+    """Bounds for the largest key and the whole frame: given, or counted."""
+    if isinstance(census, tuple):
+        return census
+    return largest_group(df if census is None else census, keys)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int) -> DataFrame:
     """Keys with more rows than one task should hold; at most rows/bound of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group_rows).select(*keys)
@@ -73,7 +83,7 @@ def number_rows(
     sums: Mapping[str, Column | str] | None = None,
     pos: str = "pos",
     total: str | None = None,
-    census: DataFrame | None = None,
+    census: Census = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key, and running sums.
@@ -81,15 +91,16 @@ def number_rows(
     ``order`` must be total within a key. ``sums`` maps a new column to the
     expression summed up to and including the row, ``total`` names a column for
     the number of rows of the key. ``census`` may be a cheaper frame with at
-    least as many rows per key, used for the size check only.
+    least as many rows per key, or (rows of the largest key, rows of all keys);
+    it is used for the size check only.
     """
     keys = list(keys)
     sums = {k: (F.col(v) if isinstance(v, str) else v) for k, v in (sums or {}).items()}
     plain = not keys
     if plain:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-        census = census.withColumn("_all", F.lit(0)) if census is not None else None
-    top, size = largest_group(census if census is not None else df, keys)
+        census = census.withColumn("_all", F.lit(0)) if isinstance(census, DataFrame) else census
+    top, size = group_sizes(df, keys, census)
     if top <= max_group_rows:
         w = W.partitionBy(*keys).orderBy(*_cols(order))
         upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -138,13 +149,13 @@ def carry_last(
     order: Sequence[Column | str],
     values: Mapping[str, Column | str],
     *,
-    census: DataFrame | None = None,
+    census: Census = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add, per new column, the last non-NULL value up to and including the row."""
     keys = list(keys)
     values = {k: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()}
-    top, total = largest_group(census if census is not None else df, keys)
+    top, total = group_sizes(df, keys, census)
     if top <= max_group_rows:
         w = W.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({k: F.last(v, ignorenulls=True).over(w) for k, v in values.items()})

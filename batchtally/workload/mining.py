@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from batchtally.operators import logs as G
 from batchtally.operators import telemetry as T
+from batchtally.plans.storage import write_and_read
 from batchtally.workload.tables import Tables, with_views
 
 BLANKS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
@@ -179,7 +180,9 @@ FROM (SELECT y, lo, hi, {_bin('x', 'lo', 'hi', 12)} AS bin FROM points, (SELECT
 
 
 def panel_hists(t: Tables) -> DataFrame:
-    return T.panel_hists(G.telemetry(t.logs, keep=["dataset"]), bins=50)
+    """The parsed telemetry is a table: ranges and bins both read it, the logs are parsed once."""
+    parsed = G.telemetry(t.logs, keep=["dataset"]).select("dataset", "metric", "value", "since_start")
+    return T.panel_hists(write_and_read(parsed, "telemetry"), bins=50)
 
 
 PANELS_SQL = with_views(

@@ -9,7 +9,7 @@ from batchtally.functions.paths import comma_join
 from batchtally.operators import chunking as C
 from batchtally.operators import events as E
 from batchtally.operators.extend import process_chunks
-from batchtally.plans.storage import fresh_path
+from batchtally.plans.storage import fresh_path, write_and_read
 from batchtally.workload.tables import SETTLED, Tables, ntz, with_views
 
 CHUNK_COLUMNS = ["dataset", "chunk", "n_files", "n_events", "emitted"]
@@ -76,7 +76,7 @@ def incremental_mapping(t: Tables) -> DataFrame:
     rule = C.ChunkRule(files=50)
     old = C.extend_mapping(t.manifest.filter(F.col("o_orderdate") < ntz(SETTLED)), _no_mapping(t), t.datasets, rule)
     opened = t.datasets.withColumn("open", F.lit(True))
-    return C.output_totals(C.extend_mapping(t.manifest, old, opened, rule))
+    return C.output_totals(C.extend_mapping(t.manifest, write_and_read(old, "mapping"), opened, rule))
 
 
 INCREMENTAL_SQL = with_views(

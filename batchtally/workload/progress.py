@@ -35,11 +35,11 @@ def bad_jobs(t: Tables) -> DataFrame:
     errors = t.logs.select(
         F.regexp_extract("log", "([0-9]+)", 1).cast("bigint").alias("cluster_id"), G.error_signature("err").alias("last_error"), F.col("log").alias("last_log")
     )
-    rows = M.with_done(summary_rows(t))
+    rows = M.with_done(summary_rows(t, t.stored_attempts))
     mapping = t.lineitem.join(t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderpriority").alias("dataset"), F.col("l_orderkey").alias("out_index"), F.col("l_quantity").cast("bigint").alias("in_nevents")
     )
-    return M.bad_jobs(rows, mapping, t.attempts, errors)
+    return M.bad_jobs(rows, mapping, t.stored_attempts, errors)
 
 
 BAD_SQL = with_views(

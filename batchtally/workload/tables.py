@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchtally.functions.values import epoch_micros
+from batchtally.plans.storage import write_and_read
 from batchtally.sources.queue import queue_snapshot, typed_queue
 
 NOW = 1_600_000_000
@@ -118,6 +119,11 @@ class Tables:
             (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("cluster_id"),
         )
 
+    @cached_property
+    def stored_attempts(self) -> DataFrame:
+        """The attempts as a table of their own, for queries that read them more than once."""
+        return write_and_read(self.attempts, "attempts")
+
     @cached_property
     def tasks(self) -> DataFrame:
         """Nations as tasks of region paths."""

@@ -114,7 +114,7 @@ def attempts_after_submit(t: Tables) -> DataFrame:
     """Every output whose action is to submit gets one more attempt."""
     todo = L.job_actions(_ledger(t), NOW).filter("action = 'submit'")
     submitted = todo.select("dataset", "out_index", (F.col("out_index") * 10 + 9).alias("cluster_id"))
-    return L.append_attempts(t.attempts, submitted)
+    return L.append_attempts(t.stored_attempts, submitted)
 
 
 APPEND_SQL = with_views(
@@ -126,10 +126,10 @@ FROM ledger LEFT JOIN last_attempt USING (dataset, out_index) WHERE NOT done AND
 )
 
 
-def summary_rows(t: Tables) -> DataFrame:
+def summary_rows(t: Tables, attempts: DataFrame | None = None) -> DataFrame:
     """Task summary rows the rollups read, with done decided by cluster id."""
     outs = L.with_existence(t.outputs, t.listing).select("dataset", "out_index", "nevents", "neg", F.col("exists").alias("output_exists"))
-    return L.task_summary(outs, t.attempts, t.queue)
+    return L.task_summary(outs, attempts if attempts is not None else t.attempts, t.queue)
 
 
 def task_summary(t: Tables) -> DataFrame:
@@ -306,8 +306,8 @@ MISSING_SQL = """SELECT o_orderpriority AS dataset, 'file_' || o_orderkey || '.r
 
 
 def failed_attempts(t: Tables) -> DataFrame:
-    outs = summary_rows(t).withColumn("done", F.col("output_exists") & ~F.col("is_on_queue"))
-    return T.failed_attempts(t.attempts, outs)
+    outs = summary_rows(t, t.stored_attempts).withColumn("done", F.col("output_exists") & ~F.col("is_on_queue"))
+    return T.failed_attempts(t.stored_attempts, outs)
 
 
 FAILED_SQL = with_views(
