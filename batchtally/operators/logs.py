@@ -15,6 +15,7 @@ from batchtally.functions.values import is_clock_text, try_number
 
 # Markers in the logs.
 SECTIONS = ("header", "dstat")
+SECTION_WORD = " output"
 SECTION_BEGIN = "begin {} output"
 SECTION_END = "end {} output"
 TELEMETRY_HEAD = '"usr"'
@@ -58,11 +59,11 @@ def section_lines(logs: DataFrame, section: str, keep: Sequence[str], body: str
     order = [(s, b) for s in SECTIONS for b in (True, False)]
 
     def mark(line: Column) -> Column:
-        kind = None
+        kind = F.when(~line.contains(SECTION_WORD), F.lit(None).cast("boolean"))  # most lines stop here
         for s, begins in order:
             hit = line.contains((SECTION_BEGIN if begins else SECTION_END).format(s))
             value = F.lit(begins) if s == section else F.lit(None).cast("boolean")
-            kind = F.when(hit, value) if kind is None else kind.when(hit, value)
+            kind = kind.when(hit, value)
         return kind
 
     whole = _once(logs.select(*keep, body), _all=lines_of(body)).drop(body)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchtally.functions.paths import STORE_PREFIX
+from batchtally.plans.storage import load_or_empty
 
-LISTING = "path string, length bigint, modification_time timestamp"
+LISTING = "path string, length bigint, modificationTime timestamp"
 
 
 def plain_path(path: Column | str) -> Column:
@@ -23,12 +23,7 @@ def plain_path(path: Column | str) -> Column:
 def list_files(spark: SparkSession, location: str | Sequence[str], glob: str = "*", *, recursive: bool = False) -> DataFrame:
     """Files with size and time. The content column is pruned, so no file is opened."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    try:
-        found = reader.load(location if isinstance(location, str) else list(location))
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], LISTING)
+    found = load_or_empty(reader, spark, location if isinstance(location, str) else list(location), LISTING)
     return found.select(plain_path("path").alias("path"), "length", F.col("modificationTime").alias("modification_time"))
 
 
@@ -88,12 +83,8 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 def read_summary(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Prior summary; undecodable lines are ignored and a missing one is empty."""
-    try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], schema)
+    reader = spark.read.format("json").schema(schema).option("mode", "DROPMALFORMED")
+    return load_or_empty(reader, spark, path, schema)
 
 
 def write_metadata(records: DataFrame, path: str) -> None:
@@ -128,9 +119,13 @@ TASK_SUMMARY = (
 
 
 def read_task_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Whole task summary documents to one row per (dataset, out_index)."""
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", TASK_SUMMARY).alias("_d"))
-    tasks = docs.select(F.explode("_d").alias("dataset", "_t"))
+    """Task summary files, one document each, as rows."""
+    return task_summary_rows(spark.read.text(path, wholetext=True))
+
+
+def task_summary_rows(docs: DataFrame) -> DataFrame:
+    """Task summary documents (``value``) to one row per (dataset, out_index)."""
+    tasks = docs.select(F.from_json("value", TASK_SUMMARY).alias("_d")).select(F.explode("_d").alias("dataset", "_t"))
     jobs = tasks.select("dataset", "_t.queried_nevents", "_t.open_dataset", F.explode("_t.jobs").alias("_i", "_j"))
     return jobs.select(
         "dataset",

@@ -3,7 +3,9 @@
 Each micro-batch appends its unseen files to ``arrivals`` and the new mapping
 rows to ``mapping``. Both are written under the batch number with overwrite, so
 a replayed batch replaces itself. Files without a mapping row are the leftovers;
-they stay in ``arrivals`` and are seen again by the next batch.
+they stay in ``arrivals`` and are seen again by the next batch. ``outputs`` feeds
+the next stage; a replay may list an output twice there, and the next stage
+drops the second one by name.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from batchtally.operators.chunking import ChunkRule, extend_mapping, output_totals
 from batchtally.plans.scan import MAX_GROUP_ROWS
+from batchtally.plans.storage import load_or_empty
 
 # Fixed value: passes between two flushes.
 FLUSH_EVERY = 48
@@ -52,10 +55,8 @@ class IngestStore:
         return f"{self.root}/checkpoint"
 
     def read(self, spark: SparkSession, path: str, schema: str) -> DataFrame:
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).option("basePath", path).parquet(path)
+        reader = spark.read.format("parquet").schema(schema).option("basePath", path)
+        return load_or_empty(reader, spark, path, schema)
 
     def read_arrivals(self, spark: SparkSession) -> DataFrame:
         return self.read(spark, self.arrivals, ARRIVALS)

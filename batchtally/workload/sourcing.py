@@ -16,6 +16,7 @@ from batchtally.streaming.ingest import IngestStore, flush_leftovers, outputs_st
 from batchtally.streaming.series import progress_history, telemetry_means
 from batchtally.workload.progress import _rollup
 from batchtally.workload.tables import Tables, with_views
+from batchtally.workload.tracking import summary_rows
 
 
 def catalog_manifest(t: Tables) -> DataFrame:
@@ -172,6 +173,41 @@ def metadata_round_trip(t: Tables) -> DataFrame:
 METADATA_SQL = "SELECT o_orderpriority AS dataset, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n, max(o_orderkey) AS top FROM orders GROUP BY 1, 2"
 
 
+def summary_documents(t: Tables) -> DataFrame:
+    """Every output as a task summary document of its own, parsed back to rows."""
+    rows = summary_rows(t)
+    text = lambda c: F.col(c).cast("string")
+    job = F.struct(
+        F.array(F.lit("/out/x.root"), text("nevents")).alias("output"),
+        "output_exists",
+        F.array(F.array(F.lit("in.root"), text("neg"))).alias("inputs"),
+        F.array(F.struct(F.col("last_cluster").alias("cluster_id"), F.lit("e").alias("logfile_err"), F.lit("o").alias("logfile_out"))).alias("condor_jobs"),
+        F.col("is_on_queue").alias("is_on_condor"),
+    )
+    task = F.struct(F.create_map(text("out_index"), job).alias("jobs"), F.lit(7).alias("queried_nevents"), F.lit(False).alias("open_dataset"))
+    parsed = S.task_summary_rows(rows.select(F.to_json(F.create_map("dataset", task)).alias("value")))
+    return parsed.select(
+        "dataset", "out_index", "nevents", "output_exists", "is_on_queue", "queried_nevents",
+        F.col("inputs")[0]["nevents"].alias("neg"), F.col("attempts")[0]["cluster_id"].alias("last_cluster"),
+    )
+
+
+DOCUMENTS_SQL = with_views(
+    "summary", "SELECT dataset, out_index, nevents, output_exists, is_on_queue, CAST(7 AS BIGINT) AS queried_nevents, neg, last_cluster FROM summary"
+)
+
+
+def moved_log_paths(t: Tables) -> DataFrame:
+    """Attempt logs moved under a new root; attempts of returned lines lie elsewhere and go."""
+    area = F.when(F.col("l_returnflag") == "R", F.lit("/scratch/")).otherwise(F.lit("/home/me/area/tasks/"))
+    name = F.concat(F.lit("T/1e."), F.col("l_orderkey").cast("string"), F.lit(".0.out"))
+    logs = t.lineitem.select("l_orderkey", F.when(F.col("l_quantity") > 5, F.concat(area, name)).alias("logfile_out"))
+    return S.log_paths(logs, ".out", "area/tasks", "/new").select("l_orderkey", "log")
+
+
+MOVED_SQL = "SELECT l_orderkey, '/new/T/1e.' || l_orderkey || '.0.out' AS log FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity > 5"
+
+
 def dir_listing(t: Tables) -> DataFrame:
     """The table files themselves as a directory dataset."""
     return S.dir_manifest(t.spark, "/tables", t.sf_dir, "*.parquet").select("dataset", P.basename("name").alias("name"), "nevents", "size_gb")
@@ -341,6 +377,8 @@ QUERIES = {
     "state_overlay": (state_overlay, OVERLAY_SQL),
     "summary_round_trip": (summary_round_trip, ROUND_SQL),
     "metadata_round_trip": (metadata_round_trip, METADATA_SQL),
+    "summary_documents": (summary_documents, DOCUMENTS_SQL),
+    "moved_log_paths": (moved_log_paths, MOVED_SQL),
     "dir_listing": (dir_listing, None),
     "path_functions": (path_functions, PATHS_SQL),
     "file_names": (file_names, NAMES_SQL),

@@ -15,7 +15,8 @@ def spark():
         .appName("batchtally-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.codegen.wholeStage", "false")  # tiny inputs: compiling costs more than running
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

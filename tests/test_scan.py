@@ -9,7 +9,7 @@ from batchtally.plans.jumps import greedy_groups
 from batchtally.plans.scan import carry_last, number_rows
 
 
-def make_rows(seed, keys=("a", "b", "c"), hot=400, other=25, top=12):
+def make_rows(seed, keys=("a", "b", "c"), hot=220, other=15, top=12):
     rnd = random.Random(seed)
     rows = []
     for k in keys:
@@ -77,7 +77,7 @@ def test_carry_last(spark, bound):
 )
 def test_greedy_groups(spark, bound, files, limit):
     rows = make_rows(3)
-    df = spark.createDataFrame(rows, "k string, s bigint, n bigint").repartition(6)
+    df = spark.createDataFrame(rows, "k string, s bigint, n bigint").repartition(3)
     got = greedy_groups(df, ["k"], ["s"], count="n", files=files, limit=limit, max_group_rows=bound)
     got = {(r.k, r.s): (r.chunk, r.closed) for r in got.collect()}
     assert len(got) == len(rows)
