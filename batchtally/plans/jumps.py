@@ -1,6 +1,8 @@
 """Greedy, order-dependent grouping that also works inside one huge key.
 
-Small keys: one sorted pass with a running state per key (``_fold``).
+Small keys: one sorted pass with a running state per key (``_fold``). The pass
+reads the output of a window, not of a plain repartition: a window demands that
+a key stays in one partition, so a join replanned at run time cannot split it.
 
 Huge keys: each row knows its jump, the row that would open the next group if a
 group opened here. The groups are the rows reached from row 1. They are found
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -41,33 +42,36 @@ def _opening_rule(files: int | None, limit: float | None) -> Callable[[float, fl
     return lambda held, n: held >= files or held + n > limit
 
 
-def _fold(keys: list[str], count: str, files: int | None, limit: float | None, out: str, closed: str):
-    """mapInPandas function over rows sorted by key; its state outlives a batch.
+def _fold(count: str, files: int | None, limit: float | None, out: str, closed: str):
+    """mapInPandas function over numbered rows of whole keys; its state outlives a batch.
 
     The rows of the open group wait until it is closed or its key ends.
     """
     opens = _opening_rule(files, limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: Any = None
-        held, filled, group = 0, 0, 0
+        last, held, filled, group = 0, 0, 0, 0
         waiting: list[pd.DataFrame] = []
         for pdf in batches:
             ids, done = [], []
             open_from = 0  # first row of this batch that is in the open group
-            for i, (key, n) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), pdf[count].tolist())):
-                ends_key = key != current
+            for i, (at, n) in enumerate(zip(pdf["_at"].tolist(), pdf[count].tolist())):
+                ends_key = at == 1
+                if not ends_key and at != last + 1:
+                    raise RuntimeError("rows of a key are not in one partition in order")
+                last = at
                 if ends_key or (filled and opens(held, n)):
                     full = not ends_key or filled == files
                     done += [full] * (i - open_from)
                     for part in waiting:
                         yield part.assign(**{closed: full})
                     waiting, open_from = [], i
-                    current, group = key, 0 if ends_key else group + 1
+                    group = 0 if ends_key else group + 1
                     held, filled = 0, 0
                 filled += 1
                 held += 1 if files is not None else n
                 ids.append(group)
+            pdf = pdf.drop(columns="_at")
             pdf[out] = np.asarray(ids, dtype="int64")
             if open_from:
                 yield pdf.iloc[:open_from].assign(**{closed: np.asarray(done, dtype=bool)})
@@ -246,8 +250,9 @@ def greedy_groups(
     shape = T.StructType([*df.schema.fields, T.StructField(out, T.LongType()), T.StructField(closed, T.BooleanType())])
 
     def folded(part: DataFrame) -> DataFrame:
-        ready = part.repartition(*keys).sortWithinPartitions(*keys, *order)
-        return ready.mapInPandas(_fold(keys, count, files, limit, out, closed), shape)
+        walk = W.partitionBy(*keys).orderBy(*order)
+        numbered = part.withColumn("_at", F.row_number().over(walk))
+        return numbered.mapInPandas(_fold(count, files, limit, out, closed), shape)
 
     if group_sizes(df, keys, census)[0] <= max_group_rows:
         return folded(df)
