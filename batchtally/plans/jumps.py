@@ -14,6 +14,9 @@ in blocks of bounded size:
 3. replay the squares from row 1 to get the one entry of each visited block,
 4. walk each block from its entry and number the starts by a running count.
 
+What is broadcast here has one row per huge key or per block, so at most one row
+for every ``max_group_rows`` rows (and key) of the huge part.
+
 Chains that meet merge, so step 2 normally holds few rows; it stays exact when
 they do not merge.
 """
@@ -219,8 +222,8 @@ def _reach(jumps: DataFrame, keys: list[str], bound: int, files: int | None) ->
     group = (F.col("_starts") + F.col("_off") - 1).cast("bigint")
     full = F.col("_tail") == files if files is not None else F.lit(False)
     return (
-        walked.join(offsets, by_block)
-        .join(ends, keys)
+        walked.join(F.broadcast(offsets), by_block)
+        .join(F.broadcast(ends), keys)
         .select(*at, group.alias("_group"), ((group < F.col("_last")) | full).alias("_closed"))
     )
 
@@ -257,7 +260,8 @@ def greedy_groups(
     if group_sizes(df, keys, census)[0] <= max_group_rows:
         return folded(df)
 
-    hot = cut(hot_keys(census if isinstance(census, DataFrame) else df, keys, max_group_rows))
+    # at most (all rows / max_group_rows) keys, so broadcasting them is safe and saves a shuffle by key
+    hot = F.broadcast(cut(hot_keys(census if isinstance(census, DataFrame) else df, keys, max_group_rows)))
     rows = cut(
         number_rows(
             df.join(hot, keys, "left_semi"), keys, order, pos="_pos", sums={"_sum": count}, max_group_rows=max_group_rows

@@ -9,6 +9,7 @@ from batchtally.functions.paths import comma_join
 from batchtally.operators import chunking as C
 from batchtally.operators import events as E
 from batchtally.operators.extend import process_chunks
+from batchtally.plans.scan import MAX_GROUP_ROWS
 from batchtally.plans.storage import fresh_path, write_and_read
 from batchtally.workload.tables import SETTLED, Tables, ntz, with_views
 
@@ -31,7 +32,7 @@ def chunk_by_events(t: Tables) -> DataFrame:
 
 def chunk_by_events_split(t: Tables) -> DataFrame:
     """The same plan with every dataset cut into blocks, as a huge dataset would be."""
-    return _chunks(t, C.ChunkRule(events=100), max_group_rows=max(1, t.orders.count() // 16))
+    return _chunks(t, C.ChunkRule(events=100), max_group_rows=max(1, min(MAX_GROUP_ROWS, t.orders.count() // 16)))
 
 
 def chunk_both_limits(t: Tables) -> DataFrame:
@@ -196,8 +197,11 @@ OF_OUTPUT_SQL = """SELECT dataset, CAST(3 AS BIGINT) AS out_index, in_name FROM
 
 
 def materialised_counts(t: Tables) -> DataFrame:
-    """Write one folder per output, read it back and compare with the plan."""
-    mapping = _mapping(t, 1000)
+    """Write one folder per output, read it back and compare with the plan.
+
+    The output size grows with the table, so that the number of folders does not.
+    """
+    mapping = _mapping(t, max(1000, t.orders.count() // 2000))
     path = fresh_path(t.spark, "merged")
     C.materialise(t.events_of_files, mapping, path)
     actual = t.spark.read.parquet(path).groupBy("dataset", F.col("out_index").cast("bigint").alias("out_index")).agg(F.count(F.lit(1)).alias("actual"))
@@ -208,7 +212,7 @@ def materialised_counts(t: Tables) -> DataFrame:
 MATERIALISED_SQL = with_views(
     "manifest",
     """SELECT dataset, idx AS out_index, CAST(sum(nevents) AS BIGINT) AS expected, CAST(sum(nevents) AS BIGINT) AS actual, '' AS reason, true AS accepted
-FROM (SELECT dataset, nevents, (row_number() OVER (PARTITION BY dataset ORDER BY seq, name) - 1) // 1000 + 1 AS idx FROM manifest) GROUP BY 1, 2""",
+FROM (SELECT dataset, nevents, (row_number() OVER (PARTITION BY dataset ORDER BY seq, name) - 1) // (SELECT greatest(1000, count(*) // 2000) FROM orders) + 1 AS idx FROM manifest) GROUP BY 1, 2""",
 )
 
 
