@@ -21,16 +21,12 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def normal(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
 
-    def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x) or x is pd.NA:
+    def cell(x) -> str:
+        if x is None or x != x:
             return "NULL"
-        if isinstance(x, (bool,)) or type(x).__name__ == "bool_":
-            return str(bool(x))
-        if hasattr(x, "item"):
-            x = x.item()
-        if isinstance(x, float) and x == int(x) if isinstance(x, float) and abs(x) < 1e15 else False:
-            return str(int(x))
-        return str(x)
+        if isinstance(x, bool):
+            return str(x)
+        return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
 
     return sorted(tuple(cell(v) for v in row) for row in df[cols].astype(object).itertuples(index=False, name=None))
 

@@ -162,3 +162,17 @@ def test_times_pairs_panels(spark, logs):
     want, _, _ = np.histogram2d(x / x.max(), np.array([60.5, 37.5, 39.0]), bins=50)
     got = {(r.xbin, r.ybin): r.n for r in panels if r.metric == "usr"}
     assert got == {(i, j): 1 for i, j in zip(*np.nonzero(want))}
+
+
+def test_wide_table_keeps_first_of_repeated_names(spark):
+    names = (
+        "usr sys idl wai hiq siq read writ recv send in out int csw date/time 1m 5m 15m used buff cach free read writ used free epoch"
+    ).split()
+    rows = [",".join("18-07 21:23:33" if n == "date/time" else str(100 * r + i) for i, n in enumerate(names)) for r in range(3)]
+    body = "\n".join(["--- begin dstat output ---", ",".join(f'"{n}"' for n in names), *rows, "--- end dstat output ---"])
+    df = spark.createDataFrame([("x.out", body)], "log string, body string")
+    got = {r.metric: r.cells for r in G.telemetry_columns(df).collect()}
+    assert len(names) == 27 and len(got) == 23
+    for n, cells in got.items():
+        first = names.index(n)
+        assert cells == (["18-07 21:23:33"] * 3 if n == "date/time" else [str(100 * r + first) for r in range(3)])
