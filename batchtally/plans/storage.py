@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -11,19 +10,17 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees.
+    """Folder every executor sees: the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir`` wins. Only a local session may fall
-    back to a folder of this machine.
+    Where it is unset, a folder below the session's warehouse is used, which the
+    executors share as well.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-            named = tempfile.mkdtemp(prefix="batchtally-")
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -47,6 +44,12 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def load_or_empty(reader: DataFrameReader, spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
     """What ``reader`` finds at ``path``; an empty frame when nothing is there."""
     try:
