@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from batchtally.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from batchtally.llm.licences import op7_license_scan
+from batchtally.llm.pii import op2_pii_spans
 from batchtally.llm.quality import OP10_SQL, op10_quality_rules
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op2_pii_spans": (op2_pii_spans, None),
+    "op7_license_scan": (op7_license_scan, None),
     "op10_quality_rules": (op10_quality_rules, OP10_SQL),
 }
