@@ -7,12 +7,16 @@ from batchtally.llm.licences import op7_license_scan
 from batchtally.llm.mixing import op9_source_mixing
 from batchtally.llm.pii import op2_pii_spans
 from batchtally.llm.quality import OP10_SQL, op10_quality_rules
+from batchtally.llm.sharding import op4_resharding
 from batchtally.llm.simhash import op3_simhash_near_dedup
+from batchtally.llm.toxicity import op6_toxicity_chain
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_pii_spans": (op2_pii_spans, None),
     "op3_simhash_near_dedup": (op3_simhash_near_dedup, None),
+    "op4_resharding": (op4_resharding, None),
+    "op6_toxicity_chain": (op6_toxicity_chain, None),
     "op7_license_scan": (op7_license_scan, None),
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_quality_rules": (op10_quality_rules, OP10_SQL),
