@@ -38,11 +38,11 @@ from pyspark.sql import types as T
 from batchtally.llm.common import documents, required
 
 SAMPLE = 6000  # labelled documents that are fitted on, at most
-FEATURES = 3000  # features that are kept
+FEATURES = 600  # features that are kept
 FOLDS = 5
 HASHED = 1 << 20
 MARKS = 8  # the first numbers are marks of form
-L1, STEPS = 2e-3, 150
+L1, STEPS = 1e-4, 200
 CATEGORIES = ["poor", "toxic", "toxic_poor"]
 
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
