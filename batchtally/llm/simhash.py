@@ -3,8 +3,8 @@ r"""Near-duplicate detection: SimHash fingerprints, generalised pigeonhole searc
 Fingerprints within 3 differing bits are linked. If the 64 bits fall into
 partitions whose thresholds sum up to 3 - m + 1, then two linked fingerprints
 differ in some partition by no more than its threshold (general pigeonhole
-principle). Bits that are set together are grouped into one partition. For two,
-three and four partitions the number of candidates is estimated from counts over
+principle). Bits that are set together are grouped into one partition. For two
+and three partitions the number of candidates is estimated from counts over
 all fingerprints, and a dynamic programme allocates the thresholds that cost
 least; the cheapest layout is probed, and every candidate is verified.
 
@@ -39,7 +39,7 @@ from batchtally.plans.storage import write_and_read
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
-PARTS = (2, 3, 4)
+PARTS = (2, 3)  # of 32 or about 21 bits; narrower ones have too few values to tell many fingerprints apart
 PROBE_COST, CANDIDATE_COST = 1.0, 8.0
 
 
