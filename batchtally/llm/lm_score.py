@@ -10,7 +10,7 @@ Three passes over all documents: token counts; training; scoring. In training a
 task fits the network in numpy on masked positions of its own documents (every
 ``MASK``-th position by hash, so the work grows with the text), from one common
 start; the local networks are then averaged by token count in a tree of
-aggregates, so no task holds more than ``FAN_IN`` of them.
+aggregates of about half ``FAN_IN`` networks each.
 
 Defined results
 * null or empty text: no tokens, log_prob 0, mean_log_prob null;
@@ -195,9 +195,10 @@ def average(models: DataFrame) -> np.ndarray | None:
         return pd.DataFrame({"n": [n], "params": [params.astype(np.float32).tobytes()]})
 
     while (count := models.count()) > FAN_IN:
-        # numbered through, so that every group holds FAN_IN networks at most
-        numbers = models.rdd.zipWithIndex().map(lambda x: (x[1] // FAN_IN, x[0][0], bytearray(x[0][1]))).toDF("g long, n long, params binary")
-        models = write_and_read(numbers.groupBy("g").applyInPandas(lambda rows: merge(rows), "n long, params binary"), "networks")
+        # dealt by hash, half of FAN_IN to a group on average
+        group = F.pmod(F.xxhash64("params"), F.lit(-(-2 * count // FAN_IN))).alias("g")
+        merged = models.select(group, "n", "params").groupBy("g").applyInPandas(merge, "n long, params binary")
+        models = write_and_read(merged, "networks")
     return _mean(models.toPandas())[1] if count else None
 
 
