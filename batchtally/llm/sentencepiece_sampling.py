@@ -45,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 11
 UNITS_AT_ONCE = 100_000
-UNITS_KEPT = 300_000  # distinct words whose lattices a worker keeps; memory only
+UNITS_KEPT = 250_000  # distinct words whose lattices a worker keeps; memory only
 SPACE = "▁"
 
 _UNIT = re.compile(" +[^ ]*")
@@ -158,16 +158,28 @@ class Lattices:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.clear()
 
-    def clear(self) -> None:
-        self.start: dict[str, int] = {}
         self.first = np.zeros(1, dtype=np.int64)  # arcs of state s: first[s] to first[s + 1]
         self.piece = np.zeros(0, dtype=np.int32)  # below 0: -1 - code point, to be written as bytes
         self.target = np.zeros(0, dtype=np.int32)
         self.log_q = np.zeros(0)
-        self.log_other = np.zeros(0)  # log of what the other arcs of the state hold
+        self.log_other = np.zeros(0, dtype=np.float32)  # log of what the other arcs of the state hold
         self.upto = np.zeros(0)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; the arrays are used again."""
+        self.start: dict[str, int] = {}
+        self.n_states = self.n_arcs = 0
+
+    def _append(self, name: str, used: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if used + len(values) > len(held):
+            wider = np.empty((used + len(values)) * 3 // 2, dtype=held.dtype)
+            wider[:used] = held[:used]
+            setattr(self, name, wider)
+            held = wider
+        held[used : used + len(values)] = values
 
     def add(self, words: list[str]) -> None:
         """Build the lattices of new words (without the space in front)."""
@@ -237,15 +249,13 @@ class Lattices:
         per_state = np.zeros(n_chars + len(units), dtype=np.int64)
         per_state[np.arange(n_chars) + unit] = count
 
-        base = len(self.first) - 1
+        base, used = self.n_states, self.n_arcs
         with np.errstate(divide="ignore"):
             log_other = np.where(count[source] > 1, np.log1p(-np.minimum(np.exp(log_q), 1.0)), -np.inf)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(per_state)])
-        self.piece = np.concatenate([self.piece, piece])
-        self.target = np.concatenate([self.target, (base + reach).astype(np.int32)])
-        self.log_q = np.concatenate([self.log_q, log_q])
-        self.log_other = np.concatenate([self.log_other, log_other])
-        self.upto = np.concatenate([self.upto, upto])
+        self._append("first", base + 1, used + np.cumsum(per_state))
+        for name, values in (("piece", piece), ("target", base + reach), ("log_q", log_q), ("log_other", log_other), ("upto", upto)):
+            self._append(name, used, values)
+        self.n_states, self.n_arcs = base + len(per_state), used + n_arcs
         for w, s in zip(words, base + ends - size + np.arange(len(units)), strict=True):
             self.start[w] = int(s)
 
@@ -304,7 +314,7 @@ class Lattices:
         return out
 
     def state_of(self, arc: int) -> int:
-        return int(np.searchsorted(self.first, arc, side="right")) - 1
+        return int(np.searchsorted(self.first[: self.n_states + 1], arc, side="right")) - 1
 
 
 def top_k(lattices: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], seed: int, k: int) -> list[tuple[np.ndarray, float, float]]:
@@ -323,7 +333,7 @@ def top_k(lattices: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], seed:
         own = path[at:]
         log_q = lattices.log_q[path]
         before = np.cumsum(log_q) - log_q
-        left = lattices.log_other[own]
+        left = lattices.log_other[own].astype(np.float64)
         if avoid:
             taken = np.exp(lattices.log_q[[*avoid, path[at]]]).sum()
             left[0] = np.log1p(-taken) if taken < 1 - 1e-12 else -np.inf
