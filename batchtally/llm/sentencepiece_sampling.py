@@ -44,8 +44,8 @@ from batchtally.llm.common import documents, required
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 11
-UNITS_AT_ONCE = 100_000
-UNITS_KEPT = 250_000  # distinct words whose lattices a worker keeps; memory only
+UNITS_AT_ONCE = 60_000
+UNITS_KEPT = 120_000  # distinct words whose lattices a worker keeps; memory only
 SPACE = "▁"
 
 _UNIT = re.compile(" +[^ ]*")
