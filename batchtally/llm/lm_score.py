@@ -195,8 +195,9 @@ def average(models: DataFrame) -> np.ndarray | None:
         return pd.DataFrame({"n": [n], "params": [params.astype(np.float32).tobytes()]})
 
     while (count := models.count()) > FAN_IN:
-        # dealt by hash, half of FAN_IN to a group on average
-        group = F.pmod(F.xxhash64("params"), F.lit(-(-2 * count // FAN_IN))).alias("g")
+        # dealt by hash, half of FAN_IN to a group on average; fewer groups than networks, so every level shrinks
+        groups = min(-(-2 * count // FAN_IN), count // 2)
+        group = F.pmod(F.xxhash64("params"), F.lit(groups)).alias("g")
         merged = models.select(group, "n", "params").groupBy("g").applyInPandas(merge, "n long, params binary")
         models = write_and_read(merged, "networks")
     return _mean(models.toPandas())[1] if count else None
