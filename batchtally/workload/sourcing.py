@@ -208,11 +208,6 @@ def moved_log_paths(t: Tables) -> DataFrame:
 MOVED_SQL = "SELECT l_orderkey, '/new/T/1e.' || l_orderkey || '.0.out' AS log FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity > 5"
 
 
-def dir_listing(t: Tables) -> DataFrame:
-    """The table files themselves as a directory dataset."""
-    return S.dir_manifest(t.spark, "/tables", t.sf_dir, "*.parquet").select("dataset", P.basename("name").alias("name"), "nevents", "size_gb")
-
-
 def path_functions(t: Tables) -> DataFrame:
     u = F.col("url")
     return t.pages.select(
@@ -379,7 +374,6 @@ QUERIES = {
     "metadata_round_trip": (metadata_round_trip, METADATA_SQL),
     "summary_documents": (summary_documents, DOCUMENTS_SQL),
     "moved_log_paths": (moved_log_paths, MOVED_SQL),
-    "dir_listing": (dir_listing, None),
     "path_functions": (path_functions, PATHS_SQL),
     "file_names": (file_names, NAMES_SQL),
     "open_ingest": (open_ingest, INGEST_SQL),
