@@ -23,8 +23,8 @@ they do not merge.
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Callable, Iterator, Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,53 +33,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from batchtally.plans.scan import MAX_GROUP_ROWS, Census, carry_last, group_sizes, hot_keys, number_rows
+from batchtally.plans.scan import MAX_GROUP_ROWS, Census, carry_min, group_sizes, hot_keys, number_rows
 from batchtally.plans.storage import cut
 
 
-def _opening_rule(files: int | None, limit: float | None) -> Callable[[float, float], bool]:
-    if files is None:
-        return lambda held, n: held + n > limit
-    if limit is None:
-        return lambda held, n: held >= files
-    return lambda held, n: held >= files or held + n > limit
-
-
-def _fold(count: str, files: int | None, limit: float | None, out: str, closed: str):
+def _fold(count: str, files: int | None, limit: int | None, out: str, closed: str):
     """mapInPandas function over numbered rows of whole keys; its state outlives a batch.
 
-    The rows of the open group wait until it is closed or its key ends.
+    All jumps of a batch come from one search over its rows; Python then takes
+    one step per group. The rows of the open group wait until it is closed or
+    its key ends.
     """
-    opens = _opening_rule(files, limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held, filled, group = 0, 0, 0, 0
+        last, held, filled, group = 0, 0, 0, 0  # of the open group: events, rows, number
         waiting: list[pd.DataFrame] = []
         for pdf in batches:
-            ids, done = [], []
-            open_from = 0  # first row of this batch that is in the open group
-            for i, (at, n) in enumerate(zip(pdf["_at"].tolist(), pdf[count].tolist())):
-                ends_key = at == 1
-                if not ends_key and at != last + 1:
-                    raise RuntimeError("rows of a key are not in one partition in order")
-                last = at
-                if ends_key or (filled and opens(held, n)):
-                    full = not ends_key or filled == files
-                    done += [full] * (i - open_from)
-                    for part in waiting:
-                        yield part.assign(**{closed: full})
-                    waiting, open_from = [], i
-                    group = 0 if ends_key else group + 1
-                    held, filled = 0, 0
-                filled += 1
-                held += 1 if files is not None else n
-                ids.append(group)
+            if pdf.empty:
+                continue
+            at, n = pdf["_at"].to_numpy(), pdf[count].to_numpy(dtype="int64")
+            row, size = np.arange(len(at)), len(at)
+            first = at == 1
+            if not np.all(first | (at == np.concatenate(([last], at[:-1])) + 1)):
+                raise RuntimeError("rows of a key are not in one partition in order")
+            last = int(at[-1])
+            heads = np.flatnonzero(first)
+            ends = np.append(heads, size)[np.searchsorted(heads, row, side="right")]  # where the row's key ends
+            if files is None:
+                sums = np.cumsum(n)
+                jump = np.maximum(np.searchsorted(sums, sums - n + limit, side="right"), row + 1)
+                at_once = int(np.searchsorted(sums, limit - held, side="right"))
+            else:
+                jump, at_once = row + files, files - filled
+                if limit is not None:
+                    reach = np.maximum.accumulate(np.minimum(row + n - limit, row))
+                    jump = np.minimum(jump, np.searchsorted(reach, row, side="right"))
+                    at_once = min(at_once, int(np.searchsorted(reach, -filled, side="right")))
+            hops = np.minimum(jump, ends).tolist()
+            i = 0 if first[0] else min(at_once, int(ends[0]))
+            starts = []
+            while i < size:
+                starts.append(i)
+                i = hops[i]
+
+            opened = np.zeros(size, dtype="int64")
+            opened[starts] = 1
+            number = np.cumsum(opened)
+            before = np.maximum.accumulate(np.where(first, number, -1))
             pdf = pdf.drop(columns="_at")
-            pdf[out] = np.asarray(ids, dtype="int64")
-            if open_from:
-                yield pdf.iloc[:open_from].assign(**{closed: np.asarray(done, dtype=bool)})
-            if open_from < len(pdf):
-                waiting.append(pdf.iloc[open_from:])
+            pdf[out] = np.where(before < 0, number + group, number - before)
+            group = int(pdf[out].iloc[-1])
+            if not starts:
+                held, filled = held + int(n.sum()), filled + size
+                waiting.append(pdf)
+                continue
+            full = not first[starts[0]] or filled + starts[0] == files
+            for part in waiting:
+                yield part.assign(**{closed: full})
+            rows = np.diff(starts)
+            done = np.concatenate((np.full(starts[0], full), np.repeat(~first[starts[1:]] | (rows == files), rows)))
+            if starts[-1]:
+                yield pdf.iloc[: starts[-1]].assign(**{closed: done})
+            waiting = [pdf.iloc[starts[-1] :]]
+            held, filled = int(n[starts[-1] :].sum()), size - starts[-1]
         for part in waiting:
             yield part.assign(**{closed: filled == files})
 
@@ -94,58 +110,40 @@ def _block_of(pos: str, size: int) -> Column:
     return F.floor((F.col(pos) - 1) / size).cast("bigint")
 
 
-def _event_jumps(rows: DataFrame, keys: list[str], count: str, limit: float, bound: int) -> DataFrame:
-    """Jump to the first row whose running sum passes (sum before this row + limit).
+def _limit_jumps(rows: DataFrame, keys: list[str], level: Column, ask: Column, census: tuple[int, int], bound: int) -> DataFrame:
+    """Jump to the first row whose ``level`` is above the row's ``ask``.
 
-    Rows and thresholds are sorted together: the answer is the next row after
-    the threshold. On ties the row sorts first, as the limit is strict.
+    Levels and asks are sorted together, downwards: the answer is the smallest
+    position among the levels before the ask. On ties the ask sorts first, as
+    the limit is strict.
     """
-    base = rows.select(*keys, "_pos", F.col("_sum").cast("double").alias("_v"), F.col(count).cast("double").alias("_n"))
-    asks = base.select(*keys, "_pos", (F.col("_v") - F.col("_n") + F.lit(float(limit))).alias("_v"), F.lit(1).alias("_ask"))
-    both = base.select(*keys, "_pos", "_v", F.lit(0).alias("_ask")).unionByName(asks)
-    backwards = [F.col("_v").desc(), F.col("_ask").desc(), F.col("_pos").desc()]
-    row_seen = F.when(F.col("_ask") == 0, F.col("_pos"))
-    seen = carry_last(both, keys, backwards, {"_hit": row_seen}, max_group_rows=bound)
+    base = rows.select(*keys, "_pos", level.alias("_v"), ask.alias("_a"))
+    levels = base.select(*keys, "_pos", "_v", F.lit(0).alias("_ask"))
+    both = levels.unionByName(base.select(*keys, "_pos", F.col("_a").alias("_v"), F.lit(1).alias("_ask")))
+    downwards = [F.col("_v").desc(), F.col("_ask").desc(), F.col("_pos").desc()]
+    above = F.when(F.col("_ask") == 0, F.col("_pos"))
+    sizes = (2 * census[0], 2 * census[1])
+    seen = carry_min(both, keys, downwards, {"_hit": above}, census=sizes, max_group_rows=bound)
     after_own = F.greatest(F.col("_hit"), F.col("_pos") + 1)
     return seen.filter("_ask = 1").select(*keys, "_pos", F.when(F.col("_hit").isNotNull(), after_own).alias("_jump"))
 
 
-def _both_jumps(rows: DataFrame, keys: list[str], count: str, files: int, limit: float, bound: int) -> DataFrame:
+def _event_jumps(rows: DataFrame, keys: list[str], count: str, limit: int, census: tuple[int, int], bound: int) -> DataFrame:
+    """The first later row whose running sum passes the sum before this row plus the limit."""
+    return _limit_jumps(rows, keys, F.col("_sum"), F.col("_sum") - F.col(count) + F.lit(limit), census, bound)
+
+
+def _both_jumps(
+    rows: DataFrame, keys: list[str], count: str, files: int, limit: int, census: tuple[int, int], bound: int
+) -> DataFrame:
     """Jump when both limits hold; the held number then counts files.
 
-    A group spans at most ``files`` rows, so a block that also holds its
-    successor can answer for all of its own rows.
+    Row j closes a group opened by row i < j when j - i + n(j) > limit, so when
+    min(j, j + n(j) - limit) > i.
     """
-    size = max(bound, files)
-    own = _block_of("_pos", size)
-    wide = rows.select(
-        *keys,
-        "_pos",
-        F.col(count).cast("double").alias("_n"),
-        F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))).alias("_block"),
-    )
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", ignore_index=True)
-        pos = pdf["_pos"].tolist()
-        level = [p + n for p, n in zip(pos, pdf["_n"].tolist())]
-        near_levels: list[float] = []  # negated, far to near
-        near_rows: list[int] = []
-        jumps: list[int | None] = [None] * len(pos)
-        for i in range(len(pos) - 1, -1, -1):
-            above = bisect.bisect_left(near_levels, -(limit + pos[i]))
-            target = min(i + files, near_rows[above - 1] if above else len(pos))
-            jumps[i] = pos[target] if target < len(pos) else None
-            while near_levels and -near_levels[-1] <= level[i]:
-                near_levels.pop()
-                near_rows.pop()
-            near_levels.append(-level[i])
-            near_rows.append(i)
-        pdf["_jump"] = pd.array(jumps, dtype="Int64")
-        mine = (pdf["_pos"] - 1) // size == pdf["_block"].iloc[0]
-        return pdf.loc[mine, [*keys, "_pos", "_jump"]]
-
-    return wide.groupBy(*keys, "_block").applyInPandas(answer, _shape(rows, keys, "_pos", "_jump"))
+    level = F.least(F.col("_pos"), F.col("_pos") + F.col(count) - F.lit(limit))
+    jumps = _limit_jumps(rows, keys, level, F.col("_pos"), census, bound)
+    return jumps.withColumn("_jump", F.least("_jump", F.col("_pos") + files))
 
 
 def _leave_block(keys: list[str]):
@@ -247,9 +245,12 @@ def greedy_groups(
     ``files`` rows. A row opens a group when the held number plus its ``count`` would pass
     ``limit`` (strictly), or when ``files`` rows are held. With ``files`` given
     the held number counts rows. Keys, order and counts must not be NULL, the
-    order must be total, and counts must not be negative.
+    order must be total, and counts must be whole and not negative. All sums are
+    whole numbers, so the limit counts by its whole part, and a key is grouped
+    alike below and above ``max_group_rows``. Counts may sum up to 2**61.
     """
     keys, order = list(keys), list(order)
+    limit = None if limit is None else math.floor(min(limit, 2**61))
     shape = T.StructType([*df.schema.fields, T.StructField(out, T.LongType()), T.StructField(closed, T.BooleanType())])
 
     def folded(part: DataFrame) -> DataFrame:
@@ -257,20 +258,19 @@ def greedy_groups(
         numbered = part.withColumn("_at", F.row_number().over(walk))
         return numbered.mapInPandas(_fold(count, files, limit, out, closed), shape)
 
-    if group_sizes(df, keys, census)[0] <= max_group_rows:
+    sizes = group_sizes(df, keys, census)
+    if sizes[0] <= max_group_rows:
         return folded(df)
 
     # at most (all rows / max_group_rows) keys, so broadcasting them is safe and saves a shuffle by key
     hot = F.broadcast(cut(hot_keys(census if isinstance(census, DataFrame) else df, keys, max_group_rows)))
-    rows = cut(
-        number_rows(
-            df.join(hot, keys, "left_semi"), keys, order, pos="_pos", sums={"_sum": count}, max_group_rows=max_group_rows
-        )
-    )
+    large = df.join(hot, keys, "left_semi")
+    sums = {"_sum": F.col(count).cast("bigint")}
+    rows = cut(number_rows(large, keys, order, pos="_pos", sums=sums, census=sizes, max_group_rows=max_group_rows))
     if files is not None and limit is not None:
-        jumps = _both_jumps(rows, keys, count, files, limit, max_group_rows)
+        jumps = _both_jumps(rows, keys, count, files, limit, sizes, max_group_rows)
     elif limit is not None:
-        jumps = _event_jumps(rows, keys, count, limit, max_group_rows)
+        jumps = _event_jumps(rows, keys, count, limit, sizes, max_group_rows)
     else:
         jumps = rows.select(*keys, "_pos", (F.col("_pos") + files).alias("_jump"))
     groups = _reach(jumps, keys, max_group_rows, files)

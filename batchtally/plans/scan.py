@@ -143,33 +143,51 @@ def number_rows(
     return out.drop(*extra, *(["_all"] if plain else []))
 
 
-def carry_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    values: Mapping[str, Column | str],
-    *,
-    census: Census = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Add, per new column, the last non-NULL value up to and including the row."""
+def _carry(df, keys, order, values, census, max_group_rows, pick, merge) -> DataFrame:
+    """Running ``pick`` of each value; ``merge`` joins a block's own with what the blocks before gave."""
     keys = list(keys)
     values = {k: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()}
     top, total = group_sizes(df, keys, census)
     if top <= max_group_rows:
         w = W.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumns({k: F.last(v, ignorenulls=True).over(w) for k, v in values.items()})
+        return df.withColumns({k: pick(v).over(w) for k, v in values.items()})
 
     names = [*keys, "_block"]
     blocks = _blocks(df, keys, order, total, max_group_rows)
     w = W.partitionBy(*names).orderBy(*_cols(order))
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = blocks.withColumns(
-        {"_p": F.row_number().over(w), **{f"_l_{k}": F.last(v, ignorenulls=True).over(upto) for k, v in values.items()}}
+        {"_p": F.row_number().over(w), **{f"_l_{k}": pick(v).over(upto) for k, v in values.items()}}
     )
     ends = local.groupBy(*names).agg(*[F.max_by(f"_l_{k}", "_p").alias(f"_e_{k}") for k in values])
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    shift = ends.select(*names, *[F.last(f"_e_{k}", ignorenulls=True).over(before).alias(f"_o_{k}") for k in values])
+    shift = ends.select(*names, *[pick(F.col(f"_e_{k}")).over(before).alias(f"_o_{k}") for k in values])
     joined = _join_blocks(local, shift, names)
-    out = joined.withColumns({k: F.coalesce(F.col(f"_l_{k}"), F.col(f"_o_{k}")) for k in values})
+    out = joined.withColumns({k: merge(F.col(f"_l_{k}"), F.col(f"_o_{k}")) for k in values})
     return out.drop("_block", "_p", *[f"_l_{k}" for k in values], *[f"_o_{k}" for k in values])
+
+
+def carry_last(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    values: Mapping[str, Column | str],
+    *,
+    census: Census = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Add, per new column, the last non-NULL value up to and including the row."""
+    return _carry(df, keys, order, values, census, max_group_rows, lambda v: F.last(v, ignorenulls=True), F.coalesce)
+
+
+def carry_min(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    values: Mapping[str, Column | str],
+    *,
+    census: Census = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Add, per new column, the smallest non-NULL value up to and including the row."""
+    return _carry(df, keys, order, values, census, max_group_rows, F.min, F.least)

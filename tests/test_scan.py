@@ -99,6 +99,19 @@ def test_groups_do_not_depend_on_partitions(spark):
     assert len(seen) == 1
 
 
+@pytest.mark.parametrize("files,limit", [(None, 2), (None, 2.9), (3, 2)])
+def test_groups_do_not_depend_on_the_bound(spark, files, limit):
+    """Sums beyond the exact range of doubles, and limits that are not whole."""
+    counts = [2**53, 1, 1, 1, 1, 1]
+    df = spark.createDataFrame([("a", i, n) for i, n in enumerate(counts)], "k string, s bigint, n bigint")
+    want = greedy(counts, files, limit)
+    for bound in (2, 1_000_000):
+        got = greedy_groups(df, ["k"], ["s"], count="n", files=files, limit=limit, max_group_rows=bound)
+        assert {r.s: r.chunk for r in got.collect()} == want
+    if files is None:
+        assert [want[i] for i in range(6)] == [0, 1, 1, 2, 2, 3]
+
+
 def test_fold_waits_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
