@@ -125,13 +125,22 @@ def extend_mapping(
     """New mapping rows for the files not mapped yet.
 
     ``datasets`` holds ``dataset, open, output_dir``. A closed dataset is always
-    flushed. Indices go on after the largest one in use, from 1.
+    flushed. Indices go on after the largest one in use, from 1. A file of a
+    dataset without a row in ``datasets`` is an error.
+
+    The whole manifest bounds the files to plan; they are only counted
+    themselves where that bound is too large for the plain plan.
     """
     files = unmapped_files(manifest, mapping, datasets).select("dataset", "seq", "name", "nevents")
-    assigned = assign_chunks(files, rule, census=manifest, max_group_rows=max_group_rows)
+    sizes = largest_group(manifest, ["dataset"])
+    if sizes[0] > max_group_rows:
+        sizes = largest_group(files, ["dataset"])
+    assigned = assign_chunks(files, rule, census=sizes, max_group_rows=max_group_rows)
     used = mapping.groupBy("dataset").agg(F.max("out_index").alias("_used"))
     plan = datasets.select("dataset", F.coalesce("open", F.lit(False)).alias("_open"), "output_dir").join(used, "dataset", "left")
-    kept = assigned.join(plan, "dataset").filter(F.col("closed") | ~F.col("_open") | F.lit(flush))
+    unknown = F.raise_error(F.concat(F.lit("no row in datasets for "), F.coalesce("dataset", F.lit("NULL")))).cast("boolean")
+    complete = F.when(F.col("_open").isNull(), unknown).otherwise(F.col("closed") | ~F.col("_open") | F.lit(flush))
+    kept = assigned.join(plan, "dataset", "left").filter(complete)
     numbered = kept.withColumn("out_index", F.coalesce("_used", F.lit(0)) + F.col("chunk") + 1)
     return _mapping_rows(numbered, F.col("output_dir"), base)
 
@@ -280,25 +289,38 @@ def pair_in_order(inputs: DataFrame, outputs: DataFrame, *, max_group_rows: int
     )
 
 
-def route_records(
-    records: DataFrame, mapping: DataFrame, *, file: str = "file", rows_per_task: int = 1_000_000, spread: Sequence[str] = ()
-) -> DataFrame:
-    """Records with the output they belong to, laid out for writing.
-
-    An output larger than ``rows_per_task`` is spread over several tasks by a
-    hash of ``spread`` (or of all record columns), so one huge output does not
-    end up in one task.
-    """
-    totals = mapping.groupBy("dataset", "out_index").agg(F.sum(F.coalesce("in_nevents", F.lit(0))).alias("_events"))
-    sized = mapping.select("dataset", "out_index", F.col("in_name").alias(file)).join(totals, ["dataset", "out_index"])
-    lanes = F.greatest(F.ceil(F.col("_events") / rows_per_task), F.lit(1)).cast("bigint")
-    spread_cols = list(spread) or records.columns
-    lane = F.pmod(F.xxhash64(*spread_cols), lanes)
-    return records.join(sized, file).withColumn("_lane", lane).repartition("dataset", "out_index", "_lane").drop("_lane", "_events")
-
+def route_records(records: DataFrame, mapping: DataFrame, *, file: str = "file") -> DataFrame:
+    """Records with the output they belong to."""
+    return records.join(mapping.select("dataset", "out_index", F.col("in_name").alias(file)), file)
 
-def materialise(records: DataFrame, mapping: DataFrame, path: str, **layout) -> None:
-    """Write one folder per output with the records of its inputs."""
-    route_records(records, mapping, **layout).write.partitionBy("dataset", "out_index").parquet(path)
 
+def materialise(
+    records: DataFrame,
+    mapping: DataFrame,
+    path: str,
+    *,
+    row_id: Sequence[str],
+    file: str = "file",
+    rows_per_task: int = 1_000_000,
+    folders: int | None = None,
+) -> None:
+    """Write the records of each output's inputs, one folder per output.
 
+    An output larger than ``rows_per_task`` is spread over several tasks by a
+    hash of ``row_id``, the columns that tell its records apart; they must not
+    change when a task is run again. Sizes are those of the records, not of the
+    mapping. With ``folders`` the outputs of a dataset share that many
+    folders, and ``out_index`` stays a column.
+    """
+    placed = mapping.select("dataset", "out_index", F.col("in_name").alias(file))
+    per_file = records.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
+    totals = placed.join(per_file, file).groupBy("dataset", "out_index").agg(F.sum("_n").alias("_rows"))
+    sized = placed.join(totals, ["dataset", "out_index"])
+    lanes = F.ceil(F.col("_rows") / rows_per_task).cast("bigint")
+    routed = records.join(sized, file).withColumn("_lane", F.pmod(F.xxhash64(*row_id), lanes))
+    laid_out = routed.repartition("dataset", "out_index", "_lane").drop("_lane", "_rows")
+    if folders is None:
+        laid_out.write.partitionBy("dataset", "out_index").parquet(path)
+    else:
+        bucket = F.pmod(F.col("out_index"), F.lit(folders)).alias("folder")
+        laid_out.select("*", bucket).write.partitionBy("dataset", "folder").parquet(path)

@@ -23,12 +23,25 @@ def event_counts(events: DataFrame, *, file: str = "file", weight: str = "weight
     )
 
 
-def prefer_stored(computed: DataFrame, stored: DataFrame, *, file: str = "file") -> DataFrame:
-    """Stored counts where present, each of the two on its own, else computed ones."""
-    s = stored.select(file, F.col("n").alias("_n"), F.col("n_negative").alias("_neg"))
-    return computed.join(s, file, "left").withColumns(
-        {"n": F.coalesce("_n", "n"), "n_negative": F.coalesce("_neg", "n_negative")}
-    ).drop("_n", "_neg")
+def lacking_counts(stored: DataFrame, *, file: str = "file") -> DataFrame:
+    """Files without one of the stored counts: the only ones whose records must be read."""
+    return stored.filter(F.col("n").isNull() | F.col("n_negative").isNull()).select(file)
+
+
+def prefer_stored(stored: DataFrame, computed: DataFrame, *, file: str = "file") -> DataFrame:
+    """Every stored file with its stored counts, each of the two on its own, else the computed ones.
+
+    A file without records has zero counts. ``n_nonpositive`` is never stored, so
+    it is NULL for files that need no reading.
+    """
+    c = computed.select(file, *[F.col(k).alias(f"_{k}") for k in ("n", "n_negative", "n_nonpositive")])
+    needed = F.col("n").isNull() | F.col("n_negative").isNull()
+    return stored.select(file, "n", "n_negative").join(c, file, "left").select(
+        file,
+        F.coalesce("n", "_n", F.lit(0)).alias("n"),
+        F.coalesce("n_negative", "_n_negative", F.lit(0)).alias("n_negative"),
+        F.when(needed, F.coalesce("_n_nonpositive", F.lit(0))).alias("n_nonpositive"),
+    )
 
 
 def needs_scan(manifest: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from batchtally.functions.paths import log_path
@@ -103,9 +104,8 @@ def mapping_rows_done(outputs: DataFrame, key: str = "map_id") -> DataFrame:
 
 def chain_requirements(tasks: DataFrame) -> DataFrame:
     """``(path, position, task)`` to ``(path, task, requires)``: each task requires its predecessor."""
-    placed = number_rows(tasks.select("path", "position", "task"), ["path"], ["position", "task"])
-    before = placed.select("path", (F.col("pos") + 1).alias("pos"), F.col("task").alias("requires"))
-    return placed.join(before, ["path", "pos"], "left").select("path", "task", "requires")
+    chain = W.partitionBy("path").orderBy("position", "task")  # a path is one user's chain of tasks, never large
+    return tasks.select("path", "task", F.lag("task").over(chain).alias("requires"))
 
 
 def readiness(tasks: DataFrame, edges: DataFrame, complete: DataFrame) -> DataFrame:

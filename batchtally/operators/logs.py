@@ -113,13 +113,14 @@ def telemetry(logs: DataFrame, *, log: str = "log", body: str = "body", keep: Se
 
     ``value`` is the number, ``raw`` the text of clock-like cells, ``bad`` marks
     text that is neither. ``epoch`` and ``since_start`` repeat the row's time, so
-    that time pairs need no join.
+    that time pairs need no join; the start is the first readable time.
     """
     ids = [log, *keep]
     at = F.array_position("_cols", F.lit("epoch")).cast("int")
     timed = _once(_table(logs, ids, body), _at=F.when(F.array_contains("_keep", at), at))
-    first = F.try_element_at(F.try_element_at("_rows", F.lit(1)), F.col("_at"))
-    rows = _once(timed, _first=try_number(first)).select(
+    times = F.transform("_rows", lambda cells: try_number(F.try_element_at(cells, F.col("_at"))))
+    first = F.try_element_at(F.filter(times, lambda x: x.isNotNull()), F.lit(1))
+    rows = _once(timed, _first=first).select(
         *ids, "_cols", "_keep", "_at", "_first", F.posexplode("_rows").alias("row_no", "_cells")
     )
     epoch = try_number(F.try_element_at("_cells", F.col("_at")))

@@ -23,13 +23,13 @@ PANEL_BINS = 50
 
 
 def zeroed_time(samples: DataFrame, *, log: str = "log", order: str = "row_no", epoch: str = "epoch") -> DataFrame:
-    """Add ``x``: time since the first sample of the log. Logs without a first time are left out.
+    """Add ``x``: time since the first readable time of the log. Samples without a time are left out.
 
     The first time is an aggregate joined back, so a huge log needs no single task.
     """
-    start = samples.groupBy(log).agg(F.min_by(epoch, order).alias("_start")).filter("_start is not null")
-    timed = samples.filter(F.col(epoch).isNotNull()).join(start, log)
-    return timed.withColumn("x", F.col(epoch) - F.col("_start")).drop("_start")
+    timed = samples.filter(F.col(epoch).isNotNull())
+    start = timed.groupBy(log).agg(F.min_by(epoch, order).alias("_start"))
+    return timed.join(start, log).withColumn("x", F.col(epoch) - F.col("_start")).drop("_start")
 
 
 def flatten_metric(telemetry: DataFrame, metric: str) -> DataFrame:
@@ -48,7 +48,9 @@ def pair_metrics(telemetry: DataFrame, x: str, y: str) -> DataFrame:
     )
     if "epoch" in (x, y):
         first = (
-            telemetry.filter(F.col("metric") == "epoch").groupBy("log").agg(F.min_by("value", "row_no").alias("_start"))
+            telemetry.filter((F.col("metric") == "epoch") & F.col("value").isNotNull())
+            .groupBy("log")
+            .agg(F.min_by("value", "row_no").alias("_start"))
         )
         both = both.join(first, "log")
         for name, metric in (("x", x), ("y", y)):
@@ -95,7 +97,7 @@ def _boxed(points: DataFrame, keys: Sequence[str], axes: Sequence[str], top: Col
 
 def _largest(x: str, floor_at_one: bool = True) -> Column:
     top = F.max(x).cast("double")
-    return F.greatest(top, F.lit(1.0)) if floor_at_one else top
+    return F.greatest(top, F.lit(1.0)) if floor_at_one else F.coalesce(F.nullif(top, F.lit(0.0)), F.lit(1.0))
 
 
 def bin_of(value: Column | str, lo: Column | str, hi: Column | str, bins: int) -> Column:
@@ -123,15 +125,6 @@ def hist_1d(points: DataFrame, x: str, bins: int, keys: Sequence[str] = ()) -> D
     return binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def normalise(points: DataFrame, x: str, keys: Sequence[str] = (), floor_at_one: bool = True) -> DataFrame:
-    """x divided by its largest value (by at least 1)."""
-    top = _largest(x, floor_at_one)
-    if keys:
-        tops = points.groupBy(*keys).agg(top.alias("_top"))
-        return points.join(tops, list(keys)).withColumn(x, F.col(x) / F.col("_top")).drop("_top")
-    return points.withColumn(x, F.col(x) / points.agg(top.alias("_top")).scalar())
-
-
 def hist_2d(
     points: DataFrame, x: str, y: str, bins: int = PANEL_BINS, *, keys: Sequence[str] = (), norm_x: bool = True, scale_y: float = 1.0
 ) -> DataFrame:
@@ -147,7 +140,10 @@ def hist_2d(
 
 
 def profile(points: DataFrame, x: str, y: str, bins: int, *, keys: Sequence[str] = (), norm_x: bool = False) -> DataFrame:
-    """Mean and spread of y per bin of x, at the bin centre."""
+    """Mean and spread of y per bin of x, at the bin centre.
+
+    ``norm_x`` divides x by its largest value; x stays as it is when that is 0.
+    """
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     boxed = _boxed(p, keys, [x], _largest(x, floor_at_one=False) if norm_x else None)
     lo, hi = F.col(f"_lo_{x}"), F.col(f"_hi_{x}")

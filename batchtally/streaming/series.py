@@ -1,35 +1,67 @@
-"""Windowed streams: progress history and telemetry means.
+"""Windowed series of streams: progress history and telemetry means.
 
-The watermark is ours: it bounds the state and closes a window once.
+Each micro-batch is aggregated on its own and written under its number, so a
+replayed batch replaces itself. Readers merge the parts of a window. No window
+waits for a watermark, and records that come late still count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from batchtally.operators.rollup import MEASURES
 
 
-def _start(window: str):
-    return F.unix_seconds(F.col(f"{window}.start")).alias("ts")
+def start_series(
+    stream: DataFrame, parts: Callable[[DataFrame], DataFrame], path: str, *, trigger: dict | None = None
+) -> StreamingQuery:
+    """Write ``parts`` of every micro-batch below ``path``; by default until the input is used up."""
 
+    def store(batch: DataFrame, batch_id: int) -> None:
+        parts(batch).write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
 
-def progress_history(progress: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
-    """Latest progress record per dataset and 5-minute window; ``ts`` is a TIMESTAMP."""
     return (
-        progress.withWatermark("ts", delay)
-        .groupBy("dataset", F.window("ts", "5 minutes").alias("w"))
-        .agg(F.max_by(F.struct(*MEASURES), "ts").alias("_m"))
-        .select("dataset", _start("w"), "_m.*")
+        stream.writeStream.foreachBatch(store)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
 
 
-def telemetry_means(samples: DataFrame, *, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Mean of each metric per log and window of samples ``(log, ts, metric, value)``."""
-    return (
-        samples.withWatermark("ts", delay)
-        .groupBy("log", "metric", F.window("ts", width).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-        .select("log", "metric", _start("w"), "n", "mean")
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/table").drop("batch_id")
+
+
+def _start(width: str) -> Column:
+    return F.unix_seconds(F.window("ts", width)["start"]).alias("ts")
+
+
+def progress_parts(progress: DataFrame) -> DataFrame:
+    """Latest progress record ``(dataset, ts, measures)`` per dataset and 5-minute window; ``ts`` is a TIMESTAMP."""
+    point = F.struct(F.col("ts").alias("at"), *MEASURES)
+    return progress.groupBy("dataset", _start("5 minutes")).agg(F.max(point).alias("point"))
+
+
+def progress_history(parts: DataFrame) -> DataFrame:
+    """The latest record of each window over all batches; of equal times the one with the largest measures."""
+    best = parts.groupBy("dataset", "ts").agg(F.max("point").alias("point"))
+    return best.select("dataset", "ts", *[F.col(f"point.{m}").alias(m) for m in MEASURES])
+
+
+def telemetry_parts(samples: DataFrame, *, width: str = "5 minutes") -> DataFrame:
+    """Count and sum of each metric per log and window of samples ``(log, ts, metric, value)``."""
+    return samples.groupBy("log", "metric", _start(width)).agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.sum("value").alias("total")
+    )
+
+
+def telemetry_means(parts: DataFrame) -> DataFrame:
+    """Samples and mean of each window over all batches; the mean is NULL without a value."""
+    merged = parts.groupBy("log", "metric", "ts").agg(
+        F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("total").alias("total")
     )
+    return merged.select("log", "metric", "ts", "n", F.try_divide("total", "known").alias("mean"))

@@ -41,7 +41,7 @@ CELLS = """cells AS (SELECT lang AS dataset, 'doc_' || doc_id || '.out' AS log,
 
 TELEMETRY_SQL = with_views(
     "doc_lines",
-    """SELECT log, row_no, metric, value, CASE WHEN metric = 'date/time' THEN '18-07 21:23:33' END AS raw, CAST(since_start AS DOUBLE) AS since_start, false AS bad FROM cells""",
+    """SELECT log, row_no, metric, value, CASE WHEN metric = 'date/time' THEN '05-11 08:40:12' END AS raw, CAST(since_start AS DOUBLE) AS since_start, false AS bad FROM cells""",
     more=CELLS,
 )
 
@@ -55,7 +55,7 @@ COLUMNS_SQL = with_views(
     "doc_lines",
     """SELECT 'doc_' || doc_id || '.out' AS log, unnest(['usr', 'sys', 'used', 'read', 'date/time', 'epoch']) AS metric,
   unnest([string_agg(length(line), '|' ORDER BY line_no), string_agg(len(string_split(line, ' ')), '|' ORDER BY line_no),
-    string_agg(line_no * 1000, '|' ORDER BY line_no), string_agg('1', '|' ORDER BY line_no), string_agg('18-07 21:23:33', '|' ORDER BY line_no),
+    string_agg(line_no * 1000, '|' ORDER BY line_no), string_agg('1', '|' ORDER BY line_no), string_agg('05-11 08:40:12', '|' ORDER BY line_no),
     string_agg(1500000000 + (line_no - 1) * 45, '|' ORDER BY line_no)]) AS cells FROM doc_lines GROUP BY doc_id""",
 )
 

@@ -13,7 +13,14 @@ from batchtally.plans.storage import fresh_path
 from batchtally.sources import catalog as C
 from batchtally.sources import files as S
 from batchtally.streaming.ingest import IngestStore, flush_leftovers, outputs_stream, start_ingest
-from batchtally.streaming.series import progress_history, telemetry_means
+from batchtally.streaming.series import (
+    progress_history,
+    progress_parts,
+    read_series,
+    start_series,
+    telemetry_means,
+    telemetry_parts,
+)
 from batchtally.workload.progress import _rollup
 from batchtally.workload.tables import Tables, with_views
 from batchtally.workload.tracking import summary_rows
@@ -316,17 +323,10 @@ def _event_stream(t: Tables) -> DataFrame:
     return stream.withColumn("ts", F.timestamp_micros(V.epoch_micros("ts"))).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
-def _run_to_table(t: Tables, stream: DataFrame, label: str) -> DataFrame:
+def _run_series(t: Tables, stream: DataFrame, parts, label: str) -> DataFrame:
     path = fresh_path(t.spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/table")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{path}/table")
+    start_series(stream, parts, path).awaitTermination()
+    return read_series(t.spark, path)
 
 
 def progress_stream(t: Tables) -> DataFrame:
@@ -334,26 +334,21 @@ def progress_stream(t: Tables) -> DataFrame:
         F.col("event_type").alias("dataset"), "ts", F.col("k").alias("nevents_total"), (F.col("k") - 1).alias("nevents_done"),
         F.col("event_id").alias("njobs_total"), F.col("user_id").alias("njobs_done"),
     )
-    return _run_to_table(t, progress_history(points), "progress")
+    return progress_history(_run_series(t, points, progress_parts, "progress"))
 
 
-_WINDOWS = """w AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 300000000 * 300 AS s FROM events),
-closed AS (SELECT * FROM w WHERE (s + 300) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events))"""
-PROGRESS_STREAM_SQL = f"""WITH {_WINDOWS}
-SELECT event_type AS dataset, s AS ts, arg_max(k, ts) AS nevents_total, arg_max(k, ts) - 1 AS nevents_done, arg_max(event_id, ts) AS njobs_total,
-  arg_max(user_id, ts) AS njobs_done FROM closed GROUP BY 1, 2""".replace("arg_max(k, ts)", "arg_max(k, closed.ts)").replace(
-    "(event_id, ts)", "(event_id, closed.ts)"
-).replace("(user_id, ts)", "(user_id, closed.ts)")
+PROGRESS_STREAM_SQL = """SELECT event_type AS dataset, s AS ts, k AS nevents_total, k - 1 AS nevents_done, event_id AS njobs_total, user_id AS njobs_done
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type, s ORDER BY ts DESC, k DESC, event_id DESC, user_id DESC) AS place
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 300000000 * 300 AS s FROM events)) WHERE place = 1"""
 
 
 def telemetry_stream(t: Tables) -> DataFrame:
     samples = _event_stream(t).select(F.col("event_type").alias("log"), "ts", F.lit("usr").alias("metric"), "value")
-    got = _run_to_table(t, telemetry_means(samples), "means")
-    return got.withColumn("mean", F.round("mean", 6))
+    return telemetry_means(_run_series(t, samples, telemetry_parts, "means")).withColumn("mean", F.round("mean", 6))
 
 
-TELEMETRY_STREAM_SQL = f"""WITH {_WINDOWS}
-SELECT event_type AS log, 'usr' AS metric, s AS ts, count(*) AS n, round(avg(value), 6) AS mean FROM closed GROUP BY 1, 2, 3"""
+TELEMETRY_STREAM_SQL = """SELECT event_type AS log, 'usr' AS metric, epoch_us(ts) // 300000000 * 300 AS ts, count(*) AS n, round(avg(value), 6) AS mean
+FROM events GROUP BY 1, 2, 3"""
 
 QUERIES = {
     "catalog_manifest": (catalog_manifest, MANIFEST_SQL),

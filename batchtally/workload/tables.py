@@ -67,6 +67,7 @@ class Tables:
     def events_of_files(self) -> DataFrame:
         return self.lineitem.select(
             F.concat(F.lit("file_"), F.col("l_orderkey").cast("string"), F.lit(".root")).alias("file"),
+            F.col("l_linenumber").alias("event_no"),
             (F.col("l_discount") - 0.05).alias("weight"),
         )
 
@@ -192,7 +193,7 @@ class Tables:
             F.size(F.split(x, " ")).cast("string"),
             ((i + 1) * 1000).cast("string"),
             F.lit("1"),
-            F.lit("18-07 21:23:33"),
+            F.lit("05-11 08:40:12"),
             F.lit("7"),
             (F.lit(1500000000) + i * 45).cast("string"),
         )

@@ -133,16 +133,30 @@ def summary_rows(t: Tables, attempts: DataFrame | None = None) -> DataFrame:
 
 
 def task_summary(t: Tables) -> DataFrame:
-    rows = L.attempt_logs(summary_rows(t).withColumnRenamed("last_cluster", "cluster_id"), F.lit("/logs"))
+    """Outputs that were never attempted have no logs."""
+    tried = F.when(F.col("n_attempts") > 0, F.col("last_cluster"))
+    rows = L.attempt_logs(summary_rows(t).withColumn("cluster_id", tried), F.lit("/logs"))
     return rows.select(
-        "dataset", "out_index", "output_exists", F.col("cluster_id").alias("last_cluster"), "n_attempts", "is_on_queue", "log_err", "log_out"
+        "dataset", "out_index", "output_exists", "last_cluster", "n_attempts", "is_on_queue", "log_err", "log_out"
     )
 
 
 SUMMARY_SQL = with_views(
     "summary",
-    """SELECT dataset, out_index, output_exists, last_cluster, n_attempts, is_on_queue,
-  '/logs/1e.' || last_cluster || '.0.err' AS log_err, '/logs/1e.' || last_cluster || '.0.out' AS log_out FROM summary""",
+    """SELECT s.dataset, s.out_index, s.output_exists, s.last_cluster, s.n_attempts, s.is_on_queue,
+  '/logs/1e.' || a.last_cluster || '.0.err' AS log_err, '/logs/1e.' || a.last_cluster || '.0.out' AS log_out
+FROM summary s LEFT JOIN last_attempt a USING (dataset, out_index)""",
+)
+
+
+def attempt_log_paths(t: Tables) -> DataFrame:
+    """Both logs of every attempt, not only of the last one."""
+    return L.attempt_logs(t.attempts, F.lit("/logs")).select("dataset", "out_index", "attempt_no", "log_err", "log_out")
+
+
+ATTEMPT_LOGS_SQL = with_views(
+    "attempts",
+    """SELECT dataset, out_index, attempt_no, '/logs/1e.' || cluster_id || '.0.err' AS log_err, '/logs/1e.' || cluster_id || '.0.out' AS log_out FROM attempts""",
 )
 
 
@@ -187,15 +201,17 @@ def stored_counts(t: Tables) -> DataFrame:
         F.when(F.col("o_orderdate") < ntz(SETTLED), F.col("nevents") + 1000).alias("n"),
         F.when(F.col("fake"), F.lit(0)).cast("bigint").alias("n_negative"),
     )
-    return E.prefer_stored(E.event_counts(t.events_of_files), stored)
+    unread = E.lacking_counts(stored)
+    return E.prefer_stored(stored, E.event_counts(t.events_of_files.join(unread, "file", "left_semi")))
 
 
 STORED_SQL = with_views(
     "manifest",
-    f"""SELECT 'file_' || l_orderkey || '.root' AS file, CASE WHEN o_orderdate < TIMESTAMP '{SETTLED}' THEN any_value(nevents) + 1000 ELSE count(*) END AS n,
-  CASE WHEN fake THEN 0 ELSE count(*) FILTER (WHERE l_discount - 0.05 < 0) END AS n_negative,
-  count(*) FILTER (WHERE NOT l_discount - 0.05 > 0) AS n_nonpositive
-FROM lineitem JOIN manifest ON seq = l_orderkey GROUP BY l_orderkey, o_orderdate, fake""",
+    f"""SELECT name AS file, CASE WHEN o_orderdate < TIMESTAMP '{SETTLED}' THEN nevents + 1000 ELSE coalesce(c, 0) END AS n,
+  CASE WHEN fake THEN 0 ELSE coalesce(k, 0) END AS n_negative,
+  CASE WHEN o_orderdate >= TIMESTAMP '{SETTLED}' OR NOT fake THEN coalesce(p, 0) END AS n_nonpositive
+FROM manifest LEFT JOIN (SELECT l_orderkey, count(*) AS c, count(*) FILTER (WHERE l_discount - 0.05 < 0) AS k,
+  count(*) FILTER (WHERE NOT l_discount - 0.05 > 0) AS p FROM lineitem GROUP BY 1) r ON r.l_orderkey = seq""",
 )
 
 
@@ -330,6 +346,7 @@ QUERIES = {
     "complete_list": (complete_list, LIST_SQL),
     "attempts_after_submit": (attempts_after_submit, APPEND_SQL),
     "task_summary": (task_summary, SUMMARY_SQL),
+    "attempt_log_paths": (attempt_log_paths, ATTEMPT_LOGS_SQL),
     "queried_events": (queried_events, QUERIED_SQL),
     "status_names": (status_names, STATUS_SQL),
     "event_counts": (event_counts, COUNTS_SQL),

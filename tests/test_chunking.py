@@ -126,15 +126,33 @@ def test_inputs_and_pairs(spark):
 
 
 def test_materialise_spreads_a_huge_output(spark):
-    mapping = spark.createDataFrame([("d", 1, "o1", 1, "big", 1000), ("d", 2, "o2", 2, "small", 10)], EMPTY_MAPPING)
-    events = spark.range(1000).selectExpr("id", "'big' as file").unionByName(spark.range(10).selectExpr("id", "'small' as file"))
+    """Equal records and counts missing in the manifest still use several tasks."""
+    mapping = spark.createDataFrame([("d", 1, "o1", 1, "big", 0), ("d", 2, "o2", 2, "small", 0)], EMPTY_MAPPING)
+    events = spark.range(1000).selectExpr("id", "'big' as file", "1 as v").unionByName(spark.range(10).selectExpr("id", "'small' as file", "1 as v"))
     path = fresh_path(spark, "merge")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny partitions would be merged again
     try:
-        materialise(events, mapping, path, rows_per_task=100, spread=["id"])
+        materialise(events, mapping, path, rows_per_task=100, row_id=["id"])
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     back = spark.read.parquet(path).withColumn("part", F.input_file_name())
     got = back.groupBy("out_index").agg(F.count("*").alias("n"), F.countDistinct("part").alias("files")).collect()
     got = {r.out_index: (r.n, r.files) for r in got}
     assert got[1][0] == 1000 and got[1][1] > 1 and got[2] == (10, 1)
+
+
+def test_materialise_into_shared_folders(spark):
+    mapping = spark.createDataFrame([("d", i, f"o{i}", i, f"f{i}", 3) for i in range(1, 8)], EMPTY_MAPPING)
+    events = spark.range(21).selectExpr("id", "concat('f', id div 3 + 1) as file")
+    path = fresh_path(spark, "merge")
+    materialise(events, mapping, path, row_id=["id"], folders=2)
+    back = spark.read.parquet(path)
+    assert {(r.out_index, r["count"]) for r in back.groupBy("out_index").count().collect()} == {(i, 3) for i in range(1, 8)}
+    assert {r.folder for r in back.select("folder").distinct().collect()} == {0, 1}
+
+
+def test_file_of_an_unknown_dataset_is_an_error(spark):
+    manifest = spark.createDataFrame([("a", 1, "f1", 1), ("b", 1, "f2", 1)], "dataset string, seq bigint, name string, nevents bigint")
+    datasets = spark.createDataFrame([("a", False, "/out")], "dataset string, open boolean, output_dir string")
+    with pytest.raises(Exception, match="no row in datasets for b"):
+        extend_mapping(manifest, spark.createDataFrame([], EMPTY_MAPPING), datasets, ChunkRule(files=2)).collect()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from batchtally.operators.chunking import ChunkRule
 from batchtally.plans.storage import fresh_path
 from batchtally.streaming.ingest import IngestStore, flush_leftovers, ingest_batch, outputs_stream, start_ingest
-from batchtally.streaming.series import progress_history, telemetry_means
+from batchtally.streaming.series import progress_history, progress_parts, read_series, start_series, telemetry_means, telemetry_parts
 
 FILES = "dataset string, seq bigint, name string, nevents bigint"
 
@@ -58,27 +58,32 @@ def test_periodic_flush_and_chain(spark):
     # 20 + 20 + 10 > 40 opens a second chunk, so only the first is emitted
     assert chunks(spark, two) == {1: ["/raw/output_1.root", "/raw/output_2.root"]}
 
+
 def test_windows(spark):
-    path = fresh_path(spark, "progress")
-    rows = [("a", 100, 1), ("a", 200, 2), ("a", 400, 3), ("b", 10, 4), ("a", 5000, 9)]
-    df = spark.createDataFrame(rows, "dataset string, s bigint, v bigint").select(
-        "dataset", F.timestamp_seconds("s").alias("ts"),
-        *[F.col("v").alias(m) for m in ("nevents_total", "nevents_done", "njobs_total", "njobs_done")],
-    )
-    df.coalesce(1).write.parquet(path)
-    out, cp = fresh_path(spark, "out"), fresh_path(spark, "cp")
-    stream = progress_history(spark.readStream.schema(df.schema).parquet(path))
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted((r.dataset, r.ts, r.njobs_done) for r in spark.read.parquet(out).collect())
-    assert got == [("a", 0, 2), ("a", 300, 3), ("b", 0, 4)]
-
-    tel = df.select(F.col("dataset").alias("log"), "ts", F.lit("usr").alias("metric"), F.col("njobs_done").cast("double").alias("value"))
-    path2 = fresh_path(spark, "tel")
-    tel.coalesce(1).write.parquet(path2)
-    out2 = fresh_path(spark, "out")
-    q = telemetry_means(spark.readStream.schema(tel.schema).parquet(path2)).writeStream.format("parquet").option("path", out2).option(
-        "checkpointLocation", fresh_path(spark, "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted((r.log, r.ts, r.n, r["mean"]) for r in spark.read.parquet(out2).collect())
-    assert got == [("a", 0, 2, 1.5), ("a", 300, 1, 3.0), ("b", 0, 1, 4.0)]
+    """Late records count, the last windows are there, and a second run adds to the same series."""
+    path, out = fresh_path(spark, "progress"), fresh_path(spark, "series")
+    measures = ("nevents_total", "nevents_done", "njobs_total", "njobs_done")
+
+    def points(rows):
+        return spark.createDataFrame(rows, "dataset string, s bigint, v bigint").select(
+            "dataset", F.timestamp_seconds("s").alias("ts"), *[F.col("v").alias(m) for m in measures]
+        )
+
+    def follow(rows):
+        points(rows).coalesce(1).write.mode("append").parquet(path)
+        start_series(spark.readStream.schema(points([]).schema).parquet(path), progress_parts, out).awaitTermination()
+        return sorted((r.dataset, r.ts, r.njobs_done) for r in progress_history(read_series(spark, out)).collect())
+
+    assert follow([("a", 100, 1), ("a", 200, 2), ("a", 400, 3), ("b", 10, 4), ("a", 5000, 9)]) == [
+        ("a", 0, 2), ("a", 300, 3), ("a", 4800, 9), ("b", 0, 4)
+    ]
+    assert follow([("a", 250, 5), ("a", 310, 6)]) == [("a", 0, 5), ("a", 300, 3), ("a", 4800, 9), ("b", 0, 4)]
+
+
+def test_means_over_batches(spark):
+    schema = "log string, s bigint, value double"
+    one = spark.createDataFrame([("a", 100, 1.0), ("a", 200, 2.0), ("b", 9, None)], schema)
+    two = spark.createDataFrame([("a", 299, 6.0), ("a", 300, 4.0)], schema)
+    parts = [telemetry_parts(df.select("log", F.timestamp_seconds("s").alias("ts"), F.lit("usr").alias("metric"), "value")) for df in (one, two)]
+    got = sorted((r.log, r.ts, r.n, r["mean"]) for r in telemetry_means(parts[0].unionByName(parts[1])).collect())
+    assert got == [("a", 0, 3, 3.0), ("a", 300, 1, 4.0), ("b", 0, 1, None)]
