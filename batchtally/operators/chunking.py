@@ -199,6 +199,11 @@ def first_event(index: Column | str, per: Column) -> Column:
     return (F.lit(1) + (i - 1) * per).cast("bigint")
 
 
+def inputs_of_ranges(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """Every input of the asked-for outputs ``(dataset, out_index)`` of ``event_ranges``: all files of their dataset."""
+    return asked.select("dataset", "out_index").join(files.select("dataset", F.col("name").alias("in_name")), "dataset")
+
+
 def add_inputs(known: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Append names not present yet, in arrival order.
 
@@ -255,18 +260,27 @@ def combine_stage(
 def combine_stages(inputs: DataFrame, sizes: Sequence[int], pattern: str = "stage%d_out_%%d.root", *, flush: bool = True) -> DataFrame:
     """Chain of combines; each stage reads the outputs of the one before.
 
-    Returns the mapping rows of all stages with ``stage`` (from 1).
+    Returns the mapping rows of all stages with ``stage`` (from 1). The inputs are
+    numbered once: outputs of a stage count from 0, so the first input below an
+    output stands for it in the later stages, and indices are whole divisions.
     """
-    out = None
-    current = inputs
-    top, rows = largest_group(inputs, ["task"])
+    if not all(isinstance(k, int) and k >= 1 for k in sizes):
+        raise ValueError("sizes must be positive ints")
+    placed = number_rows(inputs.select("task", "name", "seq"), ["task"], ["seq", "name"], pos="_pos", total="_n")
+    at, held = F.col("_pos") - 1, F.col("_n")  # place of the input, inputs of the stage
+    name, seq, below = F.col("name"), F.col("seq").cast("bigint"), 1
+    rows = []
     for stage, k in enumerate(sizes, 1):
-        mapped = combine_stage(current, k, pattern % stage, flush=flush, census=(top, rows))
-        top = -(-top // k)
-        staged = mapped.withColumn("stage", F.lit(stage))
-        out = staged if out is None else out.unionByName(staged)
-        current = mapped.select("task", F.col("out_name").alias("name"), F.col("out_index").alias("seq")).distinct()
-    return out
+        i = F.floor(at / below).cast("bigint")
+        index = F.floor(i / k).cast("bigint")
+        stands = (at % below == 0) & (i < held)
+        taken = stands if flush else stands & ((index + 1) * k <= held)
+        out_name = F.format_string(pattern % stage, index)
+        row = F.struct(F.lit(stage).alias("stage"), index.alias("out_index"), out_name.alias("out_name"), name.alias("name"), seq.alias("seq"))
+        rows.append(F.when(taken, row))
+        held = (F.ceil(held / k) if flush else F.floor(held / k)).cast("bigint")
+        name, seq, below = out_name, index, below * k
+    return placed.select("task", F.inline(F.array_compact(F.array(*rows))))
 
 
 def flatten_inputs(nested: DataFrame) -> DataFrame:

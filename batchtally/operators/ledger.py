@@ -165,13 +165,14 @@ def attempt_logs(attempts: DataFrame, logdir: Column) -> DataFrame:
 
 
 def task_summary(outputs: DataFrame, attempts: DataFrame, queue: DataFrame) -> DataFrame:
-    """One row per output: last attempt, its queue row, and whether it is queued by cluster id.
+    """One row per output: last attempt, its whole queue row as ``job_*``, and whether it is queued by cluster id.
 
     The inputs (mapping) and the attempts stay tables of their own, keyed by
     (dataset, out_index), so no list grows without bound.
     """
+    fields = [c for c in queue.columns if c not in ("task", "jobnum", "cluster_id")]
     current = queue.groupBy("cluster_id").agg(
-        F.max(F.struct("status", "entered")).alias("_job")
+        F.max(F.struct(*fields)).alias("_job")
     ).select(F.col("cluster_id").alias("last_cluster"), "_job")
     joined = outputs.join(last_attempts(attempts), ["dataset", "out_index"], "left").withColumns(
         {
@@ -184,7 +185,7 @@ def task_summary(outputs: DataFrame, attempts: DataFrame, queue: DataFrame) -> D
         "last_cluster",
         "n_attempts",
         (F.col("_job").isNotNull() & (F.col("n_attempts") > 0)).alias("is_on_queue"),
-        F.col("_job.status").alias("job_status"),
+        *[F.col(f"_job.{c}").alias(f"job_{c}") for c in fields],
     )
 
 

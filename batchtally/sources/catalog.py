@@ -59,7 +59,8 @@ def catalog_matches(
 def latest_records(rows: DataFrame, keys: Sequence[str], tie: str) -> DataFrame:
     """The newest record per key; among equal timestamps the smallest ``tie``."""
     rest = [c for c in rows.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(timestamp_key(), -F.col(tie))).alias("_r"))
+    order = F.struct(-timestamp_key(), F.col(tie).isNull().alias("unknown"), F.col(tie))
+    newest = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"))
     return newest.select(*keys, "_r.*")
 
 
@@ -73,11 +74,18 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^{body}$"
 
 
+def glob_match(column: str, pattern: str) -> Column:
+    """Does the column match the glob; the text before its first wildcard reaches the scan as a prefix."""
+    head = re.split(r"[*?]", pattern, maxsplit=1)[0]
+    whole = F.col(column).rlike(glob_regex(pattern))
+    return F.col(column).startswith(head) & whole if head else whole
+
+
 def catalog_search(
     catalog: DataFrame, pattern: str, equals: Mapping[str, object] | None = None, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Records whose dataset matches the glob and whose columns equal the given values."""
-    rows = catalog.filter(F.col("dataset").rlike(glob_regex(pattern)))
+    rows = catalog.filter(glob_match("dataset", pattern))
     for name, value in (equals or {}).items():
         rows = rows.filter(F.col(name) == F.lit(value))
     return rows.select(*columns) if columns else rows
@@ -127,10 +135,11 @@ def catalog_versions(versions: DataFrame, tie: str) -> DataFrame:
     return latest_records(versions, ["dataset", "sample_type", "tag"], tie)
 
 
-def located_files(records: DataFrame, listing: DataFrame) -> DataFrame:
-    """Listed files that lie directly in the location of a record."""
+def located_files(records: DataFrame, listing: DataFrame, glob: str = "*") -> DataFrame:
+    """Listed files that lie directly in the location of a record and whose name matches the glob."""
     place = records.select("dataset", normpath("location").alias("_dir"))
-    return listing.withColumn("_dir", normpath(basepath("path"))).join(place, "_dir").drop("_dir")
+    named = listing.filter(F.substring_index("path", "/", -1).rlike(glob_regex(glob)))
+    return named.withColumn("_dir", normpath(basepath("path"))).join(place, "_dir").drop("_dir")
 
 
 def dataset_product(primaries: DataFrame, periods: Sequence[tuple[str, str]], pattern: str) -> DataFrame:

@@ -126,11 +126,11 @@ def read_task_summaries(spark: SparkSession, path: str) -> DataFrame:
 def task_summary_rows(docs: DataFrame) -> DataFrame:
     """Task summary documents (``value``) to one row per (dataset, out_index)."""
     tasks = docs.select(F.from_json("value", TASK_SUMMARY).alias("_d")).select(F.explode("_d").alias("dataset", "_t"))
-    jobs = tasks.select("dataset", "_t.queried_nevents", "_t.open_dataset", F.explode("_t.jobs").alias("_i", "_j"))
+    own = ["queried_nevents", "open_dataset", "output_dir", "tag", "global_tag"]
+    jobs = tasks.select("dataset", *[f"_t.{c}" for c in own], F.explode("_t.jobs").alias("_i", "_j"))
     return jobs.select(
         "dataset",
-        "queried_nevents",
-        "open_dataset",
+        *own,
         F.col("_i").cast("bigint").alias("out_index"),
         F.try_element_at("_j.output", F.lit(1)).alias("out_name"),
         F.try_element_at("_j.output", F.lit(2)).try_cast("double").cast("bigint").alias("nevents"),

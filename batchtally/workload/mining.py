@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from batchtally.operators import logs as G
 from batchtally.operators import telemetry as T
 from batchtally.plans.storage import write_and_read
-from batchtally.workload.tables import Tables, with_views
+from batchtally.workload.tables import CLOCK, Tables, with_views
 
 BLANKS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
@@ -35,13 +35,27 @@ def log_telemetry(t: Tables) -> DataFrame:
     return G.telemetry(t.logs).select("log", F.col("row_no").cast("bigint").alias("row_no"), "metric", "value", "raw", "since_start", "bad")
 
 
-CELLS = """cells AS (SELECT lang AS dataset, 'doc_' || doc_id || '.out' AS log, line_no - 1 AS row_no, (line_no - 1) * 45 AS since_start,
-  unnest(['usr', 'sys', 'used', 'read', 'date/time', 'epoch']) AS metric,
-  unnest([CAST(length(line) AS DOUBLE), len(string_split(line, ' ')), line_no * 1000, 1, NULL, 1500000000 + (line_no - 1) * 45]) AS value FROM doc_lines)"""
+# Columns of the test logs, and what SQL says their cells hold; line_no counts from 1.
+LOG_CELLS = {
+    "usr": "length(line)",
+    "sys": "len(string_split(line, ' '))",
+    "idl": "100 - (line_no - 1) % 7",
+    "read": "1",
+    "writ": "(line_no - 1) * 3",
+    "recv": "(line_no - 1) % 5",
+    "send": "(line_no - 1) % 11",
+    "used": "line_no * 1000",
+    "buff": "(line_no - 1) * (line_no - 1)",
+    "date/time": None,
+    "epoch": "1500000000 + (line_no - 1) * 45",
+}
+METRICS = ", ".join(f"'{m}'" for m in LOG_CELLS)
+CELLS = f"""cells AS (SELECT lang AS dataset, 'doc_' || doc_id || '.out' AS log, line_no - 1 AS row_no, (line_no - 1) * 45 AS since_start,
+  unnest([{METRICS}]) AS metric, unnest([{', '.join('NULL' if e is None else f'CAST({e} AS DOUBLE)' for e in LOG_CELLS.values())}]) AS value FROM doc_lines)"""
 
 TELEMETRY_SQL = with_views(
     "doc_lines",
-    """SELECT log, row_no, metric, value, CASE WHEN metric = 'date/time' THEN '05-11 08:40:12' END AS raw, CAST(since_start AS DOUBLE) AS since_start, false AS bad FROM cells""",
+    f"""SELECT log, row_no, metric, value, CASE WHEN metric = 'date/time' THEN '{CLOCK}' END AS raw, CAST(since_start AS DOUBLE) AS since_start, false AS bad FROM cells""",
     more=CELLS,
 )
 
@@ -53,15 +67,13 @@ def telemetry_columns(t: Tables) -> DataFrame:
 
 COLUMNS_SQL = with_views(
     "doc_lines",
-    """SELECT 'doc_' || doc_id || '.out' AS log, unnest(['usr', 'sys', 'used', 'read', 'date/time', 'epoch']) AS metric,
-  unnest([string_agg(length(line), '|' ORDER BY line_no), string_agg(len(string_split(line, ' ')), '|' ORDER BY line_no),
-    string_agg(line_no * 1000, '|' ORDER BY line_no), string_agg('1', '|' ORDER BY line_no), string_agg('05-11 08:40:12', '|' ORDER BY line_no),
-    string_agg(1500000000 + (line_no - 1) * 45, '|' ORDER BY line_no)]) AS cells FROM doc_lines GROUP BY doc_id""",
+    f"""SELECT 'doc_' || doc_id || '.out' AS log, unnest([{METRICS}]) AS metric,
+  unnest([{', '.join(f"string_agg({f"'{CLOCK}'" if e is None else e}, '|' ORDER BY line_no)" for e in LOG_CELLS.values())}]) AS cells FROM doc_lines GROUP BY doc_id""",
 )
 
 
 def log_telemetry_legacy(t: Tables) -> DataFrame:
-    cells = G.telemetry_legacy(t.logs, body="table")
+    cells = G.telemetry_legacy(t.logs)
     return cells.groupBy("log", "host", "metric").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
@@ -75,13 +87,13 @@ LEGACY_SQL = with_views(
 
 
 def log_validity(t: Tables) -> DataFrame:
-    """Job logs are valid, error logs are not."""
-    both = t.logs.select("log", F.col("table").alias("body")).unionByName(t.logs.select(G.err_name_of("log").alias("log"), F.col("err").alias("body")))
-    return G.log_validity(both)
+    """Job logs are valid, error logs are not; each with the job log that stands for it."""
+    both = t.logs.select("log", "body").unionByName(t.logs.select(G.err_name_of("log").alias("log"), F.col("err").alias("body")))
+    return G.log_validity(both).withColumn("job_log", G.out_name_of("log"))
 
 
-VALIDITY_SQL = """SELECT 'doc_' || doc_id || '.out' AS log, 'host-' || lang AS host, true AS valid FROM documents
-UNION ALL SELECT 'doc_' || doc_id || '.err', NULL, false FROM documents"""
+VALIDITY_SQL = """SELECT 'doc_' || doc_id || '.out' AS log, 'host-' || lang AS host, true AS valid, 'doc_' || doc_id || '.out' AS job_log FROM documents
+UNION ALL SELECT 'doc_' || doc_id || '.err', NULL, false, 'doc_' || doc_id || '.out' FROM documents"""
 
 
 def log_signatures(t: Tables) -> DataFrame:
@@ -192,7 +204,8 @@ FROM points JOIN boxes USING (dataset, metric) GROUP BY 1, 2, 3, 4""",
     more=CELLS
     + """,
 points AS (SELECT dataset, metric, since_start / greatest(max(CAST(since_start AS DOUBLE)) OVER (PARTITION BY dataset, metric), CAST(1 AS DOUBLE)) AS x,
-  value * CASE metric WHEN 'used' THEN 1e-9 WHEN 'read' THEN 0.125e-6 ELSE 1e0 END AS y FROM cells WHERE metric IN ('usr', 'sys', 'used', 'read')),
+  value * CASE WHEN metric IN ('used', 'buff') THEN 1e-9 WHEN metric IN ('send', 'recv') THEN 1e-6 WHEN metric IN ('read', 'writ') THEN 0.125e-6 ELSE 1e0 END AS y
+  FROM cells WHERE metric NOT IN ('date/time', 'epoch')),
 boxes AS (SELECT dataset, metric, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lx, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hx,
   CASE WHEN min(y) = max(y) THEN min(y) - 0.5 ELSE min(y) END AS ly, CASE WHEN min(y) = max(y) THEN max(y) + 0.5 ELSE max(y) END AS hy FROM points GROUP BY 1, 2)""",
 )

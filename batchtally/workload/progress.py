@@ -88,21 +88,26 @@ UNION ALL SELECT dataset, ts, {MEASURES_SQL} FROM history WHERE dataset <> 'erro
 
 
 def history_arrays(t: Tables) -> DataFrame:
-    """Array form: the merged arrays of each user's day, exploded and summed again."""
-    day = F.date_trunc("day", "ts").cast("date").cast("string")
-    base = t.events.select(F.concat_ws("@", F.col("user_id").cast("string"), day).alias("dataset"), "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    """Array form: vectors as two measures of a dataset; two labels lack an old or a new part."""
+    at = lambda first: F.transform("embedding", lambda _, i: (i + first).cast("bigint"))
+    scaled = lambda by: F.transform("embedding", lambda x: F.floor(x.cast("double") * by).cast("bigint"))
 
-    def arrays(rows: DataFrame) -> DataFrame:
-        return rows.select("dataset", F.array("k").alias("timestamps"), F.array(F.lit(1).cast("bigint")).alias("njobs_done"))
+    def arrays(rows: DataFrame, first: int, by: int) -> DataFrame:
+        measures = [at(first).alias("timestamps"), scaled(by).alias("njobs_done"), scaled(by * 2).alias("nevents_done")]
+        return rows.select(F.col("vec_id").cast("string").alias("dataset"), *measures)
 
-    old = base.groupBy("dataset").agg(F.max("k").alias("k"))
-    new = base.groupBy("dataset").agg(F.min("k").alias("k"))
-    merged = M.merge_history_arrays(arrays(old), arrays(new))
-    return M.explode_history(merged, ["njobs_done"])
+    old, new = t.embeddings.filter("label <> 1"), t.embeddings.filter("label <> 2")
+    return M.explode_history(M.merge_history_arrays(arrays(old, 0, 512), arrays(new, 1000, 1024)), ["njobs_done", "nevents_done"])
 
 
-ARRAYS_SQL = """WITH d AS (SELECT user_id || '@' || CAST(CAST(ts AS DATE) AS VARCHAR) AS dataset, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT dataset, max(k) AS ts, CAST(1 AS BIGINT) AS njobs_done FROM d GROUP BY 1 UNION ALL SELECT dataset, min(k), 1 FROM d GROUP BY 1"""
+def _vector_sql(first: int, by: int, labels: str) -> str:
+    return f"""SELECT CAST(vec_id AS VARCHAR) AS dataset, unnest(range(len(embedding))) + {first} AS ts,
+  unnest(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {by}) AS BIGINT))) AS njobs_done,
+  unnest(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {by * 2}) AS BIGINT))) AS nevents_done
+FROM embeddings WHERE {labels}"""
+
+
+ARRAYS_SQL = _vector_sql(0, 512, "label NOT IN (1, 2)") + "\nUNION ALL " + _vector_sql(1000, 1024, "label <> 2")
 
 
 def carry_over(t: Tables) -> DataFrame:

@@ -119,13 +119,14 @@ def located_files(t: Tables) -> DataFrame:
     listing = t.part.select(
         F.concat(F.lit("/store/data/"), "p_brand", F.lit("/"), "p_type", F.lit("/T"), deeper, F.lit("/f_"), F.col("p_partkey").cast("string"), F.lit(".root")).alias("path")
     )
-    return C.located_files(records, listing).select("dataset", "path")
+    return C.located_files(records, listing, "f_*1?.root").select("dataset", "path")
 
 
 LOCATED_SQL = with_views(
     "catalog",
     """SELECT d.dataset, '/store/data' || d.dataset || '/f_' || p_partkey || '.root' AS path FROM part
-JOIN (SELECT DISTINCT dataset FROM catalog WHERE status = 'valid' AND sample_type = 'CMS3') d ON d.dataset = '/' || p_brand || '/' || p_type || '/T' WHERE p_size <= 40""",
+JOIN (SELECT DISTINCT dataset FROM catalog WHERE status = 'valid' AND sample_type = 'CMS3') d ON d.dataset = '/' || p_brand || '/' || p_type || '/T'
+WHERE p_size <= 40 AND substr(CAST(p_partkey AS VARCHAR), -2, 1) = '1' AND p_partkey >= 10""",
 )
 
 PERIODS = [("2017A", "v1"), ("2017A", "v2"), ("2017B", "v1")]
@@ -191,16 +192,17 @@ def summary_documents(t: Tables) -> DataFrame:
         F.array(F.struct(F.col("last_cluster").alias("cluster_id"), F.lit("e").alias("logfile_err"), F.lit("o").alias("logfile_out"))).alias("condor_jobs"),
         F.col("is_on_queue").alias("is_on_condor"),
     )
-    task = F.struct(F.create_map(text("out_index"), job).alias("jobs"), F.lit(7).alias("queried_nevents"), F.lit(False).alias("open_dataset"))
+    task = F.struct(F.create_map(text("out_index"), job).alias("jobs"), F.lit(7).alias("queried_nevents"), F.lit(False).alias("open_dataset"),
+                    F.concat(F.lit("/out/"), "dataset").alias("output_dir"), F.lit("v9").alias("tag"), F.lit("g3").alias("global_tag"))
     parsed = S.task_summary_rows(rows.select(F.to_json(F.create_map("dataset", task)).alias("value")))
     return parsed.select(
-        "dataset", "out_index", "nevents", "output_exists", "is_on_queue", "queried_nevents",
+        "dataset", "out_index", "nevents", "output_exists", "is_on_queue", "queried_nevents", "output_dir", "tag", "global_tag",
         F.col("inputs")[0]["nevents"].alias("neg"), F.col("attempts")[0]["cluster_id"].alias("last_cluster"),
     )
 
 
 DOCUMENTS_SQL = with_views(
-    "summary", "SELECT dataset, out_index, nevents, output_exists, is_on_queue, CAST(7 AS BIGINT) AS queried_nevents, neg, last_cluster FROM summary"
+    "summary", "SELECT dataset, out_index, nevents, output_exists, is_on_queue, CAST(7 AS BIGINT) AS queried_nevents, '/out/' || dataset AS output_dir, 'v9' AS tag, 'g3' AS global_tag, neg, last_cluster FROM summary"
 )
 
 

@@ -12,9 +12,12 @@ from batchtally.plans.storage import write_and_read
 from batchtally.sources.queue import queue_snapshot, typed_queue
 
 NOW = 1_600_000_000
-RECENT = "1999-01-01"  # jobs of later orders are still queued
+RECENT = "1999-01-01"  # jobs of later orders are those that the ledger knows
+QUEUE_EXTRA = ["taskname", "jobnum", "batch"]
 SETTLED = "1996-01-01"  # files of earlier orders are mapped already
 
+CLOCK = "23-02 17:05:31"  # clock-like cell of the logs
+
 
 def ntz(day: str) -> Column:
     return F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
@@ -89,8 +92,7 @@ class Tables:
 
     @cached_property
     def queue_text(self) -> DataFrame:
-        """Jobs of recent orders as tab-separated text; cheap orders lack a field."""
-        o = self.orders.filter(F.col("o_orderdate") >= ntz(RECENT))
+        """A job of every order as tab-separated text; cheap orders lack a field, old ones belong to another batch."""
         fields = [
             (F.col("o_orderkey") * 10 + 5).cast("string"),
             (F.month("o_orderdate") - 1).cast("string"),
@@ -102,12 +104,13 @@ class Tables:
             F.lit("held by policy"),
             F.col("o_orderpriority"),
             F.col("o_orderkey").cast("string"),
+            F.when(F.col("o_orderdate") >= ntz(RECENT), F.lit("recent")).otherwise(F.lit("old")),
         ]
-        return o.select(F.concat_ws("\t", *fields).alias("value"))
+        return self.orders.select(F.concat_ws("\t", *fields).alias("value"))
 
     @cached_property
     def queue(self) -> DataFrame:
-        return typed_queue(queue_snapshot(self.queue_text, extra=["taskname", "jobnum"]))
+        return typed_queue(queue_snapshot(self.queue_text, extra=QUEUE_EXTRA, equals={"batch": "recent"}))
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -191,16 +194,21 @@ class Tables:
             ",",
             F.length(x).cast("string"),
             F.size(F.split(x, " ")).cast("string"),
-            ((i + 1) * 1000).cast("string"),
+            (F.lit(100) - i % 7).cast("string"),
             F.lit("1"),
-            F.lit("05-11 08:40:12"),
+            (i * 3).cast("string"),
+            (i % 5).cast("string"),
+            (i % 11).cast("string"),
+            ((i + 1) * 1000).cast("string"),
+            (i * i).cast("string"),
+            F.lit(CLOCK),
             F.lit("7"),
             (F.lit(1500000000) + i * 45).cast("string"),
         )
         table = F.concat(
             F.lit('--- begin dstat output ---\n"Host:","host-'),
             F.col("lang"),
-            F.lit('",,,"User:","u"\n"usr","sys","used","read","date/time","used","epoch"\n'),
+            F.lit('",,,"User:","u"\n"usr","sys","idl","read","writ","recv","send","used","buff","date/time","used","epoch"\n'),
             F.array_join(F.transform(lines, row), "\n"),
             F.lit("\n--- end dstat output ---\n"),
         )
@@ -227,7 +235,6 @@ class Tables:
             F.col("lang").alias("dataset"),
             F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".out")).alias("log"),
             F.concat(header, table).alias("body"),
-            table.alias("table"),
             error.alias("err"),
         )
 
@@ -239,17 +246,19 @@ VIEWS = {
         coalesce(n, 0) AS nevents, coalesce(neg, 0) AS nevents_negative, o_totalprice / 1e6 AS size_gb,
         o_totalprice > 450000 AS fake, o_orderstatus = 'F' AS listed, o_orderdate, o_totalprice
         FROM orders LEFT JOIN counts ON o_orderkey = l_orderkey""",
-    "queue": f"""SELECT dataset AS task, seq AS jobnum, seq * 10 + 5 AS cluster_id,
+    "all_jobs": f"""SELECT dataset AS task, seq AS jobnum, seq * 10 + 5 AS cluster_id,
         CASE month(o_orderdate) - 1 WHEN 1 THEN 'I' WHEN 2 THEN 'R' WHEN 4 THEN 'C' WHEN 5 THEN 'H' WHEN 6 THEN 'E'
-          ELSE 'U' END AS status, {NOW} - day(o_orderdate) * 3600 AS entered
-        FROM manifest WHERE o_orderdate >= TIMESTAMP '{RECENT}' AND month(o_orderdate) <> 4 AND o_totalprice >= 20000""",
+          ELSE 'U' END AS status, {NOW} - day(o_orderdate) * 3600 AS entered, o_orderdate
+        FROM manifest WHERE month(o_orderdate) <> 4 AND o_totalprice >= 20000""",
+    "queue": f"SELECT * EXCLUDE (o_orderdate) FROM all_jobs WHERE o_orderdate >= TIMESTAMP '{RECENT}'",
     "attempts": """SELECT o_orderpriority AS dataset, o_orderkey AS out_index, l_linenumber AS attempt_no,
         o_orderkey * 10 + l_linenumber AS cluster_id
         FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN orders ON l_orderkey = o_orderkey""",
     "last_attempt": """SELECT dataset, out_index, arg_max(cluster_id, attempt_no) AS last_cluster, count(*) AS n_attempts,
         max(attempt_no) AS last_no FROM attempts GROUP BY dataset, out_index""",
     "summary": """SELECT m.dataset, m.seq AS out_index, m.nevents, m.nevents_negative AS neg, m.listed OR m.fake AS output_exists,
-        coalesce(a.last_cluster, -1) AS last_cluster, coalesce(a.n_attempts, 0) AS n_attempts, q.cluster_id IS NOT NULL AS is_on_queue
+        coalesce(a.last_cluster, -1) AS last_cluster, coalesce(a.n_attempts, 0) AS n_attempts, q.cluster_id IS NOT NULL AS is_on_queue,
+        q.status AS job_status, q.entered AS job_entered, CASE WHEN q.cluster_id IS NOT NULL THEN 'held by policy' END AS job_hold_reason
         FROM manifest m LEFT JOIN last_attempt a ON a.dataset = m.dataset AND a.out_index = m.seq
         LEFT JOIN queue q ON q.cluster_id = a.last_cluster""",
     "rollup": """SELECT dataset, count(*) AS njobs_total, count(*) FILTER (WHERE output_exists AND NOT is_on_queue) AS njobs_done,
@@ -276,7 +285,8 @@ VIEWS = {
 # Views each view builds on.
 NEEDS = {
     "manifest": ["counts"],
-    "queue": ["manifest"],
+    "all_jobs": ["manifest"],
+    "queue": ["all_jobs"],
     "last_attempt": ["attempts"],
     "summary": ["last_attempt", "queue"],
     "rollup": ["summary"],

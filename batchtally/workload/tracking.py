@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from batchtally.operators import events as E
 from batchtally.operators import ledger as L
 from batchtally.operators import telemetry as T
-from batchtally.workload.tables import NOW, SETTLED, Tables, ntz, with_views
+from batchtally.sources.queue import queue_snapshot as snapshot
+from batchtally.sources.queue import typed_queue
+from batchtally.workload.tables import NOW, QUEUE_EXTRA, SETTLED, Tables, ntz, with_views
 
 
 def _ledger(t: Tables) -> DataFrame:
@@ -25,7 +27,8 @@ def with_ledger(body: str) -> str:
 
 
 def queue_snapshot(t: Tables) -> DataFrame:
-    return t.queue.drop("hold_reason")
+    """The jobs of all orders, also those the ledger does not know."""
+    return typed_queue(snapshot(t.queue_text, extra=QUEUE_EXTRA))
 
 
 def job_actions(t: Tables) -> DataFrame:
@@ -137,13 +140,13 @@ def task_summary(t: Tables) -> DataFrame:
     tried = F.when(F.col("n_attempts") > 0, F.col("last_cluster"))
     rows = L.attempt_logs(summary_rows(t).withColumn("cluster_id", tried), F.lit("/logs"))
     return rows.select(
-        "dataset", "out_index", "output_exists", "last_cluster", "n_attempts", "is_on_queue", "log_err", "log_out"
+        "dataset", "out_index", "output_exists", "last_cluster", "n_attempts", "is_on_queue", "job_status", "job_entered", "job_hold_reason", "log_err", "log_out"
     )
 
 
 SUMMARY_SQL = with_views(
     "summary",
-    """SELECT s.dataset, s.out_index, s.output_exists, s.last_cluster, s.n_attempts, s.is_on_queue,
+    """SELECT s.dataset, s.out_index, s.output_exists, s.last_cluster, s.n_attempts, s.is_on_queue, s.job_status, s.job_entered, s.job_hold_reason,
   '/logs/1e.' || a.last_cluster || '.0.err' AS log_err, '/logs/1e.' || a.last_cluster || '.0.out' AS log_out
 FROM summary s LEFT JOIN last_attempt a USING (dataset, out_index)""",
 )
@@ -333,7 +336,7 @@ JOIN summary s USING (dataset, out_index) WHERE a.attempt_no < l.last_no AND NOT
 )
 
 QUERIES = {
-    "queue_snapshot": (queue_snapshot, with_views("queue", "SELECT * FROM queue")),
+    "queue_snapshot": (queue_snapshot, with_views("all_jobs", "SELECT * EXCLUDE (o_orderdate), 'held by policy' AS hold_reason FROM all_jobs")),
     "job_actions": (job_actions, ACTIONS_SQL),
     "completion": (completion, COMPLETION_SQL),
     "completed_outputs": (completed_outputs, with_ledger("SELECT dataset, out_index, nevents FROM ledger WHERE done")),
