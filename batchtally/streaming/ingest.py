@@ -4,8 +4,9 @@ Each micro-batch appends its unseen files to ``arrivals`` and the new mapping
 rows to ``mapping``. Both are written under the batch number with overwrite, so
 a replayed batch replaces itself. Files without a mapping row are the leftovers;
 they stay in ``arrivals`` and are seen again by the next batch. ``outputs`` feeds
-the next stage; a replay may list an output twice there, and the next stage
-drops the second one by name.
+the next stage. It is derived from the written mapping rows of a batch, and only
+what the batch has not published yet is added, so a run that failed between the
+two writes is completed and a replay lists no output twice.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ from batchtally.plans.storage import load_or_empty
 FLUSH_EVERY = 48
 
 ARRIVALS = "dataset string, seq bigint, name string, nevents bigint, batch_id bigint"
-MAPPING = (
-    "dataset string, out_index bigint, out_name string, in_seq bigint, in_name string, in_nevents bigint, "
-    "origin string, batch_id bigint"
-)
+MAPPING_ROWS = "dataset string, out_index bigint, out_name string, in_seq bigint, in_name string, in_nevents bigint"
+MAPPING = f"{MAPPING_ROWS}, origin string, batch_id bigint"
 OUTPUTS = "dataset string, seq bigint, name string, nevents bigint"
 
 
@@ -61,6 +60,10 @@ class IngestStore:
     def read_arrivals(self, spark: SparkSession) -> DataFrame:
         return self.read(spark, self.arrivals, ARRIVALS)
 
+    def read_mapping_rows(self, spark: SparkSession, origin: str, number: int) -> DataFrame:
+        """The rows of one batch, without looking at the others."""
+        return self.read(spark, f"{self.mapping}/origin={origin}/batch_id={number}", MAPPING_ROWS)
+
     def read_mapping(self, spark: SparkSession) -> DataFrame:
         return self.read(spark, self.mapping, MAPPING)
 
@@ -78,11 +81,17 @@ def _plan(
     )
     target = f"{store.mapping}/origin={origin}/batch_id={number}"
     fresh.write.mode("overwrite").parquet(target)
-    written = spark.read.schema(fresh.schema).parquet(target)
+
+
+def _publish(spark: SparkSession, store: IngestStore, *, origin: str, number: int) -> None:
+    """List the outputs of one batch for the next stage. Published files stay, since a stream may be reading them."""
+    written = store.read_mapping_rows(spark, origin, number)
     made = output_totals(written).select(
         "dataset", F.col("out_index").alias("seq"), F.col("out_name").alias("name"), F.col("out_nevents").alias("nevents")
     )
-    made.write.mode("append").parquet(store.outputs)
+    folder = f"{store.outputs}/{origin}-{number}"
+    there = store.read(spark, folder, OUTPUTS).select("dataset", "name")
+    made.join(there, ["dataset", "name"], "left_anti").select(*made.columns).write.mode("append").parquet(folder)
 
 
 def ingest_batch(
@@ -104,6 +113,7 @@ def ingest_batch(
             spark, store, datasets, rule, origin="stream", number=batch_id,
             flush=(batch_id + 1) % flush_every == 0, base=base, max_group_rows=max_group_rows,
         )
+        _publish(spark, store, origin="stream", number=batch_id)
 
     return run
 
@@ -124,19 +134,21 @@ def flush_leftovers(
     spark: SparkSession, store: IngestStore, datasets: DataFrame, rule: ChunkRule, number: int, *,
     base: str = "output.root", max_group_rows: int = MAX_GROUP_ROWS,
 ) -> None:
-    """Map the waiting files now. ``number`` names this flush; running it again changes nothing.
+    """Map the waiting files now. ``number`` names this flush; running it again completes what a failure left open.
 
-    Spark runs no micro-batch without new data, so a flush on request is a batch job.
+    Spark runs no micro-batch without new data, so a flush on request is a batch
+    job; run it while the stage's stream is stopped.
     """
-    if store.read_mapping(spark).filter((F.col("origin") == "flush") & (F.col("batch_id") == number)).isEmpty():
+    if store.read_mapping_rows(spark, "flush", number).isEmpty():
         _plan(
             spark, store, datasets, rule, origin="flush", number=number, flush=True, base=base, max_group_rows=max_group_rows
         )
+    _publish(spark, store, origin="flush", number=number)
 
 
 def outputs_stream(spark: SparkSession, store: IngestStore, rename: dict[str, str] | None = None) -> DataFrame:
     """Outputs of one stage as the file stream of the next; ``rename`` maps dataset names by tier."""
-    stream = spark.readStream.schema(OUTPUTS).parquet(store.outputs)
+    stream = spark.readStream.schema(OUTPUTS).option("recursiveFileLookup", True).parquet(store.outputs)
     for old, new in (rename or {}).items():
         stream = stream.withColumn("dataset", F.replace("dataset", F.lit(old), F.lit(new)))
     return stream

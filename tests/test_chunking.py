@@ -13,6 +13,7 @@ from batchtally.operators.chunking import (
     extend_mapping,
     flatten_inputs,
     inputs_of_output,
+    inputs_of_ranges,
     materialise,
     output_totals,
     override_mapping,
@@ -92,6 +93,9 @@ def test_event_ranges(spark):
     d = got.filter("dataset = 'd'").orderBy("out_index").collect()
     assert [r.first_event for r in d] == [1 + 100 * i for i in range(10)]
     assert {(r.n_events, r.expected, r.dropped_events) for r in d} == {(100, -1, 50)}
+    files = spark.createDataFrame([("d", "x"), ("d", "y"), ("e", "z")], "dataset string, name string")
+    asked = inputs_of_ranges(got.filter("dataset = 'd' and out_index in (2, 5)"), files)
+    assert sorted((r.out_index, r.in_name) for r in asked.collect()) == [(2, "x"), (2, "y"), (5, "x"), (5, "y")]
     e = got.filter("dataset = 'e'").agg(F.count("*").alias("n"), F.countDistinct("out_index").alias("u"), F.max("first_event").alias("m")).first()
     assert tuple(e) == (250_001, 250_001, 250_001)
     with pytest.raises(Exception, match="must be at least 1"):
@@ -104,6 +108,16 @@ def test_combine(spark):
     got = {r.stage: r.n for r in stages.groupBy("stage").agg(F.countDistinct("out_index").alias("n")).collect()}
     assert got == {1: 12, 2: 4, 3: 1}
 
+    odd = spark.createDataFrame([("t", f"i{i}", 10 * i) for i in range(11)], "task string, name string, seq bigint")
+    for flush in (True, False):  # as stage after stage
+        got = sorted(tuple(r) for r in combine_stages(odd, [2, 2], "s%d_%%d", flush=flush).select("stage", "out_index", "out_name", "name", "seq").collect())
+        one = combine_stage(odd, 2, "s1_%d", flush=flush)
+        two = combine_stage(one.select("task", F.col("out_name").alias("name"), F.col("out_index").alias("seq")).distinct(), 2, "s2_%d", flush=flush)
+        rows = [(i, r.out_index, r.out_name, r.name, r.seq) for i, part in ((1, one), (2, two)) for r in part.collect()]
+        assert got == sorted(rows)
+    with pytest.raises(ValueError):
+        combine_stages(inputs, [2, 0])
+
     head = combine_stage(inputs.filter("seq < 5"), 2, "out_%d.root")
     assert sorted({r.out_index for r in head.collect()}) == [0, 1]
     rest = combine_stage(inputs.filter("seq < 9"), 2, "out_%d.root", mapped=head, flush=True)

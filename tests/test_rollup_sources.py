@@ -97,12 +97,15 @@ def test_catalog(spark):
     assert C.catalog_lookup(cat, "BABY", tie="id", analysis="x", tag="v9").count() == 0
     with pytest.raises(ValueError):
         C.catalog_lookup(cat, "BABY", tie="id")
+    named = cat.select("*", F.concat(F.lit("t"), F.col("id").cast("string")).alias("word")).withColumn("timestamp", F.lit(1))
+    assert sorted(r.word for r in C.latest_records(named, ["dataset"], "word").collect()) == ["t1", "t4"]
     assert [r.id for r in C.sort_by_timestamp(cat, "id").collect()] == [3, 2, 5, 4, 1]
     assert [tuple(r) for r in C.catalog_search(cat, "/A/*/C", {"status": "valid", "tag": "v2"}, ["dataset", "gtag"]).collect()] == [("/A/z/C", "g5")]
     assert C.catalog_search(cat, "/A/?/C.").count() == 0
     listing = spark.createDataFrame([("/loc2/f1.root",), ("/loc2/sub/f2.root",), ("/loc1/f3.root",)], "path string")
     found = C.located_files(C.catalog_lookup(cat, "CMS3", tie="id"), listing)
     assert [(r.dataset, r.path) for r in found.collect()] == [("/A/b/C", "/loc2/f1.root")]
+    assert C.located_files(C.catalog_lookup(cat, "CMS3", tie="id"), listing, "f?.txt").count() == 0
 
     files = spark.createDataFrame([("d", "f_10", "7", "1.5"), ("d", "f_2", "3", None)], "dataset string, name string, nevents string, size_gb string")
     m = C.catalog_manifest(files)

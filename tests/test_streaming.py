@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from batchtally.operators.chunking import ChunkRule
 from batchtally.plans.storage import fresh_path
+from batchtally.streaming import ingest
 from batchtally.streaming.ingest import IngestStore, flush_leftovers, ingest_batch, outputs_stream, start_ingest
 from batchtally.streaming.series import progress_history, progress_parts, read_series, start_series, telemetry_means, telemetry_parts
 
@@ -46,6 +48,28 @@ def test_open_dataset_grows(spark):
     assert len(chunks(spark, store)) == 5
 
 
+def test_failure_between_the_writes_is_completed(spark, monkeypatch):
+    store, rule = IngestStore(fresh_path(spark, "store")), ChunkRule(files=2)
+    ds = spark.createDataFrame([("/d/RAW", True, "/out")], "dataset string, open boolean, output_dir string")
+    batch = spark.createDataFrame([("/d/RAW", i, f"f{i}", 10) for i in range(5)], FILES)
+
+    def published():
+        return sorted(r.seq for r in spark.read.option("recursiveFileLookup", True).schema(FILES).parquet(store.outputs).collect())
+
+    def stop(*_, **__):
+        raise RuntimeError("lost")
+
+    for run_ in (lambda: ingest_batch(store, ds, rule)(batch, 0), lambda: flush_leftovers(spark, store, ds, rule, 7)):
+        with monkeypatch.context() as broken:
+            broken.setattr(ingest, "_publish", stop)
+            with pytest.raises(RuntimeError):
+                run_()
+        run_()
+        run_()
+    assert chunks(spark, store) == {1: ["f0", "f1"], 2: ["f2", "f3"], 3: ["f4"]}
+    assert published() == [1, 2, 3]
+
+
 def test_periodic_flush_and_chain(spark):
     path = fresh_path(spark, "in")
     one, two = IngestStore(fresh_path(spark, "one")), IngestStore(fresh_path(spark, "two"))
