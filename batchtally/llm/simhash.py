@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchtally.llm.common import documents, required
+from batchtally.llm.common import documents, required, small
 from batchtally.llm.components import components
 from batchtally.plans.storage import write_and_read
 
@@ -199,10 +199,10 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns: one of those with the smallest doc_id."""
-    found = near_components(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    keep = write_and_read(keep.withColumnRenamed("doc_id", "keep_id"), "kept")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = near_components(docs).groupBy("doc_id").agg(stays.alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone_id"))
+    gone = small(write_and_read(gone, "gone"))  # fewer than those that stay; texts are shuffled only where it is large
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def hexadecimal(fp: Column) -> Column:
