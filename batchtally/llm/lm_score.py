@@ -2,11 +2,17 @@ r"""Masked pseudo-likelihood of documents.
 
 A small bidirectional network predicts every token from the two tokens on either
 side; the sum of the conditional log-probabilities scores a document. Tokens are
-lower-cased words hashed to ``BUCKETS`` numbers. A token's probability is that of
-its class, given by the network, times its share of the class in the corpus;
-classes hold near equal mass.
+lower-cased words. The network knows them by hash only, as one of ``BUCKETS``
+numbers, and gives the probability of a class of buckets; classes hold near equal
+mass. A word's probability is that of its class, times the bucket's share of the
+class, times the word's own share of the bucket, from exact counts of all words.
 
-Three passes over all documents: token counts; training; scoring. In training a
+The counts are a stored table that grows with the vocabulary. Words that hold at
+least 1 / ``COMMON`` of all tokens, so at most ``COMMON`` words, go to every task; other words
+are joined with the table, so no key of that join is frequent. Logarithms of
+counts are summed in whole numbers of 1 / ``UNIT``, alike in any order.
+
+Three passes over all documents: word counts; training; scoring. In training a
 task fits the network in numpy on masked positions of its own documents (every
 ``MASK``-th position by hash, so the work grows with the text), from one common
 start; the local networks are then averaged by token count in a tree of
@@ -15,13 +21,16 @@ aggregates of about half ``FAN_IN`` networks each.
 Defined results
 * null or empty text: no tokens, log_prob 0, mean_log_prob null;
 * repeated rows get equal scores; null ids are scored like others;
+* a word outside the counted documents scores like one that occurs once in them;
 * a window that runs over an end of the text is filled with a token of its own;
 * an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -39,12 +48,23 @@ SIDE, WIDTH, HIDDEN = 2, 16, 32
 MASK, BATCH, RATE = 8, 512, 0.15
 FAN_IN = 32
 TOKENS_AT_ONCE = 1 << 16
+COMMON = 1 << 20
+WORDS_HELD = 300_000
+UNIT = 1 << 32
 
 _cache: dict[bytes, int] = {}
 
 
+def words_in(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
 def tokens(text: str | None) -> np.ndarray:
-    words = (text or "").encode().lower().split()
+    return numbers(words_in(text))
+
+
+def numbers(words: list[bytes]) -> np.ndarray:
+    """The bucket of every word."""
     if len(_cache) > 500_000:  # memory only; the numbers are the same
         _cache.clear()
     known, new = _cache.get, xxhash.xxh32_intdigest
@@ -55,28 +75,47 @@ def tokens(text: str | None) -> np.ndarray:
     return np.array(ids, dtype=np.int32)
 
 
-def token_counts(docs: DataFrame) -> np.ndarray:
-    """Number of tokens per bucket over all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Table (word, bucket, n) of every word of all documents, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS, dtype=np.int64)
+        held: Counter[bytes] = Counter()
+
+        def out() -> pa.RecordBatch:
+            words, n = list(held), list(held.values())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(numbers(words)), pa.array(n, pa.int64())], ["word", "bucket", "n"])
+
         for b in batches:
             for t in b.column(0):
-                sums += np.bincount(tokens(t.as_py()), minlength=BUCKETS)
-        if sums.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums)], ["i", "n"])
+                held.update(words_in(t.as_py()))
+                if len(held) > WORDS_HELD:
+                    yield out()
+        if held:
+            yield out()
+
+    parts = docs.select("text").mapInArrow(run, "word binary, bucket int, n long")
+    return write_and_read(parts.groupBy("word", "bucket").agg(F.sum("n").alias("n")), "words")
+
 
-    rows = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+def token_counts(words: DataFrame) -> np.ndarray:
+    """Number of tokens per bucket."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in rows:
-        counts[r["i"]] = r["n"]
+    for r in words.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["bucket"]] = r["n"]
     return counts
 
 
+def in_units(n: np.ndarray) -> np.ndarray:
+    """Logarithms of counts in whole numbers; 0 counts as 1."""
+    return np.rint(np.log(np.maximum(n, 1)) * UNIT).astype(np.int64)
+
+
 class Network:
     """Embeddings of the window, one hidden layer, a softmax over classes."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, words: DataFrame | None = None):
+        self.counts, self.words = counts, words
         share = (counts + 1) / (counts + 1).sum()
         order = np.argsort(-share, kind="stable")
         middle = np.cumsum(share[order]) - share[order] / 2
@@ -91,6 +130,9 @@ class Network:
         self.w2 = draw(HIDDEN, CLASSES) * np.float32(0.1)
         self.b2 = np.log(np.maximum(mass, 1e-6)).astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None}  # the table stays with the driver
+
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.w1, self.b1, self.w2, self.b2]
 
@@ -129,15 +171,16 @@ def windows(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, token ids, lengths) of runs of documents of some tens of thousand tokens."""
-    start, held, size = 0, [], 0
+def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
+    """(first row, end row, words, lengths) of runs of documents of some tens of thousand tokens."""
+    start, held, lengths = 0, [], []
     for i, t in enumerate(b.column(column)):
-        held.append(tokens(t.as_py()))
-        size += len(held[-1])
-        if size >= TOKENS_AT_ONCE or i == b.num_rows - 1:
-            yield start, i + 1, np.concatenate(held), np.array([len(x) for x in held], dtype=np.int64)
-            start, held, size = i + 1, [], 0
+        words = words_in(t.as_py())
+        held += words
+        lengths.append(len(words))
+        if len(held) >= TOKENS_AT_ONCE or i == b.num_rows - 1:
+            yield start, i + 1, held, np.array(lengths, dtype=np.int64)
+            start, held, lengths = i + 1, [], []
 
 
 def _learn(net: Network, sums: list[np.ndarray], ids: np.ndarray, around: np.ndarray) -> None:
@@ -165,7 +208,8 @@ def local_networks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         net, n = Network(counts), 0
         sums = [np.full_like(p, 1e-3) for p in net.parts()]
         for b in batches:
-            for _, _, ids, lengths in _chunks(b, 0):
+            for _, _, words, lengths in _chunks(b, 0):
+                ids = numbers(words)
                 place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 mixed = (place * 2654435761 + np.repeat(lengths, lengths) * 40503 + ids * 97) % 4294967296
                 masked = np.flatnonzero((mixed >> 7) % MASK == 0)
@@ -204,8 +248,9 @@ def average(models: DataFrame) -> np.ndarray | None:
 
 
 def train(docs: DataFrame) -> Network:
-    counts = token_counts(docs)
-    net = Network(counts)
+    words = word_counts(docs)
+    counts = token_counts(words)
+    net = Network(counts, words)
     mean = average(local_networks(docs, counts))
     if mean is not None:
         net.load(mean)
@@ -213,27 +258,42 @@ def train(docs: DataFrame) -> Network:
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, n_tokens, log_prob and mean_log_prob for every row."""
+    """doc_id, n_tokens, log_prob and mean_log_prob for every row; the words of ``net`` are those of its training."""
     required(docs, ["doc_id", "text"])
     rows = docs.select("doc_id", "text")
+    least = -(-int(net.counts.sum()) // COMMON)
+    common = net.words.filter(F.col("n") >= least).select("word", "n").toPandas()  # at most COMMON words
+    known = dict(zip(map(bytes, common["word"]), in_units(common["n"].to_numpy(dtype=np.int64)).tolist(), strict=True))
+    of_bucket = in_units(net.counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, end, ids, lengths in _chunks(b, 1):
+            for start, end, words, lengths in _chunks(b, 1):
+                ids = numbers(words)
                 around = windows(ids, lengths)
                 p = np.zeros(len(ids))
                 for at in range(0, len(ids), 8192):
                     p[at : at + 8192] = net.log_probs(ids[at : at + 8192], around[at : at + 8192])
                 doc = np.repeat(np.arange(len(lengths)), lengths)
-                total = np.bincount(doc, p, len(lengths))
-                mean = pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(start, end - start), pa.array(lengths), pa.array(total), mean],
-                    ["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
-                )
-
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())]
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields]))
+                units = np.array(list(map(known.get, words, repeat(-1))), dtype=np.int64)
+                rare = np.flatnonzero(units < 0)
+                inside = np.append(0, np.cumsum(np.maximum(units, 0) - of_bucket[ids]))
+                ends = np.cumsum(lengths)
+                first_rare = np.append(0, np.searchsorted(rare, ends)).astype(np.int32)
+                unknown = pa.ListArray.from_arrays(first_rare, pa.array([words[i] for i in rare.tolist()], pa.binary()))
+                columns = [b.column("doc_id").slice(start, end - start), pa.array(lengths), pa.array(np.bincount(doc, p, len(lengths)).astype(float))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(inside[ends] - inside[ends - lengths]), unknown], ["doc_id", "n_tokens", "p", "u", "rare"])
+
+    kinds = [("n_tokens", T.LongType()), ("p", T.DoubleType()), ("u", T.LongType()), ("rare", T.ArrayType(T.BinaryType()))]
+    scored = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *[T.StructField(n, t) for n, t in kinds]]))
+    scored = write_and_read(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # the logarithm of 1 is 0: words that occur once need no partner
+    table = net.words.filter((F.col("n") > 1) & (F.col("n") < least)).select("word", F.rint(F.log("n") * UNIT).cast("bigint").alias("v"))
+    found = scored.select("row", F.explode("rare").alias("word")).join(table, "word").groupBy("row").agg(F.sum("v").alias("v"))
+    total = F.col("p") + (F.col("u") + F.coalesce("v", F.lit(0))) / UNIT
+    out = scored.select("doc_id", "n_tokens", "p", "u", "row").join(found, "row", "left").withColumn("log_prob", total)
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:

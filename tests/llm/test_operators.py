@@ -290,6 +290,24 @@ def test_lm_scores(spark, docs, none, monkeypatch):
     assert lm_score.score(none, lm_score.train(none)).count() == 0
 
 
+def test_lm_scores_know_words_that_share_a_bucket(spark, none, monkeypatch):
+    by = collections.defaultdict(list)
+    for w in (f"w{i}" for i in range(20_000)):
+        by[int(lm_score.tokens(w)[0])].append(w)
+    often, junk, absent = next(v for v in by.values() if len(v) > 2)[:3]
+    rows = [(i, f"p q {often} r s") for i in range(200)] + [(200, f"p q {junk} r s")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    asked = spark.createDataFrame([(i, f"p q {w} r s") for i, w in enumerate([often, junk, absent])] + [(None, "")], "doc_id bigint, text string")
+    for common in (lm_score.COMMON, 2):  # all words sent to the tasks; all but the frequent ones joined
+        monkeypatch.setattr(lm_score, "COMMON", common)
+        net = lm_score.train(frame)
+        assert {bytes(r["word"]).decode(): r["n"] for r in net.words.collect()} == {often: 200, junk: 1, **dict.fromkeys("pqrs", 201)}
+        got = {r["doc_id"]: r["log_prob"] for r in lm_score.score(asked, net).collect()}
+        assert math.isclose(got[0] - got[1], math.log(200), rel_tol=1e-6) and math.isclose(got[1], got[2], rel_tol=1e-9) and got[None] == 0
+        ids = lm_score.tokens(f"p q {often} r s")
+        assert math.isclose(got[0], net.log_probs(ids, lm_score.windows(ids, np.array([5]))).sum() + math.log(200 / 201), rel_tol=1e-5)
+
+
 def test_mixing(spark, docs, none):
     frame = spark.range(3000).selectExpr(
         "id AS doc_id", "repeat('w ', cast(1 + id % 5 as int)) AS text", "CASE WHEN id % 3 > 0 THEN 'big' WHEN id % 30 = 0 THEN NULL ELSE 'mid' END AS source"
