@@ -13,10 +13,10 @@ are joined with the table, so no key of that join is frequent. Logarithms of
 counts are summed in whole numbers of 1 / ``UNIT``, alike in any order.
 
 Three passes over all documents: word counts; training; scoring. In training a
-task fits the network in numpy on masked positions of its own documents (every
-``MASK``-th position by hash, so the work grows with the text), from one common
-start; the local networks are then averaged by token count in a tree of
-aggregates of about half ``FAN_IN`` networks each.
+task fits the network in numpy on every position of its own documents, once: for
+each run of documents in ``MASK`` passes, each over another share of positions by
+hash. All tasks begin at one common start; the local networks are then averaged by
+token count in a tree of aggregates of about half ``FAN_IN`` networks each.
 
 Defined results
 * null or empty text: no tokens, log_prob 0, mean_log_prob null;
@@ -191,16 +191,27 @@ def _learn(net: Network, sums: list[np.ndarray], ids: np.ndarray, around: np.nda
     d /= len(ids)
     dh = (d @ net.w2.T) * (1 - h * h)
     dx = (dh @ net.w1.T).reshape(-1, WIDTH)
-    rows, at = np.unique(around.ravel(), return_inverse=True)
-    de = np.zeros((len(rows), WIDTH), dtype=np.float32)
-    np.add.at(de, at, dx)
-    sums[0][rows] += de * de
-    net.embed[rows] -= RATE * de / np.sqrt(sums[0][rows] + 1e-8)
+    flat = around.ravel().astype(np.min_scalar_type(BUCKETS))
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    rows, de = ordered[first], np.add.reduceat(dx[order], first, axis=0)
+    sums[0][rows] = so_far = sums[0][rows] + de * de
+    net.embed[rows] -= RATE * de / np.sqrt(so_far + 1e-8)
     for p, s, g in zip(net.parts()[1:], sums[1:], [x.T @ dh, dh.sum(0), h.T @ d, d.sum(0)], strict=True):
         s += g * g
         p -= RATE * g / np.sqrt(s + 1e-8)
 
 
+def passes(ids: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """The positions of each of ``MASK`` passes; every position is in one of them."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    mixed = (place * 2654435761 + np.repeat(lengths, lengths) * 40503 + ids * 97) % 4294967296
+    turn = (mixed >> 7) % MASK
+    for k in range(MASK):
+        yield np.flatnonzero(turn == k)
+
+
 def local_networks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """One row (n, params) per task with text: the network fitted on the task's own documents."""
 
@@ -210,14 +221,13 @@ def local_networks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         for b in batches:
             for _, _, words, lengths in _chunks(b, 0):
                 ids = numbers(words)
-                place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                mixed = (place * 2654435761 + np.repeat(lengths, lengths) * 40503 + ids * 97) % 4294967296
-                masked = np.flatnonzero((mixed >> 7) % MASK == 0)
-                around = windows(ids, lengths)[masked]
-                for at in range(0, len(masked), BATCH):
-                    part = slice(at, at + BATCH)
-                    _learn(net, sums, ids[masked[part]], around[part])
-                n += len(masked)
+                around = windows(ids, lengths)
+                for masked in passes(ids, lengths):
+                    near = around[masked]
+                    for at in range(0, len(masked), BATCH):
+                        part = slice(at, at + BATCH)
+                        _learn(net, sums, ids[masked[part]], near[part])
+                    n += len(masked)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([net.flat().astype(np.float32).tobytes()])], ["n", "params"])
 

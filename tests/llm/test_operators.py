@@ -308,6 +308,16 @@ def test_lm_scores_know_words_that_share_a_bucket(spark, none, monkeypatch):
         assert math.isclose(got[0], net.log_probs(ids, lm_score.windows(ids, np.array([5]))).sum() + math.log(200 / 201), rel_tol=1e-5)
 
 
+def test_lm_training_takes_every_position(docs):
+    total = sum(len((t or "").split()) for _, t, *_ in ROWS)
+    counts = lm_score.token_counts(lm_score.word_counts(docs))
+    assert counts.sum() == total
+    assert sum(r["n"] for r in lm_score.local_networks(docs, counts).collect()) == total
+    lengths = np.array([1, 0, 2, 40])
+    taken = list(lm_score.passes(np.arange(43), lengths))
+    assert len(taken) == lm_score.MASK and sorted(np.concatenate(taken).tolist()) == list(range(43))
+
+
 def test_mixing(spark, docs, none):
     frame = spark.range(3000).selectExpr(
         "id AS doc_id", "repeat('w ', cast(1 + id % 5 as int)) AS text", "CASE WHEN id % 3 > 0 THEN 'big' WHEN id % 30 = 0 THEN NULL ELSE 'mid' END AS source"
