@@ -13,6 +13,7 @@ Defined results
 * null text has no words and fails; null hosts form one host of their own;
 * a row is judged by itself, so repeated rows get equal verdicts;
 * one host, or hosts of equal rates: every rate shrinks to the mean;
+* hosts that differ as much as can be, all rates 0 or 1: the prior vanishes, rates stay as they are;
 * an empty table gives an empty result; other columns are carried unchanged.
 """
 
@@ -27,6 +28,7 @@ from batchtally.plans.storage import write_and_read
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 HOST_LIMIT = 0.5  # shrunk failure rate beyond which a host goes
+RATE_UNIT = 10**12  # rates are summed in whole numbers, alike in any order of hosts
 
 #: Rules counted per host, as conditions on the measures.
 RULES = {
@@ -94,24 +96,32 @@ def _measured(docs: DataFrame, host: str, *keep: Column) -> DataFrame:
     return flat.select("*", *failed)
 
 
+def beta_prior(hosts: int, total: int, squares: int) -> tuple[float | None, float | None]:
+    """Mean and strength from the sums of rates and of their squares, in units; no strength where all rates are equal.
+
+    The strength is 0 where all rates are 0 or 1, and never below.
+    """
+    spread = hosts * squares - total * total
+    mean = total / (hosts * RATE_UNIT) if hosts else None
+    return mean, (total * (hosts * RATE_UNIT - total) - spread) / spread if spread else None
+
+
 def rejected_hosts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """Hosts whose shrunk failure rate of any rule passes ``limit``, with the rates."""
     hosts = measured.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(f"failed_{r}").alias(f"k_{r}") for r in RULES]
     )
-    rates = [
-        c
-        for r in RULES
-        for c in (F.avg(F.col(f"k_{r}") / F.col("n")).alias(f"m_{r}"), F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}"))
-    ]
-    prior = hosts.agg(*rates).first()  # one row
+    sums = []
+    for r in RULES:
+        rate = F.round(F.col(f"k_{r}") / F.col("n") * RATE_UNIT).cast("decimal(13,0)")
+        sums += [F.sum(rate).alias(f"s_{r}"), F.sum(rate * rate).alias(f"q_{r}")]
+    prior = hosts.agg(F.count(F.lit(1)).alias("hosts"), *sums).first()  # one row
     shrunk = {}
     for r in RULES:
-        mean, var = prior[f"m_{r}"], prior[f"v_{r}"]
-        strength = mean * (1 - mean) / var - 1 if var else None
+        mean, strength = beta_prior(prior["hosts"], int(prior[f"s_{r}"] or 0), int(prior[f"q_{r}"] or 0))
         shrunk[f"rate_{r}"] = (
             F.lit(mean).cast("double")
-            if strength is None or strength <= 0
+            if strength is None
             else (F.col(f"k_{r}") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
         )
     over = F.lit(False)

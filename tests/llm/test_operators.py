@@ -360,3 +360,23 @@ def test_quality(spark, docs, none):
     left = quality.keep_good(hosts)
     assert left.columns == hosts.columns and {r["source"] for r in left.collect()} == {"ok"} and left.count() == 180
     assert quality.quality_verdicts(none).count() == 0
+
+
+@pytest.mark.parametrize(("bad", "hosts"), [(1, 10), (2, 3), (7, 49)])
+def test_quality_of_hosts_that_differ_as_much_as_can_be(spark, bad, hosts):
+    text = lambda h: "short" if h < bad else " ".join(f"g{i}" for i in range(50))
+    rows = [(10 * h + i, text(h), f"host{h}") for h in range(hosts) for i in range(3 + h % 2)]
+    for parts in (1, 3):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(parts)
+        measured = quality._measured(frame, "source")
+        assert {r["host"]: r["rate_base"] for r in quality.rejected_hosts(measured).collect()} == {f"host{h}": 1.0 for h in range(bad)}
+        assert {r["doc_id"] for r in quality.keep_good(frame).collect()} == {i for i, _, s in rows if int(s[4:]) >= bad}
+
+
+def test_quality_prior():
+    unit = quality.RATE_UNIT
+    assert quality.beta_prior(0, 0, 0) == (None, None) and quality.beta_prior(3, unit, unit * unit)[1] == 0
+    assert quality.beta_prior(3, 3 * unit // 10, 3 * (unit // 10) ** 2) == (0.1, None)
+    rates = [0.1, 0.25, 0.5, 0.05]
+    mean, strength = quality.beta_prior(4, sum(round(x * unit) for x in rates), sum(round(x * unit) ** 2 for x in rates))
+    assert math.isclose(mean, np.mean(rates)) and math.isclose(strength, np.mean(rates) * (1 - np.mean(rates)) / np.var(rates) - 1)
