@@ -83,7 +83,8 @@ def drop_exact_copies(docs: DataFrame, tracked: int = TRACKED) -> DataFrame:
     """The rows that stay, with all their columns."""
     required(docs, ["doc_id", "text"])
     rows = packed(docs, digest(text_of()).alias("d"), _order(F.char_length(text_of()), F.col("doc_id")).alias("o"))
-    hot = F.broadcast(frequent(rows, "d", tracked))
+    # stored, so that both branches below see the same digests
+    hot = F.broadcast(write_and_read(frequent(rows, "d", tracked), "frequent"))
     marked = rows.withColumn("h", F.xxhash64("d"))
     winners = marked.join(hot, "h", "left_semi").groupBy("d").agg(F.min_by("row", "o").alias("row"))
     rest = marked.join(hot, "h", "left_anti").withColumn("p", F.row_number().over(W.partitionBy("d").orderBy("o"))).filter("p = 1")

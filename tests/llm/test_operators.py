@@ -3,11 +3,14 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from batchtally.llm import exact_dedup, licences, lm_score, mixing, pii, quality, sentencepiece_sampling, sharding, simhash, toxicity
 from batchtally.llm.components import components
@@ -54,6 +57,24 @@ def test_exact_copies(docs, none):
     assert exact_dedup.exact_copies(none).count() == 0
 
 
+def test_drop_exact_copies_with_a_summary_that_changes(spark, monkeypatch):
+    def unsteady(rows, key, tracked):
+        def some(batches):
+            for b in batches:
+                yield b.filter(pa.array((np.frombuffer(os.urandom(b.num_rows), dtype=np.uint8) < 128)))
+
+        return rows.select(F.xxhash64(key).alias("h")).distinct().mapInArrow(some, "h long")
+
+    monkeypatch.setattr(exact_dedup, "frequent", unsteady)
+    frame = spark.createDataFrame([(i, f"text{i % 60}") for i in range(180)], "doc_id bigint, text string")
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(frame).collect()) == list(range(60))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+
+
 def test_drop_exact_copies_keeps_columns(docs, none):
     left = exact_dedup.drop_exact_copies(docs)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 6, 8, 9, 10, 11, 12]
