@@ -84,7 +84,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     wanted = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     wanted = wanted.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    found = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # one document of each doc_id, however often it is repeated
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = found.groupBy("doc_id", "quality", "toxic").agg(one).select("doc_id", "text", "quality", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

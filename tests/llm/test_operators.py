@@ -289,6 +289,16 @@ def test_licences(spark, docs, none):
     assert licences.licence_scan(docs).count() == len(ROWS) and licences.licence_scan(none).count() == 0
 
 
+def test_labelled_sample_has_one_row_of_each_id(spark):
+    rows = [(1, f"text number {i}") for i in range(50)] + [(2, None), (3, "other")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3)], "doc_id bigint, quality int, toxic int")
+    got = []
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        got.append(sorted((r["doc_id"], tuple(r["features"])) for r in toxicity.labelled_sample(frame, labels).collect()))
+    assert [i for i, _ in got[0]] == [1, 2, 3] and got[0] == got[1]
+
+
 def test_lm_scores(spark, docs, none, monkeypatch):
     rng = np.random.default_rng(2)
     line = lambda: " ".join(f"a{x} b{x} c{x}" for x in rng.integers(0, 12, 60))
