@@ -112,6 +112,33 @@ def unmapped_files(manifest: DataFrame, mapping: DataFrame, datasets: DataFrame)
     return fresh.join(known, ["dataset", "name"], "left_anti")
 
 
+def plan_files(
+    files: DataFrame,
+    used: DataFrame,
+    datasets: DataFrame,
+    rule: ChunkRule,
+    *,
+    flush: bool = False,
+    census: Census = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Every file ``(dataset, seq, name, nevents)`` with its ``out_index``, its ``output_dir``, and whether that output is ``complete``.
+
+    ``used`` holds the largest index of each dataset as ``(dataset, last_index)``; indices go on after it, from 1. Files
+    of incomplete outputs are leftovers; so are all files of a closed dataset that has outputs already.
+    """
+    assigned = assign_chunks(files, rule, census=census, max_group_rows=max_group_rows)
+    opened = F.coalesce("open", F.lit(False)).alias("_open")
+    plan = datasets.select("dataset", opened, "output_dir").join(used.select("dataset", F.col("last_index").alias("_used")), "dataset", "left")
+    unknown = F.raise_error(F.concat(F.lit("no row in datasets for "), F.coalesce("dataset", F.lit("NULL")))).cast("boolean")
+    settled = ~F.col("_open") & F.col("_used").isNotNull()
+    complete = F.when(F.col("_open").isNull(), unknown).otherwise(~settled & (F.col("closed") | ~F.col("_open") | F.lit(flush)))
+    index = (F.coalesce("_used", F.lit(0)) + F.col("chunk") + 1).cast("bigint")
+    return assigned.join(plan, "dataset", "left").select(
+        "dataset", "seq", "name", "nevents", index.alias("out_index"), "output_dir", complete.alias("complete")
+    )
+
+
 def extend_mapping(
     manifest: DataFrame,
     mapping: DataFrame,
@@ -135,14 +162,14 @@ def extend_mapping(
     sizes = largest_group(manifest, ["dataset"])
     if sizes[0] > max_group_rows:
         sizes = largest_group(files, ["dataset"])
-    assigned = assign_chunks(files, rule, census=sizes, max_group_rows=max_group_rows)
-    used = mapping.groupBy("dataset").agg(F.max("out_index").alias("_used"))
-    plan = datasets.select("dataset", F.coalesce("open", F.lit(False)).alias("_open"), "output_dir").join(used, "dataset", "left")
-    unknown = F.raise_error(F.concat(F.lit("no row in datasets for "), F.coalesce("dataset", F.lit("NULL")))).cast("boolean")
-    complete = F.when(F.col("_open").isNull(), unknown).otherwise(F.col("closed") | ~F.col("_open") | F.lit(flush))
-    kept = assigned.join(plan, "dataset", "left").filter(complete)
-    numbered = kept.withColumn("out_index", F.coalesce("_used", F.lit(0)) + F.col("chunk") + 1)
-    return _mapping_rows(numbered, F.col("output_dir"), base)
+    used = mapping.groupBy("dataset").agg(F.max("out_index").alias("last_index"))
+    planned = plan_files(files, used, datasets, rule, flush=flush, census=sizes, max_group_rows=max_group_rows)
+    return mapping_rows(planned.filter("complete"), base)
+
+
+def mapping_rows(planned: DataFrame, base: str) -> DataFrame:
+    """Mapping rows of planned files."""
+    return _mapping_rows(planned, F.col("output_dir"), base)
 
 
 def override_mapping(
@@ -308,33 +335,17 @@ def route_records(records: DataFrame, mapping: DataFrame, *, file: str = "file")
     return records.join(mapping.select("dataset", "out_index", F.col("in_name").alias(file)), file)
 
 
-def materialise(
-    records: DataFrame,
-    mapping: DataFrame,
-    path: str,
-    *,
-    row_id: Sequence[str],
-    file: str = "file",
-    rows_per_task: int = 1_000_000,
-    folders: int | None = None,
-) -> None:
+def materialise(records: DataFrame, mapping: DataFrame, path: str, *, file: str = "file", folders: int | None = None) -> None:
     """Write the records of each output's inputs, one folder per output.
 
-    An output larger than ``rows_per_task`` is spread over several tasks by a
-    hash of ``row_id``, the columns that tell its records apart; they must not
-    change when a task is run again. Sizes are those of the records, not of the
-    mapping. With ``folders`` the outputs of a dataset share that many
-    folders, and ``out_index`` stays a column.
+    The records are read once and rebalanced by output in one exchange; sizes are
+    known when that has run, so Spark then splits the outputs that are too large for
+    one task and merges small ones. With ``folders`` the outputs of a dataset
+    share that many folders, and ``out_index`` stays a column.
     """
-    placed = mapping.select("dataset", "out_index", F.col("in_name").alias(file))
-    per_file = records.groupBy(file).agg(F.count(F.lit(1)).alias("_n"))
-    totals = placed.join(per_file, file).groupBy("dataset", "out_index").agg(F.sum("_n").alias("_rows"))
-    sized = placed.join(totals, ["dataset", "out_index"])
-    lanes = F.ceil(F.col("_rows") / rows_per_task).cast("bigint")
-    routed = records.join(sized, file).withColumn("_lane", F.pmod(F.xxhash64(*row_id), lanes))
-    laid_out = routed.repartition("dataset", "out_index", "_lane").drop("_lane", "_rows")
+    routed = route_records(records, mapping, file=file).hint("rebalance", "dataset", "out_index")
     if folders is None:
-        laid_out.write.partitionBy("dataset", "out_index").parquet(path)
+        routed.write.partitionBy("dataset", "out_index").parquet(path)
     else:
         bucket = F.pmod(F.col("out_index"), F.lit(folders)).alias("folder")
-        laid_out.select("*", bucket).write.partitionBy("dataset", "folder").parquet(path)
+        routed.select("*", bucket).write.partitionBy("dataset", "folder").parquet(path)

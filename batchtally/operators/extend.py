@@ -2,21 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any, Tuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+LANES = 64  # tasks that may share the partial states of one chunk
 
-def process(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a user's table transform."""
-    return df.transform(step)
 
+@dataclass(frozen=True)
+class ChunkAggregate:
+    """A user's aggregate in mergeable parts.
 
-def process_batches(df: DataFrame, step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Apply a user's transform to Arrow batches."""
-    return df.mapInPandas(step, schema)
+    ``state`` names the fields of a state. ``lift`` makes the state of some records
+    of a chunk (a frame with at least one row), ``merge`` that of several states
+    (a frame of the state's columns); the way the records are split must not
+    matter. Both return a mapping of the fields.
+    """
+
+    state: str
+    lift: Callable[[pd.DataFrame], Mapping[str, Any]]
+    merge: Callable[[pd.DataFrame], Mapping[str, Any]]
+
+
+def aggregate_chunks(routed: DataFrame, aggregate: ChunkAggregate, keys: Sequence[str] = ("dataset", "out_index"), *, lanes: int = LANES) -> DataFrame:
+    """The state of each chunk as columns.
+
+    States are lifted where the records lie, one per chunk and batch of rows, so no record is
+    shuffled and a huge chunk is worked on by all tasks that hold some of it. Its states, few to a
+    task, are merged in ``lanes`` tasks and then in one.
+    """
+    keys = list(keys)
+    state = T.StructType.fromDDL(aggregate.state)
+    names = [f.name for f in state.fields]
+    schema = T.StructType([routed.schema[k] for k in keys] + state.fields)
+
+    def lift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*key, *_fields(aggregate.lift(part), names)) for key, part in batch.groupby(keys, dropna=False, sort=False)]
+            if rows:
+                yield _frame(rows, schema)
+
+    def merge(key: Tuple[Any, ...], states: pd.DataFrame) -> pd.DataFrame:
+        one = states[names].iloc[0].to_dict() if len(states) == 1 else aggregate.merge(states[names])
+        return _frame([(*key[: len(keys)], *_fields(one, names))], schema)
+
+    merge.__annotations__ = {"key": Tuple[Any, ...], "states": pd.DataFrame, "return": pd.DataFrame}
+    lifted = routed.mapInPandas(lift, schema).withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+    in_lanes = lifted.groupBy(*keys, "_lane").applyInPandas(merge, schema)
+    return in_lanes.groupBy(*keys).applyInPandas(merge, schema)
+
+
+def _fields(state: Mapping[str, Any], names: Sequence[str]) -> list[Any]:
+    return [state[n] for n in names]
+
+
+def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=schema.names)
 
 
 def process_chunks(
@@ -27,7 +73,7 @@ def process_chunks(
 ) -> DataFrame:
     """Run a user's function once per chunk, as one job per output did.
 
-    The function gets the key and an iterator of batches, so a chunk larger than
+    For functions that are no aggregate. The function gets the key and an iterator of batches, so a chunk larger than
     memory still passes through; the chunk limits bound the work of one task.
     """
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchtally.functions.paths import basepath, normpath
 from batchtally.functions.values import VALID_TEXT
+from batchtally.plans.published import fresh_folder, read_pointer, write_pointer
 from batchtally.plans.scan import MAX_GROUP_ROWS, number_rows
+from batchtally.plans.storage import remove
 
 # The sample type that needs no analysis, and the tag of uncatalogued directories.
 PLAIN_TYPE = "CMS3"
@@ -125,14 +130,90 @@ def fill_config(datasets: DataFrame, config: DataFrame) -> DataFrame:
     ).drop("_gtag", "_release")
 
 
-def upsert_catalog(records: DataFrame, path: str, now: int) -> None:
-    """Append new versions of records; readers take the newest one."""
-    records.withColumn("timestamp", F.lit(now).cast("bigint")).write.mode("append").parquet(path)
+CATALOG_KEYS = ("dataset", "sample_type", "tag")
+
+
+@dataclass(frozen=True)
+class CatalogStore:
+    """An upserted catalog: versions of records in buckets of their dataset's hash.
+
+    Every bucket has a base and the deltas of later upserts. The pointer names them,
+    and is renamed into place when they are written. An upsert adds deltas to the buckets of its own records; a
+    bucket of more than ``deltas`` is rewritten to the newest records. A lookup by dataset reads one bucket.
+    """
+
+    root: str
+    tie: str
+    buckets: int = 64
+    deltas: int = 8
+
+    def _bucket(self, dataset: Column) -> Column:
+        return F.pmod(F.xxhash64(dataset), F.lit(self.buckets)).cast("int")
+
+    def _folders(self, spark: SparkSession) -> tuple[dict[str, list[str]], dict]:
+        head = read_pointer(spark, self.root)
+        if head and head["of"] != self.buckets:
+            raise ValueError(f"the catalog at {self.root} has {head['of']} buckets")
+        return head.get("buckets", {}), head
+
+    def _read(self, spark: SparkSession, folders: Sequence[str], schema: T.StructType) -> DataFrame:
+        if not folders:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def upsert(self, records: DataFrame, now: int) -> None:
+        """Add versions of records as of ``now``."""
+        spark = records.sparkSession
+        versions = records.withColumn("timestamp", F.lit(now).cast("bigint"))
+        held, head = self._folders(spark)
+        delta = fresh_folder("delta")
+        self._write(versions, delta)
+        touched = self._touched(spark, delta)
+        buckets = {**held, **{b: [*held.get(b, []), f"{delta}/_bucket={b}"] for b in touched}}
+        full = {b: buckets[b] for b in touched if len(buckets[b]) > self.deltas}
+        gone = []
+        if full:
+            old = self._read(spark, [f for fs in full.values() for f in fs], versions.schema)
+            base = fresh_folder("base")
+            self._write(catalog_versions(old, self.tie).select(*versions.columns), base)
+            buckets |= {b: [f"{base}/_bucket={b}"] for b in full}
+            gone = [f for fs in full.values() for f in fs]
+        write_pointer(spark, self.root, {"of": self.buckets, "buckets": buckets, "schema": versions.schema.json(), "gone": gone})
+        for f in head.get("gone", []):
+            remove(spark, f"{self.root}/{f}")
+
+    def _write(self, versions: DataFrame, folder: str) -> None:
+        dealt = versions.withColumn("_bucket", self._bucket(F.col("dataset"))).hint("rebalance", "_bucket")
+        dealt.write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+
+    def _touched(self, spark: SparkSession, folder: str) -> list[str]:
+        """Buckets of a delta, by the names of its folders."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [f.getPath().getName() for f in found]
+        return sorted(n.removeprefix("_bucket=") for n in names if n.startswith("_bucket="))
+
+    def _schema(self, head: dict) -> T.StructType:
+        if not head:
+            raise ValueError(f"no catalog at {self.root}")
+        return T.StructType.fromJson(json.loads(head["schema"]))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The newest version of every record."""
+        held, head = self._folders(spark)
+        return catalog_versions(self._read(spark, [f for fs in held.values() for f in fs], self._schema(head)), self.tie)
+
+    def lookup(self, spark: SparkSession, dataset: str) -> DataFrame:
+        """The newest records of one dataset; only its bucket is read."""
+        held, head = self._folders(spark)
+        bucket = spark.range(1).select(self._bucket(F.lit(dataset))).first()[0]
+        rows = self._read(spark, held.get(str(bucket), []), self._schema(head)).filter(F.col("dataset") == dataset)
+        return catalog_versions(rows, self.tie)
 
 
 def catalog_versions(versions: DataFrame, tie: str) -> DataFrame:
     """Current state of an upserted catalog, keyed by dataset, type and tag."""
-    return latest_records(versions, ["dataset", "sample_type", "tag"], tie)
+    return latest_records(versions, CATALOG_KEYS, tie)
 
 
 def located_files(records: DataFrame, listing: DataFrame, glob: str = "*") -> DataFrame:

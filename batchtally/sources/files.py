@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchtally.functions.paths import STORE_PREFIX
+from batchtally.plans.published import current, publish
 from batchtally.plans.storage import load_or_empty
 
 LISTING = "path string, length bigint, modificationTime timestamp"
@@ -77,14 +78,17 @@ def sort_fields(df: DataFrame) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys."""
-    sort_fields(summary).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """JSON lines with sorted keys, as the new version of the summary at ``path``."""
+    lines = sort_fields(summary)
+    publish(summary.sparkSession, path, lambda folder: lines.write.option("ignoreNullFields", False).json(folder))
 
 
 def read_summary(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Prior summary; undecodable lines are ignored and a missing one is empty."""
-    reader = spark.read.format("json").schema(schema).option("mode", "DROPMALFORMED")
-    return load_or_empty(reader, spark, path, schema)
+    """The current version; undecodable lines are ignored, and it is empty before the first one."""
+    folder = current(spark, path)
+    if folder is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
 def write_metadata(records: DataFrame, path: str) -> None:
@@ -95,8 +99,15 @@ def write_metadata(records: DataFrame, path: str) -> None:
 
 
 def save_snapshot(state: DataFrame, keys: Sequence[str], columns: Sequence[str], path: str) -> None:
-    """Keep the declared columns of each unit."""
-    state.select(*keys, *columns).write.mode("overwrite").parquet(path)
+    """Keep the declared columns of each unit, as the new version of the snapshot at ``path``."""
+    kept = state.select(*keys, *columns)
+    publish(state.sparkSession, path, kept.write.parquet)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The current version; empty before the first one."""
+    folder = current(spark, path)
+    return spark.createDataFrame([], schema) if folder is None else spark.read.schema(schema).parquet(folder)
 
 
 def overlay_snapshot(current: DataFrame, saved: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from batchtally.functions.paths import comma_join
 from batchtally.operators import chunking as C
 from batchtally.operators import events as E
-from batchtally.operators.extend import process_chunks
+from batchtally.operators.extend import ChunkAggregate, aggregate_chunks
 from batchtally.plans.storage import fresh_path, write_and_read
 from batchtally.workload.tables import SETTLED, Tables, ntz, with_views
 
@@ -208,7 +208,7 @@ def materialised_counts(t: Tables) -> DataFrame:
     )
     records = t.events_of_files.join(fakes, "file", "left_anti")
     path = fresh_path(t.spark, "merged")
-    C.materialise(records, mapping, path, row_id=["file", "event_no"], folders=MERGED_FOLDERS)
+    C.materialise(records, mapping, path, folders=MERGED_FOLDERS)
     actual = t.spark.read.parquet(path).groupBy("dataset", "out_index").agg(F.count(F.lit(1)).alias("actual"))
     plan = C.output_totals(mapping).select("dataset", "out_index", F.col("out_nevents").alias("expected"))
     return E.check_counts(plan, actual, ["dataset", "out_index"])
@@ -225,20 +225,16 @@ FROM (SELECT dataset, out_index, CAST(sum(nevents) AS BIGINT) AS expected, CAST(
 
 
 def user_code_per_chunk(t: Tables) -> DataFrame:
-    """A user's function over the records of each output: the sum of negative weights."""
+    """A user's aggregate over the records of each output: the sum of negative weights."""
 
-    def negative_sum(key, batches):
-        import pandas as pd
-
-        n, total = 0, 0.0
-        for b in batches:
-            w = b["weight"]
-            n, total = n + len(w), total + float(w[w < 0].sum())
-        yield pd.DataFrame({"dataset": [key[0]], "out_index": [key[1]], "n": [n], "negative_sum": [round(total, 4)]})
+    def of_records(frame):
+        weights = frame["weight"]
+        return {"n": len(weights), "negative_sum": float(weights[weights < 0].sum())}
 
+    aggregate = ChunkAggregate("n bigint, negative_sum double", of_records, lambda states: states.sum().to_dict())
     routed = C.route_records(t.events_of_files, _mapping(t, 50))
-    schema = "dataset string, out_index bigint, n bigint, negative_sum double"
-    return process_chunks(routed.select("dataset", "out_index", "weight"), negative_sum, schema)
+    found = aggregate_chunks(routed.select("dataset", "out_index", "weight"), aggregate)
+    return found.withColumn("negative_sum", F.round("negative_sum", 4))
 
 
 USER_SQL = """WITH m AS (SELECT o_orderpriority AS dataset, o_orderkey,

@@ -13,14 +13,7 @@ from batchtally.plans.storage import fresh_path
 from batchtally.sources import catalog as C
 from batchtally.sources import files as S
 from batchtally.streaming.ingest import IngestStore, flush_leftovers, outputs_stream, start_ingest
-from batchtally.streaming.series import (
-    progress_history,
-    progress_parts,
-    read_series,
-    start_series,
-    telemetry_means,
-    telemetry_parts,
-)
+from batchtally.streaming.series import PROGRESS, TELEMETRY, Series, progress_history, read_series, start_series, telemetry_means
 from batchtally.workload.progress import _rollup
 from batchtally.workload.tables import Tables, with_views
 from batchtally.workload.tracking import summary_rows
@@ -97,11 +90,11 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY coalesce(t
 
 def catalog_upsert(t: Tables) -> DataFrame:
     """All records are pushed, then those of one analysis again with a new tag value."""
-    path = fresh_path(t.spark, "catalog")
+    store = C.CatalogStore(fresh_path(t.spark, "catalog"), "id", buckets=16)
     records = t.catalog.drop("timestamp")
-    C.upsert_catalog(records, path, 100)
-    C.upsert_catalog(records.filter("analysis = 'red'").withColumn("gtag", F.concat("gtag", F.lit("_new"))), path, 200)
-    return C.catalog_versions(t.spark.read.parquet(path), "id").select("dataset", "sample_type", "tag", "gtag", "timestamp", "id")
+    store.upsert(records, 100)
+    store.upsert(records.filter("analysis = 'red'").withColumn("gtag", F.concat("gtag", F.lit("_new"))), 200)
+    return store.read(t.spark).select("dataset", "sample_type", "tag", "gtag", "timestamp", "id")
 
 
 UPSERT_SQL = with_views(
@@ -146,7 +139,7 @@ def state_overlay(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "state")
     saved = t.customer.filter("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(None).cast("string").alias("c_name"), F.lit(0.5).alias("c_acctbal"))
     S.save_snapshot(saved, ["c_custkey"], ["c_name", "c_acctbal"], path)
-    return S.overlay_snapshot(t.customer, t.spark.read.parquet(path), ["c_custkey"], ["c_name", "c_acctbal"])
+    return S.overlay_snapshot(t.customer, S.read_snapshot(t.spark, path, saved.schema), ["c_custkey"], ["c_name", "c_acctbal"])
 
 
 OVERLAY_SQL = """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name END AS c_name, c_nationkey,
@@ -325,9 +318,9 @@ def _event_stream(t: Tables) -> DataFrame:
     return stream.withColumn("ts", F.timestamp_micros(V.epoch_micros("ts"))).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
-def _run_series(t: Tables, stream: DataFrame, parts, label: str) -> DataFrame:
+def _run_series(t: Tables, stream: DataFrame, series: Series, label: str) -> DataFrame:
     path = fresh_path(t.spark, label)
-    start_series(stream, parts, path).awaitTermination()
+    start_series(stream, series, path).awaitTermination()
     return read_series(t.spark, path)
 
 
@@ -336,7 +329,7 @@ def progress_stream(t: Tables) -> DataFrame:
         F.col("event_type").alias("dataset"), "ts", F.col("k").alias("nevents_total"), (F.col("k") - 1).alias("nevents_done"),
         F.col("event_id").alias("njobs_total"), F.col("user_id").alias("njobs_done"),
     )
-    return progress_history(_run_series(t, points, progress_parts, "progress"))
+    return progress_history(_run_series(t, points, PROGRESS, "progress"))
 
 
 PROGRESS_STREAM_SQL = """SELECT event_type AS dataset, s AS ts, k AS nevents_total, k - 1 AS nevents_done, event_id AS njobs_total, user_id AS njobs_done
@@ -346,7 +339,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_type, s ORDER BY ts DESC,
 
 def telemetry_stream(t: Tables) -> DataFrame:
     samples = _event_stream(t).select(F.col("event_type").alias("log"), "ts", F.lit("usr").alias("metric"), "value")
-    return telemetry_means(_run_series(t, samples, telemetry_parts, "means")).withColumn("mean", F.round("mean", 6))
+    return telemetry_means(_run_series(t, samples, TELEMETRY, "means")).withColumn("mean", F.round("mean", 6))
 
 
 TELEMETRY_STREAM_SQL = """SELECT event_type AS log, 'usr' AS metric, epoch_us(ts) // 300000000 * 300 AS ts, count(*) AS n, round(avg(value), 6) AS mean

@@ -19,7 +19,7 @@ from batchtally.operators.chunking import (
     override_mapping,
     pair_in_order,
 )
-from batchtally.plans.storage import fresh_path
+from batchtally.plans.storage import fresh_path, write_and_read
 
 SIX = [("d", i, f"f{i}", n) for i, n in enumerate([100, 200, 300, 100, 200, 300], 1)]
 EMPTY_MAPPING = "dataset string, out_index bigint, out_name string, in_seq bigint, in_name string, in_nevents bigint"
@@ -139,27 +139,54 @@ def test_inputs_and_pairs(spark):
     assert [(r.in_name, r.out_name) for r in got] == [("a", "o1")]
 
 
-def test_materialise_spreads_a_huge_output(spark):
-    """Equal records and counts missing in the manifest still use several tasks."""
-    mapping = spark.createDataFrame([("d", 1, "o1", 1, "big", 0), ("d", 2, "o2", 2, "small", 0)], EMPTY_MAPPING)
-    events = spark.range(1000).selectExpr("id", "'big' as file", "1 as v").unionByName(spark.range(10).selectExpr("id", "'small' as file", "1 as v"))
+@pytest.mark.parametrize("threshold", ["1m", "-1"])  # a small mapping is broadcast, a large one joined
+def test_materialise_spreads_a_huge_output(spark, threshold):
+    """Equal records and counts missing in the manifest still use several tasks; small outputs use one."""
+    mapping = write_and_read(spark.createDataFrame([("d", 1, "o1", 1, "big", 0), ("d", 2, "o2", 2, "small", 0)], EMPTY_MAPPING), "mapping")
+    events = spark.range(0, 40_000, 1, 8).selectExpr("id", "'big' as file", "repeat(uuid(), 2) as v")
+    events = write_and_read(events.unionByName(spark.range(10).selectExpr("id", "'small' as file", "'x' as v")), "events")
     path = fresh_path(spark, "merge")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny partitions would be merged again
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.files.maxPartitionBytes": "200k",
+        "spark.sql.autoBroadcastJoinThreshold": threshold,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        materialise(events, mapping, path, rows_per_task=100, row_id=["id"])
+        materialise(events, mapping, path)
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for k, v in before.items():
+            spark.conf.set(k, v)
     back = spark.read.parquet(path).withColumn("part", F.input_file_name())
-    got = back.groupBy("out_index").agg(F.count("*").alias("n"), F.countDistinct("part").alias("files")).collect()
-    got = {r.out_index: (r.n, r.files) for r in got}
-    assert got[1][0] == 1000 and got[1][1] > 1 and got[2] == (10, 1)
+    got = back.groupBy("out_index").agg(F.count("*").alias("n"), F.countDistinct("part").alias("files"), F.countDistinct("id").alias("ids")).collect()
+    got = {r.out_index: (r.n, r.files, r.ids) for r in got}
+    assert got[1][0] == got[1][2] == 40_000 and got[1][1] > 3 and got[2] == (10, 1, 10)
+
+
+def test_materialise_reads_records_once(spark):
+    mapping = spark.createDataFrame([("d", 1, "o1", 1, "a", 0)], EMPTY_MAPPING)
+    events = spark.range(10).selectExpr("id", "'a' as file")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    materialise(events.mapInPandas(count, events.schema), mapping, fresh_path(spark, "merge"))
+    assert seen.value == 10
 
 
 def test_materialise_into_shared_folders(spark):
     mapping = spark.createDataFrame([("d", i, f"o{i}", i, f"f{i}", 3) for i in range(1, 8)], EMPTY_MAPPING)
     events = spark.range(21).selectExpr("id", "concat('f', id div 3 + 1) as file")
     path = fresh_path(spark, "merge")
-    materialise(events, mapping, path, row_id=["id"], folders=2)
+    materialise(events, mapping, path, folders=2)
     back = spark.read.parquet(path)
     assert {(r.out_index, r["count"]) for r in back.groupBy("out_index").count().collect()} == {(i, 3) for i in range(1, 8)}
     assert {r.folder for r in back.select("folder").distinct().collect()} == {0, 1}

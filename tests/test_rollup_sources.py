@@ -1,10 +1,12 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from batchtally.operators import extend as U
 from batchtally.operators import rollup as M
+from batchtally.plans.published import current
 from batchtally.plans.storage import fresh_path
 from batchtally.sources import catalog as C
 from batchtally.sources import files as S
@@ -122,9 +124,10 @@ def test_catalog(spark):
 def test_upsert_round_trip(spark):
     path = fresh_path(spark, "catalog")
     row = spark.createDataFrame([("/A/b/C", "CMS3", "v1", "/old", 1)], "dataset string, sample_type string, tag string, location string, id int")
-    C.upsert_catalog(row, path, 100)
-    C.upsert_catalog(row.withColumn("location", F.lit("/new")), path, 200)
-    assert [r.location for r in C.catalog_versions(spark.read.parquet(path), "id").collect()] == ["/new"]
+    store = C.CatalogStore(path, "id")
+    store.upsert(row, 100)
+    store.upsert(row.withColumn("location", F.lit("/new")), 200)
+    assert [r.location for r in store.read(spark).collect()] == ["/new"]
 
 
 def test_payload_union(spark):
@@ -166,9 +169,9 @@ def test_summaries_and_snapshots(spark, tmp_path):
     path = str(tmp_path / "web")
     df = spark.createDataFrame([("a", {"z": 1, "b": None})], "name string, general struct<z:int,b:int>")
     S.write_summary(df, path)
-    text = spark.read.text(path).first().value
-    assert text == '{"general":{"b":null,"z":1},"name":"a"}'
-    (tmp_path / "web" / "part-x.json").write_text("{broken\n")
+    folder = current(spark, path)
+    assert spark.read.text(folder).first().value == '{"general":{"b":null,"z":1},"name":"a"}'
+    (tmp_path / "web" / os.path.basename(folder) / "part-x.json").write_text("{broken\n")
     assert S.read_summary(spark, path, "name string, general struct<b:int,z:int>").filter("name is not null").count() == 1
     assert S.read_summary(spark, str(tmp_path / "none"), "name string").count() == 0
     meta = str(tmp_path / "meta")
@@ -178,7 +181,7 @@ def test_summaries_and_snapshots(spark, tmp_path):
     saved = spark.createDataFrame([("t", 1, 2)], "task string, a int, b int")
     S.save_snapshot(saved, ["task"], ["a", "b"], snap)
     cur = spark.createDataFrame([("t", 3, 4), ("u", 5, 6)], "task string, a int, b int")
-    got = S.overlay_snapshot(cur, spark.read.parquet(snap), ["task"], ["a", "b"])
+    got = S.overlay_snapshot(cur, S.read_snapshot(spark, snap, saved.schema), ["task"], ["a", "b"])
     assert sorted(tuple(r) for r in got.collect()) == [("t", 1, 2), ("u", 5, 6)]
     doc = {"d": {"queried_nevents": 9, "open_dataset": False, "jobs": {"3": {
         "output": ["/o/x_3.root", 12], "output_exists": True, "inputs": [["i1", 5], ["i2", 7.0]], "is_on_condor": False,
@@ -203,15 +206,73 @@ def test_queue_snapshot(spark):
     assert (t.jobnum, t.cluster_id, t.status, t.entered) == (2, 9, "H", 100)
 
 
-def test_user_code(spark):
-    df = spark.range(20).selectExpr("'d' as dataset", "id % 3 as out_index", "id")
-    assert U.process(df, lambda d: d.filter("id > 10")).count() == 9
+def test_catalog_store_touches_its_buckets_only(spark):
+    store = C.CatalogStore(fresh_path(spark, "catalog"), "id", buckets=8, deltas=3)
+    schema = "dataset string, sample_type string, tag string, value bigint, id bigint"
+    rows = [(f"/d{i}", "T", f"t{i % 3}", 0, i) for i in range(40)]
+    store.upsert(spark.createDataFrame(rows, schema), 1)
+    want = {r[:3]: (0, 1) for r in rows}
+    first, _ = store._folders(spark)
+    assert len(first) > 4
+    for now in range(2, 9):  # one dataset again and again: its bucket is rewritten, the others stay
+        store.upsert(spark.createDataFrame([("/d7", "T", "t1", now, 7), ("/d7", "T", f"n{now}", now, 7)], schema), now)
+        want |= {("/d7", "T", "t1"): (now, now), ("/d7", "T", f"n{now}"): (now, now)}
+    held, _ = store._folders(spark)
+    changed = [b for b in held if held[b] != first[b]]
+    assert len(changed) == 1 and len(held[changed[0]]) <= 3
+    key = lambda r: (r.dataset, r.sample_type, r.tag)
+    assert {key(r): (r.value, r.timestamp) for r in store.read(spark).collect()} == want
+    found = store.lookup(spark, "/d7")
+    assert {key(r): (r.value, r.timestamp) for r in found.collect()} == {k: v for k, v in want.items() if k[0] == "/d7"}
+    assert all(f"_bucket={changed[0]}/" in f for f in found.inputFiles())
+    assert store.lookup(spark, "/none").count() == 0
+
+
+def test_a_failed_upsert_leaves_the_catalog(spark, monkeypatch):
+    store = C.CatalogStore(fresh_path(spark, "catalog"), "id", buckets=4, deltas=1)
+    schema = "dataset string, sample_type string, tag string, id bigint"
+    row = lambda i: spark.createDataFrame([("/a", "T", f"t{i}", i)], schema)
+    store.upsert(row(1), 1)
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(C, "write_pointer", stop)
+        with pytest.raises(RuntimeError):
+            store.upsert(row(2), 2)
+    assert [r.tag for r in store.read(spark).collect()] == ["t1"]
+    store.upsert(row(2), 2)
+    assert sorted(r.tag for r in store.read(spark).collect()) == ["t1", "t2"]
+
+
+def test_a_failed_write_leaves_the_old_version(spark):
+    """Readers see a whole version at every moment, and one more version stays for those that have begun."""
+    schema = "task string, a int"
+    for write, read in (
+        (lambda df, p: S.write_summary(df, p), lambda p: S.read_summary(spark, p, schema)),
+        (lambda df, p: S.save_snapshot(df, ["task"], ["a"], p), lambda p: S.read_snapshot(spark, p, schema)),
+    ):
+        path = fresh_path(spark, "sink")
+        version = lambda i: spark.createDataFrame([("t", i)], schema)
+        fails = spark.range(4, numPartitions=4).selectExpr("'t' as task", "if(id = 3, cast(raise_error('lost') as int), 9) as a")
+        assert read(path).count() == 0
+        with pytest.raises(Exception, match="lost"):
+            write(fails, path)
+        assert read(path).count() == 0
+        write(version(1), path)
+        begun = read(path)
+        with pytest.raises(Exception, match="lost"):
+            write(fails, path)
+        assert [r.a for r in read(path).collect()] == [1]
+        write(version(2), path)
+        assert [r.a for r in begun.collect()] == [1] and [r.a for r in read(path).collect()] == [2]
+        write(version(3), path)
+        assert [r.a for r in read(path).collect()] == [3]
 
-    def double(batches):
-        for pdf in batches:
-            yield pdf.assign(id=pdf.id * 2)
 
-    assert U.process_batches(df, double, df.schema.simpleString()[7:-1].replace(":", " ")).agg(F.sum("id")).first()[0] == 380
+def test_user_code(spark):
+    df = spark.range(20).selectExpr("'d' as dataset", "id % 3 as out_index", "id")
 
     def total(key, batches):
         import pandas as pd
@@ -220,3 +281,25 @@ def test_user_code(spark):
 
     got = {r.out_index: r.total for r in U.process_chunks(df, total, "out_index long, total long").collect()}
     assert got == {i: sum(x for x in range(20) if x % 3 == i) for i in range(3)}
+
+
+def test_user_aggregate_of_a_huge_chunk(spark):
+    """One output of many rows is worked on by several tasks and gives what one task gives."""
+    df = spark.range(0, 30_000, 1, 6).selectExpr("if(id < 20, null, 'd') as dataset", "if(id % 100 = 0, 2, 1) as out_index", "id % 997 as v")
+    tasks = spark.sparkContext.accumulator(0)
+
+    def lift(frame):
+        tasks.add(1)
+        return {"n": len(frame), "best": int(frame["v"].max()), "text": str(frame["v"].min())}
+
+    def merge(states):
+        return {"n": int(states["n"].sum()), "best": int(states["best"].max()), "text": str(states["text"].astype(int).min())}
+
+    aggregate = U.ChunkAggregate("n bigint, best bigint, text string", lift, merge)
+    row = lambda r: (r.dataset, r.out_index, r.n, r.best, r.text)
+    many = sorted(map(row, U.aggregate_chunks(df, aggregate).collect()), key=str)
+    assert tasks.value >= 12  # six tasks, two chunks each at least
+    assert many == sorted(map(row, U.aggregate_chunks(df.coalesce(1), aggregate, lanes=1).collect()), key=str)
+    want = df.groupBy("dataset", "out_index").agg(F.count("*").alias("n"), F.max("v").alias("best"), F.min("v").cast("string").alias("text"))
+    assert many == sorted(map(row, want.collect()), key=str)
+    assert U.aggregate_chunks(df.limit(0), aggregate).count() == 0
