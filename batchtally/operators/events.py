@@ -110,6 +110,36 @@ def dataset_metadata(outputs: DataFrame, datasets: DataFrame, *, is_tree: bool =
     )
 
 
+PART_OUTPUTS = 1000
+
+
+def metadata_documents(
+    outputs: DataFrame, mapping: DataFrame, datasets: DataFrame, *, per_part: int = PART_OUTPUTS, is_tree: bool = True
+) -> DataFrame:
+    """Metadata documents of datasets: the record of ``dataset_metadata`` with, per done output, its inputs and counts.
+
+    A dataset may have any number of outputs, so its document comes in parts of
+    ``per_part`` consecutive indices; a part and an output's list of inputs are bounded by
+    that and by the chunk limits. ``ijob_to_miniaod`` maps an index to the input names in
+    order, ``ijob_to_nevents`` to ``[total, effective]``; entries are sorted by index. A dataset
+    without a done output has one part with empty maps.
+    """
+    keys = ["dataset", "out_index"]
+    made = output_metadata(outputs, is_tree=is_tree)
+    rows = mapping.join(made.select(*keys), keys, "left_semi").select(*keys, F.struct("in_seq", "in_name").alias("_in"))
+    inputs = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_in")), lambda x: x["in_name"]).alias("_names"))
+    part = F.floor((F.col("out_index") - 1) / per_part).cast("bigint")
+    none = F.array().cast("array<string>")
+    entry = F.struct("out_index", F.coalesce("_names", none).alias("names"), F.array("n", "effective").alias("counts"))
+    parts = made.join(inputs, keys, "left").groupBy("dataset", part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    entries = F.coalesce("_e", F.array().cast(parts.schema["_e"].dataType))
+    by_index = lambda field: F.map_from_entries(F.transform(entries, lambda e: F.struct(e["out_index"].cast("string"), e[field])))
+    records = dataset_metadata(outputs, datasets, is_tree=is_tree).join(parts, "dataset", "left")
+    return records.withColumns(
+        {"part": F.coalesce("part", F.lit(0)), "ijob_to_miniaod": by_index("names"), "ijob_to_nevents": by_index("counts")}
+    ).drop("_e")
+
+
 def count_matching(array: Column | str, predicate: Callable[[Column], Column]) -> Column:
     """Number of array elements for which the predicate holds."""
     a = F.col(array) if isinstance(array, str) else array

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchtally.functions.values import epoch_seconds, floor_to_history, round_half_up
+from batchtally.operators.logs import error_signature
 from batchtally.operators.telemetry import failed_attempts
 from batchtally.plans.scan import MAX_GROUP_ROWS, carry_last
+from batchtally.plans.storage import write_and_read
 
 # Fixed values.
 MEASURES = ("nevents_total", "nevents_done", "njobs_total", "njobs_done")
@@ -44,19 +46,23 @@ def general_record(rollup: DataFrame) -> DataFrame:
     return rollup.withColumns({"status": F.lit("running"), "type": F.lit("CMSSW")})
 
 
-def bad_jobs(outputs: DataFrame, mapping: DataFrame, attempts: DataFrame, errors: DataFrame) -> DataFrame:
+def bad_jobs(outputs: DataFrame, mapping: DataFrame, attempts: DataFrame, logs: DataFrame, *, body: Column | str = "err") -> DataFrame:
     """Not-done outputs with at least one retry.
 
-    ``errors(cluster_id, last_error, last_log)``; the error shown is that of the
-    attempt before the last.
+    ``logs`` holds ``cluster_id, log`` and the text ``body``; the error shown is that of
+    the attempt before the last. Logs are picked by cluster before a text is looked
+    into, so signatures are made of the asked-for logs alone.
     """
     keys = ["dataset", "out_index"]
     earlier = failed_attempts(attempts, outputs).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("retries"), F.max_by("cluster_id", "attempt_no").alias("cluster_id")
     )
+    earlier = write_and_read(earlier, "earlier")  # read three times below
     inputs = mapping.join(earlier.select(*keys), keys, "left_semi").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("inputs"), F.sum("in_nevents").cast("bigint").alias("events")
     )
+    asked = logs.join(earlier.select("cluster_id"), "cluster_id", "left_semi")
+    errors = asked.select("cluster_id", error_signature(body).alias("last_error"), F.col("log").alias("last_log"))
     return (
         earlier.join(inputs, keys, "left")
         .join(errors, "cluster_id", "left")

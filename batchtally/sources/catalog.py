@@ -73,6 +73,19 @@ def catalog_lookup(catalog: DataFrame, sample_type: str, *, tie: str, **filters)
     return latest_records(catalog_matches(catalog, sample_type, **filters), ["dataset"], tie)
 
 
+# What a record has where the catalog gives nothing.
+RECORD_TEXTS = {"filter_name": "NoFilter", "analysis": "", "version": "v1.0", "assigned_to": "", "status": VALID_TEXT, "twiki_name": "", "comments": ""}
+RECORD_LISTS = ("siblings", "files")
+
+
+def with_record_defaults(records: DataFrame) -> DataFrame:
+    """Records with the defaults in place of absent columns and NULLs; an absent tag is that of ``cms3tag``."""
+    has = lambda name: F.col(name) if name in records.columns else F.lit(None).cast("string")
+    filled = {name: F.coalesce(has(name), F.lit(text)) for name, text in RECORD_TEXTS.items()}
+    filled |= {name: F.coalesce(F.col(name), F.array()) if name in records.columns else F.array().cast("array<string>") for name in RECORD_LISTS}
+    return records.withColumns(filled | {"tag": F.coalesce(has("tag"), has("cms3tag"))})
+
+
 def glob_regex(pattern: str) -> str:
     """Anchored regular expression of a glob with ``*`` and ``?``."""
     body = "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in pattern)

@@ -118,15 +118,17 @@ def overlay_snapshot(current: DataFrame, saved: DataFrame, keys: Sequence[str],
     return joined.withColumns(chosen).select(*current.columns)
 
 
-# One task summary: dataset -> dataset fields and jobs by output index.
-_JOB = (
-    "struct<output:array<string>,output_exists:boolean,inputs:array<array<string>>,"
-    "condor_jobs:array<struct<cluster_id:bigint,logfile_err:string,logfile_out:string>>,is_on_condor:boolean>"
-)
-TASK_SUMMARY = (
-    f"map<string,struct<jobs:map<string,{_JOB}>,queried_nevents:bigint,open_dataset:boolean,"
-    "output_dir:string,tag:string,global_tag:string>>"
-)
+# Fields of a task summary that have a column of their own, with their types.
+TASK_FIELDS = {
+    "queried_nevents": "bigint",
+    "open_dataset": "boolean",
+    "output_dir": "string",
+    "tag": "string",
+    "global_tag": "string",
+    "cmssw_version": "string",
+    "executable": "string",
+}
+_ATTEMPTS = "array<struct<cluster_id:bigint,logfile_err:string,logfile_out:string>>"
 
 
 def read_task_summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -134,19 +136,37 @@ def read_task_summaries(spark: SparkSession, path: str) -> DataFrame:
     return task_summary_rows(spark.read.text(path, wholetext=True))
 
 
+def _members(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """One row per member of the JSON object ``value``: its name as ``key``, its value as ``_m``."""
+    members = rows.sparkSession.tvf.variant_explode(F.col(value).outer())
+    return rows.lateralJoin(members.select(F.col("key").alias(key), F.col("value").alias("_m"))).filter(F.col(key).isNotNull())
+
+
 def task_summary_rows(docs: DataFrame) -> DataFrame:
-    """Task summary documents (``value``) to one row per (dataset, out_index)."""
-    tasks = docs.select(F.from_json("value", TASK_SUMMARY).alias("_d")).select(F.explode("_d").alias("dataset", "_t"))
-    own = ["queried_nevents", "open_dataset", "output_dir", "tag", "global_tag"]
-    jobs = tasks.select("dataset", *[f"_t.{c}" for c in own], F.explode("_t.jobs").alias("_i", "_j"))
+    """Task summary documents (``value``) to one row per (dataset, out_index).
+
+    ``current_job`` maps the fields of the queue row of the last attempt; ``extra`` holds what a
+    task's summary was supplemented with, as text (JSON for nested values). Documents that are no JSON go.
+    """
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    tasks = _members(docs.select(F.try_parse_json("value").alias("_d")), "_d", "dataset")
+    texts = F.from_json(F.to_json("_m"), "map<string,string>")
+    extra = F.map_filter(texts, lambda k, _: ~k.isin("jobs", *TASK_FIELDS))
+    own = [get(F.col("_m"), f"$.{name}", kind).alias(name) for name, kind in TASK_FIELDS.items()]
+    jobs = _members(tasks.select("dataset", *own, extra.alias("extra"), get(F.col("_m"), "$.jobs", "variant").alias("_jobs")), "_jobs", "_i")
+    job = F.col("_m")
+    pairs = get(job, "$.inputs", "array<array<string>>")
+    whole = lambda x: x.try_cast("double").cast("bigint")
     return jobs.select(
         "dataset",
-        *own,
+        *TASK_FIELDS,
         F.col("_i").cast("bigint").alias("out_index"),
-        F.try_element_at("_j.output", F.lit(1)).alias("out_name"),
-        F.try_element_at("_j.output", F.lit(2)).try_cast("double").cast("bigint").alias("nevents"),
-        F.col("_j.output_exists").alias("output_exists"),
-        F.col("_j.is_on_condor").alias("is_on_queue"),
-        F.transform("_j.inputs", lambda x: F.struct(x[0].alias("name"), x[1].try_cast("double").cast("bigint").alias("nevents"))).alias("inputs"),
-        F.col("_j.condor_jobs").alias("attempts"),
+        get(job, "$.output[0]", "string").alias("out_name"),
+        whole(get(job, "$.output[1]", "string")).alias("nevents"),
+        get(job, "$.output_exists", "boolean").alias("output_exists"),
+        get(job, "$.is_on_condor", "boolean").alias("is_on_queue"),
+        F.transform(pairs, lambda x: F.struct(x[0].alias("name"), whole(x[1]).alias("nevents"))).alias("inputs"),
+        get(job, "$.condor_jobs", _ATTEMPTS).alias("attempts"),
+        get(job, "$.current_job", "map<string,string>").alias("current_job"),
+        "extra",
     )

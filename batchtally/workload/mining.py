@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchtally.operators import logs as G
+from batchtally.operators import rollup as M
 from batchtally.operators import telemetry as T
 from batchtally.plans.storage import write_and_read
 from batchtally.workload.tables import CLOCK, Tables, with_views
+from batchtally.workload.tracking import summary_rows
 
 BLANKS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
@@ -197,17 +199,36 @@ def panel_hists(t: Tables) -> DataFrame:
     return T.panel_hists(write_and_read(parsed, "telemetry"), bins=50)
 
 
-PANELS_SQL = with_views(
-    "doc_lines",
-    f"""SELECT dataset, metric, {_bin('x', 'lx', 'hx', 50)} AS xbin, {_bin('y', 'ly', 'hy', 50)} AS ybin, count(*) AS n
-FROM points JOIN boxes USING (dataset, metric) GROUP BY 1, 2, 3, 4""",
-    more=CELLS
-    + """,
-points AS (SELECT dataset, metric, since_start / greatest(max(CAST(since_start AS DOUBLE)) OVER (PARTITION BY dataset, metric), CAST(1 AS DOUBLE)) AS x,
+_POINTS = """points AS (SELECT dataset, metric, since_start / greatest(max(CAST(since_start AS DOUBLE)) OVER (PARTITION BY dataset, metric), CAST(1 AS DOUBLE)) AS x,
   value * CASE WHEN metric IN ('used', 'buff') THEN 1e-9 WHEN metric IN ('send', 'recv') THEN 1e-6 WHEN metric IN ('read', 'writ') THEN 0.125e-6 ELSE 1e0 END AS y
-  FROM cells WHERE metric NOT IN ('date/time', 'epoch')),
+  FROM {cells} WHERE metric NOT IN ('date/time', 'epoch')),
 boxes AS (SELECT dataset, metric, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lx, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hx,
-  CASE WHEN min(y) = max(y) THEN min(y) - 0.5 ELSE min(y) END AS ly, CASE WHEN min(y) = max(y) THEN max(y) + 0.5 ELSE max(y) END AS hy FROM points GROUP BY 1, 2)""",
+  CASE WHEN min(y) = max(y) THEN min(y) - 0.5 ELSE min(y) END AS ly, CASE WHEN min(y) = max(y) THEN max(y) + 0.5 ELSE max(y) END AS hy FROM points GROUP BY 1, 2)"""
+_PANELS = f"""SELECT dataset, metric, {_bin('x', 'lx', 'hx', 50)} AS xbin, {_bin('y', 'ly', 'hy', 50)} AS ybin, count(*) AS n
+FROM points JOIN boxes USING (dataset, metric) GROUP BY 1, 2, 3, 4"""
+PANELS_SQL = with_views("doc_lines", _PANELS, more=CELLS + ",\n" + _POINTS.format(cells="cells"))
+
+
+def failed_panels(t: Tables) -> DataFrame:
+    """Panels over the logs of failed attempts only; documents are the logs of the clusters with their number."""
+    outs = M.with_done(summary_rows(t, t.stored_attempts))
+    failed = T.failed_attempts(t.stored_attempts, outs).select("dataset", "cluster_id")
+    logs = t.logs.select(F.regexp_extract("log", "([0-9]+)", 1).cast("bigint").alias("cluster_id"), "log", "body")
+    asked = logs.join(failed, "cluster_id")  # by the number in the name, before a text is looked into
+    parsed = G.telemetry(asked, keep=["dataset"]).select("dataset", "metric", "value", "since_start")
+    return T.panel_hists(write_and_read(parsed, "telemetry"), bins=50)
+
+
+FAILED_PANELS_SQL = with_views(
+    "doc_lines summary",
+    _PANELS,
+    more=CELLS
+    + """,
+failed AS (SELECT a.dataset, a.cluster_id FROM attempts a JOIN last_attempt l USING (dataset, out_index)
+  JOIN summary s USING (dataset, out_index) WHERE a.attempt_no < l.last_no AND NOT (s.output_exists AND NOT s.is_on_queue)),
+asked AS (SELECT f.dataset, metric, value, since_start FROM cells JOIN failed f ON log = 'doc_' || f.cluster_id || '.out'),
+"""
+    + _POINTS.format(cells="asked"),
 )
 
 QUERIES = {
@@ -227,4 +248,5 @@ QUERIES = {
     "hist_2d": (hist_2d, HIST2_SQL),
     "profile": (profile, PROFILE_SQL),
     "panel_hists": (panel_hists, PANELS_SQL),
+    "failed_panels": (failed_panels, FAILED_PANELS_SQL),
 }

@@ -107,12 +107,26 @@ FROM (SELECT dataset, month(o_orderdate) AS m, count(*) AS n_inputs, CAST(sum(ne
 )
 
 
-def event_ranges(t: Tables) -> DataFrame:
+def _paid(t: Tables) -> DataFrame:
     """Customers as datasets of as many events as they paid for."""
-    per = t.orders.groupBy(F.col("o_custkey").cast("string").alias("dataset")).agg(
+    return t.orders.groupBy(F.col("o_custkey").cast("string").alias("dataset")).agg(
         F.sum(F.floor("o_totalprice")).cast("bigint").alias("total_nevents"), F.lit(100_000).cast("bigint").alias("events_per_output")
     )
-    return C.event_ranges(per).drop("expected")
+
+
+def event_ranges(t: Tables) -> DataFrame:
+    return C.event_ranges(_paid(t)).drop("expected")
+
+
+def range_inputs(t: Tables) -> DataFrame:
+    """The inputs of every third output of the ranges: all files of its dataset."""
+    files = t.orders.select(F.col("o_custkey").cast("string").alias("dataset"), F.concat(F.lit("file_"), F.col("o_orderkey").cast("string")).alias("name"))
+    return C.inputs_of_ranges(C.event_ranges(_paid(t)).filter("out_index % 3 = 0"), files)
+
+
+RANGE_INPUTS_SQL = """WITH c AS (SELECT o_custkey, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) // 100000 AS n FROM orders GROUP BY 1),
+r AS (SELECT o_custkey, unnest(range(3, n + 1, 3)) AS out_index FROM c)
+SELECT CAST(o_custkey AS VARCHAR) AS dataset, out_index, 'file_' || o_orderkey AS in_name FROM r JOIN orders USING (o_custkey)"""
 
 
 RANGES_SQL = """WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS dataset, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS total FROM orders GROUP BY 1)
@@ -250,6 +264,7 @@ QUERIES = {
     "incremental_mapping": (incremental_mapping, INCREMENTAL_SQL),
     "override_mapping": (override_mapping, OVERRIDE_SQL),
     "event_ranges": (event_ranges, RANGES_SQL),
+    "range_inputs": (range_inputs, RANGE_INPUTS_SQL),
     "combine_stages": (combine_stages, COMBINE_SQL),
     "dedupe_inputs": (dedupe_inputs, DEDUPE_SQL),
     "dedupe_pairs": (dedupe_pairs, PAIRS_SQL),

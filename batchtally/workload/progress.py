@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchtally.functions.values import epoch_micros
-from batchtally.operators import logs as G
 from batchtally.operators import rollup as M
 from batchtally.workload.mining import SIGNATURE_VIEW
 from batchtally.workload.tables import NOW, Tables, with_views
@@ -16,30 +15,40 @@ LATER = 1_710_000_000
 MEASURES_SQL = ", ".join(M.MEASURES)
 
 
-def _rollup(t: Tables) -> DataFrame:
-    queried = t.manifest.groupBy("dataset").agg(F.sum("nevents").alias("queried_nevents"))
+def _rollup(t: Tables, *carried: Column) -> DataFrame:
+    queried = t.manifest.groupBy("dataset").agg(F.sum("nevents").alias("queried_nevents"), *carried)
     return M.dataset_rollup(M.with_done(summary_rows(t)), queried)
 
 
 def dataset_rollup(t: Tables) -> DataFrame:
-    return M.general_record(_rollup(t))
+    """General records, with the fields of the task summary."""
+    own = [
+        F.lit(False).alias("open_dataset"),
+        F.concat(F.lit("/out/"), F.first("dataset")).alias("output_dir"),
+        F.concat(F.lit("v"), F.max(F.month("o_orderdate")).cast("string")).alias("tag"),
+        F.lit("g1").alias("global_tag"),
+        F.lit("R_9").alias("cmssw_version"),
+        F.lit("run.sh").alias("executable"),
+    ]
+    return M.general_record(_rollup(t, *own))
 
 
 ROLLUP_SQL = with_views(
-    "rollup", f"SELECT dataset, {MEASURES_SQL}, greatest(nevents_total - nevents_done, 0) AS missing_events, 'running' AS status, 'CMSSW' AS type FROM rollup"
+    "rollup",
+    f"""SELECT dataset, {MEASURES_SQL}, greatest(nevents_total - nevents_done, 0) AS missing_events, 'running' AS status, 'CMSSW' AS type,
+  false AS open_dataset, '/out/' || dataset AS output_dir, 'v' || m AS tag, 'g1' AS global_tag, 'R_9' AS cmssw_version, 'run.sh' AS executable
+FROM rollup JOIN (SELECT o_orderpriority AS dataset, max(month(o_orderdate)) AS m FROM orders GROUP BY 1) USING (dataset)""",
 )
 
 
 def bad_jobs(t: Tables) -> DataFrame:
     """Retries of undone outputs; documents are the error logs of the clusters with their number."""
-    errors = t.logs.select(
-        F.regexp_extract("log", "([0-9]+)", 1).cast("bigint").alias("cluster_id"), G.error_signature("err").alias("last_error"), F.col("log").alias("last_log")
-    )
+    logs = t.logs.select(F.regexp_extract("log", "([0-9]+)", 1).cast("bigint").alias("cluster_id"), "log", "err")
     rows = M.with_done(summary_rows(t, t.stored_attempts))
     mapping = t.lineitem.join(t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderpriority").alias("dataset"), F.col("l_orderkey").alias("out_index"), F.col("l_quantity").cast("bigint").alias("in_nevents")
     )
-    return M.bad_jobs(rows, mapping, t.stored_attempts, errors)
+    return M.bad_jobs(rows, mapping, t.stored_attempts, logs)
 
 
 BAD_SQL = with_views(

@@ -70,6 +70,34 @@ UNION_SQL = """SELECT c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, c_
 UNION ALL SELECT s_name, CAST(s_nationkey AS VARCHAR), '', CAST(s_suppkey AS VARCHAR) FROM supplier"""
 
 
+def payload_sorted(t: Tables) -> DataFrame:
+    """Customers as the ``files`` of one payload per nation, unwrapped and ordered by the widest column."""
+    file = F.struct("c_name", "c_acctbal", F.col("c_mktsegment").alias("a_segment_of_the_market"))
+    payload = t.customer.groupBy("c_nationkey").agg(F.collect_list(file).alias("files"))
+    return C.sort_by_widest(C.payload_union(C.payload_files(payload)))
+
+
+def catalog_records(t: Tables) -> DataFrame:
+    """Looked-up records with their defaults; versions and comments are absent from the catalog, some tags and analyses are NULL."""
+    found = C.catalog_lookup(t.catalog, "CMS3", tie="id")
+    bare = found.select(
+        "dataset", "id", "status", F.col("tag").alias("cms3tag"), F.when(F.col("id") % 2 == 0, F.col("tag")).alias("tag"),
+        F.when(F.col("id") % 3 == 0, F.col("analysis")).alias("analysis"), F.when(F.col("id") % 5 == 0, F.array("gtag")).alias("siblings"),
+    )
+    full = C.with_record_defaults(bare)
+    return full.select(
+        "dataset", "id", "status", "tag", "analysis", "version", "filter_name", "comments", F.size("files").alias("n_files"), F.array_join("siblings", ",").alias("siblings")
+    )
+
+
+RECORDS_SQL = with_views(
+    "catalog",
+    """SELECT dataset, id, status, tag, CASE WHEN id % 3 = 0 THEN analysis ELSE '' END AS analysis, 'v1.0' AS version, 'NoFilter' AS filter_name, '' AS comments,
+  CAST(0 AS INTEGER) AS n_files, CASE WHEN id % 5 = 0 THEN gtag ELSE '' END AS siblings
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY coalesce(timestamp, -1) DESC, id) AS r FROM catalog WHERE status = 'valid' AND sample_type = 'CMS3') WHERE r = 1""",
+)
+
+
 def config_fill(t: Tables) -> DataFrame:
     """Datasets with an own tag, with the catalog's, or with none."""
     wanted = t.part.groupBy(F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type", F.lit("/T")).alias("dataset")).agg(
@@ -178,24 +206,33 @@ def summary_documents(t: Tables) -> DataFrame:
     """Every output as a task summary document of its own, parsed back to rows."""
     rows = summary_rows(t)
     text = lambda c: F.col(c).cast("string")
+    queued = F.create_map(F.lit("JobStatus"), F.col("job_status"), F.lit("EnteredCurrentStatus"), text("job_entered"))
     job = F.struct(
         F.array(F.lit("/out/x.root"), text("nevents")).alias("output"),
+        F.when(F.col("is_on_queue"), queued).otherwise(F.create_map().cast("map<string,string>")).alias("current_job"),
         "output_exists",
         F.array(F.array(F.lit("in.root"), text("neg"))).alias("inputs"),
         F.array(F.struct(F.col("last_cluster").alias("cluster_id"), F.lit("e").alias("logfile_err"), F.lit("o").alias("logfile_out"))).alias("condor_jobs"),
         F.col("is_on_queue").alias("is_on_condor"),
     )
     task = F.struct(F.create_map(text("out_index"), job).alias("jobs"), F.lit(7).alias("queried_nevents"), F.lit(False).alias("open_dataset"),
-                    F.concat(F.lit("/out/"), "dataset").alias("output_dir"), F.lit("v9").alias("tag"), F.lit("g3").alias("global_tag"))
+                    F.concat(F.lit("/out/"), "dataset").alias("output_dir"), F.lit("v9").alias("tag"), F.lit("g3").alias("global_tag"),
+                    F.lit("R_9").alias("cmssw_version"), F.lit("run.sh").alias("executable"), F.concat(F.lit("p"), text("out_index"), F.lit(".py")).alias("pset"),
+                    F.struct(F.array(F.lit("x"), "dataset").alias("by")).alias("note"))
     parsed = S.task_summary_rows(rows.select(F.to_json(F.create_map("dataset", task)).alias("value")))
     return parsed.select(
         "dataset", "out_index", "nevents", "output_exists", "is_on_queue", "queried_nevents", "output_dir", "tag", "global_tag",
-        F.col("inputs")[0]["nevents"].alias("neg"), F.col("attempts")[0]["cluster_id"].alias("last_cluster"),
+        F.col("inputs")[0]["nevents"].alias("neg"), F.col("attempts")[0]["cluster_id"].alias("last_cluster"), "cmssw_version", "executable",
+        F.col("current_job")["JobStatus"].alias("job_status"), F.col("current_job")["EnteredCurrentStatus"].cast("bigint").alias("job_entered"),
+        F.size("current_job").alias("n_job_fields"), F.col("extra")["pset"].alias("pset"), F.col("extra")["note"].alias("note"), F.size("extra").alias("n_extra"),
     )
 
 
 DOCUMENTS_SQL = with_views(
-    "summary", "SELECT dataset, out_index, nevents, output_exists, is_on_queue, CAST(7 AS BIGINT) AS queried_nevents, '/out/' || dataset AS output_dir, 'v9' AS tag, 'g3' AS global_tag, neg, last_cluster FROM summary"
+    "summary", "SELECT dataset, out_index, nevents, output_exists, is_on_queue, CAST(7 AS BIGINT) AS queried_nevents, '/out/' || dataset AS output_dir, 'v9' AS tag, 'g3' AS global_tag, neg, last_cluster, "
+    "'R_9' AS cmssw_version, 'run.sh' AS executable, CASE WHEN is_on_queue THEN job_status END AS job_status, CASE WHEN is_on_queue THEN job_entered END AS job_entered, "
+    "CAST(CASE WHEN is_on_queue THEN 2 ELSE 0 END AS INTEGER) AS n_job_fields, 'p' || out_index || '.py' AS pset, "
+    """'{"by":["x","' || dataset || '"]}' AS note, CAST(2 AS INTEGER) AS n_extra FROM summary""",
 )
 
 
@@ -355,6 +392,10 @@ QUERIES = {
     "catalog_sorted": (catalog_sorted, with_views("catalog", "SELECT id, dataset, timestamp FROM catalog")),
     "catalog_search": (catalog_search, SEARCH_SQL),
     "payload_union": (payload_union, UNION_SQL),
+    "payload_sorted": (
+        payload_sorted, "SELECT c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment AS a_segment_of_the_market FROM customer"
+    ),
+    "catalog_records": (catalog_records, RECORDS_SQL),
     "config_fill": (config_fill, CONFIG_SQL),
     "catalog_upsert": (catalog_upsert, UPSERT_SQL),
     "located_files": (located_files, LOCATED_SQL),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchtally.operators import chunking as C
 from batchtally.operators import events as E
 from batchtally.operators import ledger as L
 from batchtally.operators import telemetry as T
+from batchtally.plans.storage import write_and_read
 from batchtally.sources.queue import queue_snapshot as snapshot
 from batchtally.sources.queue import typed_queue
 from batchtally.workload.tables import NOW, QUEUE_EXTRA, SETTLED, Tables, ntz, with_views
@@ -248,6 +250,44 @@ FROM manifest m JOIN ledger l ON l.dataset = m.dataset AND l.out_index = m.seq G
 )
 
 
+META_FILES, META_PART = 50, 20  # files of an output, outputs of a part
+
+
+def metadata_documents(t: Tables) -> DataFrame:
+    """Outputs of fifty files each are done when all their files are listed."""
+    files = t.manifest.select("dataset", "seq", "name", "nevents", "nevents_negative", (F.col("listed") | (F.col("seq") % 7 > 0)).alias("listed"))
+    none = t.spark.createDataFrame([], "dataset string, last_index bigint")
+    plan = C.plan_files(files.select("dataset", "seq", "name", "nevents"), none, t.datasets, C.ChunkRule(files=META_FILES), census=t.census)
+    mapping = write_and_read(plan.select("dataset", "out_index", F.col("seq").alias("in_seq"), F.col("name").alias("in_name")), "mapping")
+    facts = files.select("dataset", F.col("name").alias("in_name"), "nevents", "nevents_negative", "listed")
+    outputs = mapping.join(facts, ["dataset", "in_name"]).groupBy("dataset", "out_index").agg(
+        F.sum("nevents").alias("nevents"), F.sum("nevents_negative").alias("neg"), F.bool_and("listed").alias("done")
+    )
+    live = files.groupBy("dataset").agg(F.sum("nevents").alias("live_nevents")).select(
+        "dataset", "live_nevents", (F.col("dataset") < "3").alias("open"), F.lit("v1").alias("tag"), F.lit("g1").alias("gtag"),
+        F.concat(F.lit("/out/"), "dataset").alias("finaldir"), F.lit("p.py").alias("pset"), F.lit(1.5).alias("xsec"), F.lit(1.0).alias("kfact"), F.lit(0.5).alias("efact"),
+    )
+    docs = E.metadata_documents(write_and_read(outputs, "outputs"), mapping, live, per_part=META_PART)
+    return docs.withColumn("document", F.to_json(F.struct("ijob_to_miniaod", "ijob_to_nevents"))).drop("ijob_to_miniaod", "ijob_to_nevents")
+
+
+METADATA_DOCUMENTS_SQL = with_views(
+    "manifest",
+    f"""SELECT d.dataset, live_nevents, d.dataset < '3' AS open, 'v1' AS tag, 'g1' AS gtag, '/out/' || d.dataset AS finaldir, 'p.py' AS pset, 1.5e0 AS xsec, 1e0 AS kfact, 0.5e0 AS efact,
+  coalesce(n_outputs, 0) AS n_outputs, coalesce(merged, 0) AS nevents_merged, coalesce(eff, 0) AS nevents_effective,
+  CASE WHEN d.dataset < '3' THEN live_nevents ELSE coalesce(merged, 0) END AS nevents_das, coalesce(part, 0) AS part,
+  '{{"ijob_to_miniaod":{{' || coalesce(names, '') || '}},"ijob_to_nevents":{{' || coalesce(counts, '') || '}}}}' AS document
+FROM (SELECT dataset, CAST(sum(nevents) AS BIGINT) AS live_nevents FROM manifest GROUP BY 1) d
+LEFT JOIN (SELECT dataset, count(*) AS n_outputs, CAST(sum(n) AS BIGINT) AS merged, CAST(sum(e) AS BIGINT) AS eff FROM outs GROUP BY 1) s ON s.dataset = d.dataset
+LEFT JOIN (SELECT dataset, (out_index - 1) // {META_PART} AS part, string_agg('"' || out_index || '":["' || names || '"]', ',' ORDER BY out_index) AS names,
+  string_agg('"' || out_index || '":[' || n || ',' || e || ']', ',' ORDER BY out_index) AS counts FROM outs GROUP BY 1, 2) p ON p.dataset = d.dataset""",
+    more=f"""placed AS (SELECT dataset, seq, name, nevents, nevents_negative, listed OR seq % 7 > 0 AS listed,
+  (row_number() OVER (PARTITION BY dataset ORDER BY seq, name) - 1) // {META_FILES} + 1 AS out_index FROM manifest),
+outs AS (SELECT dataset, out_index, CAST(sum(nevents) AS BIGINT) AS n, CAST(sum(nevents - 2 * nevents_negative) AS BIGINT) AS e,
+  string_agg(name, '","' ORDER BY seq) AS names FROM placed GROUP BY 1, 2 HAVING bool_and(listed))""",
+)
+
+
 def output_metadata(t: Tables) -> DataFrame:
     return E.output_metadata(_ledger(t), is_tree=False)
 
@@ -357,6 +397,7 @@ QUERIES = {
     "negative_events": (negative_events, NEGATIVE_SQL),
     "effective_counts": (effective_counts, EFFECTIVE_SQL),
     "output_metadata": (output_metadata, OUTPUT_META_SQL),
+    "metadata_documents": (metadata_documents, METADATA_DOCUMENTS_SQL),
     "skim": (skim, SKIM_SQL),
     "skim_rows": (skim_rows, SKIM_ROWS_SQL),
     "event_slice": (event_slice, SLICE_SQL),

@@ -152,3 +152,20 @@ def test_validation(spark):
     assert {r.out_index: r["exists"] for r in re.collect()} == {1: False, 2: True}
     files = spark.createDataFrame([("a",), ("b",)], "name string")
     assert [r.name for r in E.missing_files(files, files.filter("name = 'a'")).collect()] == ["b"]
+
+
+def test_metadata_documents_come_in_parts(spark):
+    outputs = [("a", i, 10 * i, i, i != 3) for i in range(1, 8)] + [("b", 1, 5, 0, False)]
+    mapping = [("a", i, 2 - j, f"f{i}_{j}") for i in range(1, 8) for j in range(2)] + [("b", 1, 1, "g")]
+    datasets = spark.createDataFrame([("a", False, 1, "t"), ("b", True, 99, "t"), ("c", False, 1, None)], "dataset string, open boolean, live_nevents bigint, tag string")
+    docs = E.metadata_documents(
+        spark.createDataFrame(outputs, "dataset string, out_index bigint, nevents bigint, neg bigint, done boolean"),
+        spark.createDataFrame(mapping, "dataset string, out_index bigint, in_seq bigint, in_name string"),
+        datasets, per_part=3,
+    )
+    got = {(r.dataset, r.part): r for r in docs.collect()}
+    assert sorted(got) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("c", 0)]
+    assert list(got["a", 0].ijob_to_miniaod.items()) == [("1", ["f1_1", "f1_0"]), ("2", ["f2_1", "f2_0"])]
+    assert got["a", 1].ijob_to_nevents == {str(i): [10 * i, 8 * i] for i in (4, 5, 6)} and list(got["a", 2].ijob_to_nevents) == ["7"]
+    assert all(got["a", p].nevents_merged == 250 and got["a", p].n_outputs == 6 and got["a", p].tag == "t" for p in range(3))
+    assert (got["b", 0].nevents_das, got["b", 0].ijob_to_miniaod, got["c", 0].nevents_das) == (99, {}, 0)

@@ -40,9 +40,13 @@ def test_bad_jobs(spark):
         [("a", 1, 1, 10), ("a", 1, 2, 11), ("a", 2, 1, 20), ("a", 2, 3, 22), ("a", 2, 4, 23), ("a", 3, 1, 30)],
         "dataset string, out_index int, attempt_no int, cluster_id bigint",
     )
-    err = spark.createDataFrame([(20, "first", "l20"), (22, "second", "l22"), (23, "third", "l23")], "cluster_id bigint, last_error string, last_log string")
-    got = M.bad_jobs(outs, mapping, att, err).collect()
-    assert [tuple(r) for r in got] == [("a", 2, 2, 2, 11, "second", "l22")]
+    text = lambda kind: f"x\n----- Begin Fatal Exception now -----\nAn exception of category '{kind}' occurred while\nreading\n----- End Fatal Exception -----\n"
+    logs = spark.createDataFrame([(20, "l20", text("A")), (22, "l22", text("B")), (23, "l23", text("C")), (99, "l99", text("D"))], "cluster_id bigint, log string, err string")
+    got = M.bad_jobs(outs, mapping, att, logs).collect()
+    assert [tuple(r)[:5] for r in got] == [("a", 2, 2, 2, 11)] and got[0].last_log == "l22" and got[0].last_error.startswith("[B]")
+    # the text of a log that no failed attempt asks for is never looked into
+    strict = F.when(F.col("cluster_id") == 22, F.col("err")).otherwise(F.raise_error(F.lit("read")).cast("string"))
+    assert M.bad_jobs(outs, mapping, att, logs, body=strict).collect() == got
 
 
 def test_histories(spark):
@@ -185,9 +189,15 @@ def test_summaries_and_snapshots(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("t", 1, 2), ("u", 5, 6)]
     doc = {"d": {"queried_nevents": 9, "open_dataset": False, "jobs": {"3": {
         "output": ["/o/x_3.root", 12], "output_exists": True, "inputs": [["i1", 5], ["i2", 7.0]], "is_on_condor": False,
-        "condor_jobs": [{"cluster_id": 8, "logfile_err": "e", "logfile_out": "o"}]}}}}
+        "condor_jobs": [{"cluster_id": 8, "logfile_err": "e", "logfile_out": "o"}], "current_job": {"JobStatus": "R", "HoldReason": None}}, "4": {}},
+        "cmssw_version": "R9", "executable": "x.sh", "pset": "p.py", "note": {"b": [1, "x"]}}, "empty": {"jobs": {}}, "odd": 3}
     (tmp_path / "summary.json").write_text(json.dumps(doc, indent=2))
-    r = S.read_task_summaries(spark, str(tmp_path / "summary.json")).first()
+    rows = {x.out_index: x for x in S.read_task_summaries(spark, str(tmp_path / "summary.json")).collect()}
+    assert sorted(rows) == [3, 4] and rows[4].output_exists is None and rows[4].inputs is None
+    r = rows[3]
+    assert (r.cmssw_version, r.executable, r.global_tag, r.out_name) == ("R9", "x.sh", None, "/o/x_3.root")
+    assert r.current_job == {"JobStatus": "R", "HoldReason": None} and r.extra == {"pset": "p.py", "note": '{"b":[1,"x"]}'}
+    assert S.task_summary_rows(spark.createDataFrame([("{broken",), (None,), ("[]",), ("{}",)], "value string")).count() == 0
     assert (r.dataset, r.out_index, r.nevents, r.output_exists, r.queried_nevents) == ("d", 3, 12, True, 9)
     assert [(x.name, x.nevents) for x in r.inputs] == [("i1", 5), ("i2", 7)] and r.attempts[0].cluster_id == 8
 
@@ -303,3 +313,10 @@ def test_user_aggregate_of_a_huge_chunk(spark):
     want = df.groupBy("dataset", "out_index").agg(F.count("*").alias("n"), F.max("v").alias("best"), F.min("v").cast("string").alias("text"))
     assert many == sorted(map(row, want.collect()), key=str)
     assert U.aggregate_chunks(df.limit(0), aggregate).count() == 0
+
+
+def test_record_defaults(spark):
+    rows = spark.createDataFrame([(1, None, "old", None, "invalid"), (2, "new", "old", ["s"], None)], "id int, tag string, cms3tag string, siblings array<string>, status string")
+    one, two = C.with_record_defaults(rows).orderBy("id").collect()
+    assert (one.tag, one.siblings, one.status, one.version, one.filter_name, one.files, one.comments) == ("old", [], "invalid", "v1.0", "NoFilter", [], "")
+    assert (two.tag, two.siblings, two.status, two.analysis, two.twiki_name, two.assigned_to) == ("new", ["s"], "valid", "", "", "")
