@@ -10,6 +10,7 @@ from batchtally.operators import chunking as C
 from batchtally.operators import events as E
 from batchtally.operators.extend import ChunkAggregate, aggregate_chunks
 from batchtally.plans.storage import fresh_path, write_and_read
+from batchtally.sources.mapping import MappingTable
 from batchtally.workload.tables import SETTLED, Tables, ntz, with_views
 
 SPLIT_ROWS = 2000  # block size that cuts the datasets of the test tables
@@ -76,9 +77,11 @@ def _no_mapping(t: Tables) -> DataFrame:
 def incremental_mapping(t: Tables) -> DataFrame:
     """Old files are mapped; an open dataset then gets the later ones."""
     rule = C.ChunkRule(files=50)
-    old = C.extend_mapping(t.manifest.filter(F.col("o_orderdate") < ntz(SETTLED)), _no_mapping(t), t.datasets, rule)
-    opened = t.datasets.withColumn("open", F.lit(True))
-    return C.output_totals(C.extend_mapping(t.manifest, write_and_read(old, "mapping"), opened, rule))
+    table = MappingTable.create(fresh_path(t.spark, "mapping"), buckets=16)
+    manifest = write_and_read(t.manifest.select("dataset", "seq", "name", "nevents", "o_orderdate"), "manifest")
+    datasets = write_and_read(t.datasets, "datasets")
+    table.extend(manifest.filter(F.col("o_orderdate") < ntz(SETTLED)), datasets, rule)
+    return C.output_totals(table.plan(manifest, datasets.withColumn("open", F.lit(True)), rule))
 
 
 INCREMENTAL_SQL = with_views(

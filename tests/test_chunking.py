@@ -20,6 +20,7 @@ from batchtally.operators.chunking import (
     pair_in_order,
 )
 from batchtally.plans.storage import fresh_path, write_and_read
+from batchtally.sources.mapping import MappingTable
 
 SIX = [("d", i, f"f{i}", n) for i, n in enumerate([100, 200, 300, 100, 200, 300], 1)]
 EMPTY_MAPPING = "dataset string, out_index bigint, out_name string, in_seq bigint, in_name string, in_nevents bigint"
@@ -197,3 +198,38 @@ def test_file_of_an_unknown_dataset_is_an_error(spark):
     datasets = spark.createDataFrame([("a", False, "/out")], "dataset string, open boolean, output_dir string")
     with pytest.raises(Exception, match="no row in datasets for b"):
         extend_mapping(manifest, spark.createDataFrame([], EMPTY_MAPPING), datasets, ChunkRule(files=2)).collect()
+
+
+def test_mapping_table_moves_no_history(spark):
+    """Extensions equal those of a plain mapping; the lookup has no exchange on the history's side, and none at all over a manifest in buckets."""
+    table, rule = MappingTable.create(fresh_path(spark, "mapping"), buckets=4), ChunkRule(files=3)
+    ds = lambda *open_: spark.createDataFrame([(d, o, "/out") for d, o in zip("ab", open_)], "dataset string, open boolean, output_dir string")
+    rows = [("a", i, f"f{i:02}", i) for i in range(11)] + [("b", i, f"f{i:02}", i) for i in range(5)]
+    plain = spark.createDataFrame([], EMPTY_MAPPING)
+    for upto, states in ((8, (True, False)), (9, (True, False)), (11, (True, True)), (11, (False, True))):
+        manifest = files(spark, [r for r in rows if r[1] < upto])
+        want = extend_mapping(manifest, plain, ds(*states), rule)
+        got = table.extend(manifest, ds(*states), rule)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        plain = spark.createDataFrame(plain.unionByName(want).collect(), plain.schema)
+    assert sorted(map(tuple, table.read(spark).collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 14
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        closed = ds(True, True).limit(0)
+        table.bucketed(files(spark, rows), "dataset", "name").option("path", fresh_path(spark, "files")).saveAsTable("files_in_buckets")
+        for manifest, most in ((write_and_read(files(spark, rows), "files"), 1), (spark.table("files_in_buckets"), 0)):
+            fresh = manifest.select("dataset", "seq", "name", "nevents").join(
+                table.read(spark).select("dataset", F.col("in_name").alias("name")), ["dataset", "name"], "left_anti"
+            )
+            plan = fresh._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == most and "Bucketed: true" in plan or "SelectedBucketsCount" in plan
+            assert plan.rfind("Exchange") < plan.rfind("FileScan")  # the history comes last, right below its scan
+        assert sorted(r.name for r in table.unmapped(files(spark, rows), closed).collect()) == ["f09", "f10"]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS files_in_buckets")
+        for k, v in before.items():
+            spark.conf.set(k, v)
