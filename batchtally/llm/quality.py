@@ -177,8 +177,8 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 rates AS (SELECT host, rule, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM (
     SELECT host, unnest([1, 2, 3, 4]) AS rule, unnest([base_failed, f2, f3, f4]) AS failed FROM f) GROUP BY host, rule),
 prior AS (SELECT rule, avg(k / n) AS mu, var_pop(k / n) AS v FROM rates GROUP BY rule),
-bad AS (SELECT DISTINCT host FROM (SELECT host, k, n, mu, CASE WHEN v > 0 THEN mu * (1 - mu) / v - 1 END AS s
-    FROM rates JOIN prior USING (rule)) WHERE CASE WHEN s > 0 THEN (k + mu * s) / (n + s) ELSE mu END > 0.5)
+bad AS (SELECT DISTINCT host FROM (SELECT host, k, n, mu, CASE WHEN v > 0 THEN greatest(mu * (1 - mu) / v - 1, 0) END AS s
+    FROM rates JOIN prior USING (rule)) WHERE CASE WHEN s IS NOT NULL THEN (k + mu * s) / (n + s) ELSE mu END > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.host IS NOT DISTINCT FROM f.host) AS kept
 FROM f

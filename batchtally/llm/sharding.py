@@ -2,10 +2,12 @@ r"""Resharding as a minimum-cost flow.
 
 Rows lie in old shards and shall lie in new ones whose row counts are at most one
 apart. Old shards supply their rows, new shards take them; staying costs nothing,
-moving costs bytes. The flow of least cost says how many rows of each old shard
-go where, and inside an old shard the smallest rows move, so no other plan that
-meets the capacities moves fewer bytes. Transfers are blocks: ranges of positions
-in the old shard, ordered by size.
+moving costs bytes. Inside an old shard the smallest rows move first, so each
+further row costs at least what the one before did. What matters of these prices is
+the row that moves or stays with the choice which shards hold one row more: its
+bytes are looked up, and the flow of least cost then says how many rows of each
+old shard go where. No other plan that meets the capacities moves fewer bytes.
+Transfers are blocks: ranges of positions in the old shard, ordered by size.
 
 Positions come from one range sort by (old shard, size, doc_id), whose partitions
 may split a shard; it is stored, then counted per (partition, shard). Only those
@@ -15,7 +17,8 @@ Defined results
 * null text has no bytes (size 8) and the checksum of the empty text;
 * rows of null source lie in one old shard like those of any other source;
 * ties in size go by doc_id, null first; repeated rows get slots of their own;
-* an empty table gives an empty result; other columns are ignored, or kept by ``rewrite``.
+* an empty table gives an empty result; other columns are ignored, or kept by ``rewrite``, which ties rows to their places by a
+  row id of its own, so null and repeated ids are written like any other.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchtally.llm.common import documents, required, text_of
+from batchtally.llm.common import documents, packed, required, text_of
 from batchtally.plans.storage import write_and_read
 
 SHARDS = 24
@@ -32,15 +35,19 @@ RECORD_BYTES = 8  # besides the text
 _LOW = (1 << 33) - 1  # monotonically_increasing_id: partition above, row below 33 bits
 
 
-def cheapest_flow(supply: list[int], shards: int, row_cost: list[float]) -> dict[tuple[int, int], int]:
+Prices = list[list[tuple[int, float]]]  # for each old shard steps of (rows, bytes a row), dearer from step to step
+
+
+def cheapest_flow(supply: list[int], shards: int, prices: Prices) -> dict[tuple[int, int], int]:
     """Rows from each old to each new shard: all rows placed, counts at most one apart, least cost.
 
-    Successive cheapest paths on old -> new -> sink. Each new shard must take
+    Successive cheapest paths on old -> (stay, or pay and leave) -> new -> sink. Each new shard must take
     total // shards rows; the remaining rows go through a node that gives a shard
     one more at most.
     """
     old, total = len(supply), sum(supply)
-    source, extra, sink = old + shards, old + shards + 1, old + shards + 2
+    left, first = old, 2 * old  # nodes of rows that leave, nodes of new shards
+    source, extra, sink = first + shards, first + shards + 1, first + shards + 2
     heads: list[list[int]] = [[] for _ in range(sink + 1)]
     to, room, cost = [], [], []
 
@@ -53,11 +60,16 @@ def cheapest_flow(supply: list[int], shards: int, row_cost: list[float]) -> dict
 
     for o in range(old):
         arc(source, o, supply[o], 0.0)
+        if o < shards:
+            arc(o, first + o, supply[o], 0.0)
+        for rows, price in prices[o]:
+            arc(o, left + o, rows, price)
         for n in range(shards):
-            arc(o, old + n, supply[o], 0.0 if o == n else row_cost[o])
+            if n != o:
+                arc(left + o, first + n, supply[o], 0.0)
     for n in range(shards):
-        arc(old + n, sink, total // shards, 0.0)
-        arc(old + n, extra, 1, 0.0)
+        arc(first + n, sink, total // shards, 0.0)
+        arc(first + n, extra, 1, 0.0)
     arc(extra, sink, total % shards, 0.0)
 
     while True:
@@ -83,10 +95,26 @@ def cheapest_flow(supply: list[int], shards: int, row_cost: list[float]) -> dict
             room[e] -= step
             room[e ^ 1] += step
     return {
-        (o, to[e] - old): room[e ^ 1] for o in range(old) for e in heads[o] if old <= to[e] < old + shards and e % 2 == 0 and room[e ^ 1]
+        (u % old, to[e] - first): room[e ^ 1]
+        for u in range(2 * old)
+        for e in heads[u]
+        if e % 2 == 0 and first <= to[e] < source and room[e ^ 1]
     }
 
 
+def move_prices(supply: list[int], size: list[int], shards: int, border: dict[int, int]) -> Prices:
+    """Price steps of the old shards. ``border`` holds, for shards of more than their least number of rows, the bytes of the row at the border."""
+    base, out = sum(supply) // shards, []
+    for o, (n, total) in enumerate(zip(supply, size, strict=True)):
+        if o in border:
+            # the rows before the border row leave in every plan, those behind it in none
+            sure, last = n - base - 1, float(border[o])
+            out.append([(sure, 0.0), (1, last), (base, max(last, total / n) + 1)])
+        else:
+            out.append([(n, total / n if n else 1.0)])
+    return out
+
+
 def transfers(flow: dict[tuple[int, int], int], supply: list[int], shards: int) -> list[tuple[int, int, int, int, int]]:
     """Blocks (old, first, end, new, slot of the first row) over positions in the old shard; movers come first."""
     taken = {n: flow.get((n, n), 0) for n in range(shards)}
@@ -102,15 +130,17 @@ def transfers(flow: dict[tuple[int, int], int], supply: list[int], shards: int)
     return blocks
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int = OLD_SHARDS, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot (gapless from 0 in its shard) for every row."""
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int = OLD_SHARDS, shards: int = SHARDS, row_id: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard and slot (gapless from 0 in its shard) for every row, and its ``row_id`` where one is named."""
     required(docs, ["doc_id", "text"])
     spark = docs.sparkSession
+    more = [] if row_id is None else [row_id]
     rows = docs.select(
         "doc_id",
         (F.octet_length(text_of()) + RECORD_BYTES).cast("bigint").alias("size"),
         F.crc32(text_of()).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
+        *more,
     )
     order = ["old_shard", "size", "doc_id"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
@@ -121,30 +151,40 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int = OLD_SHARDS, sh
         starts.append((r["part"], r["old_shard"], supply[r["old_shard"]] - r["first"]))
         supply[r["old_shard"]] += r["n"]
         size[r["old_shard"]] += r["bytes"]
-    flow = cheapest_flow(supply, shards, [b / n if n else 1.0 for b, n in zip(size, supply, strict=True)])
-    blocks = transfers(flow, supply, shards)
     # at most a row per partition and shard, and a row per pair of shards
     shift = F.broadcast(spark.createDataFrame(starts, "part bigint, old_shard int, shift bigint"))
-    block = F.broadcast(spark.createDataFrame(blocks, "o int, first bigint, end bigint, shard int, slot0 bigint"))
     at = rows.join(shift, ["part", "old_shard"]).withColumn("pos", F.col("_at") + F.col("shift"))
+    base = sum(supply) // shards
+    asked = [(o, n - base - 1) for o, n in enumerate(supply) if o < shards and n > base]
+    border = at.join(F.broadcast(spark.createDataFrame(asked, "old_shard int, pos bigint")), ["old_shard", "pos"]).select("old_shard", "size")
+    prices = move_prices(supply, size, shards, {r["old_shard"]: r["size"] for r in border.collect()})
+    blocks = transfers(cheapest_flow(supply, shards, prices), supply, shards)
+    block = F.broadcast(spark.createDataFrame(blocks, "o int, first bigint, end bigint, shard int, slot0 bigint"))
     placed = at.join(block, (F.col("old_shard") == F.col("o")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("end")))
     slot = (F.col("slot0") + F.col("pos") - F.col("first")).alias("slot")
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", slot)
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", slot, *more)
+
 
+FOLDER, ROW_ID = "new_shard", "__row_id"
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, lanes: int = 8) -> DataFrame:
-    """Write the shards that lose or take rows below ``path`` (one folder each); return the shards written.
 
-    Other folders stay as they are. ``doc_id`` must be unique here, since it ties
-    a row to its place; several tasks write a shard.
+def rewrite(docs: DataFrame, old_shard: Column, path: str, old_shards: int = OLD_SHARDS, shards: int = SHARDS, lanes: int = 8) -> DataFrame:
+    """Reshard and write the shards that lose or take rows below ``path``, one folder ``new_shard=`` each; return the shards written.
+
+    Every row of these shards is written once with all its columns; other folders stay as they are. The table must not have a
+    column ``new_shard``. Several tasks write a shard.
     """
-    moved = placed.filter("shard <> old_shard")
-    affected = moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
-    here = placed.join(F.broadcast(affected), F.col("shard") == F.col("s"), "left_semi").select("doc_id", "shard", "slot")
-    clash = [c for c in docs.columns if c in ("shard", "slot")]
-    full = docs.drop(*clash).join(here, "doc_id")
-    spread = full.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
-    spread.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    required(docs, ["doc_id", "text"])
+    if FOLDER in docs.columns:
+        raise ValueError(f"the column {FOLDER} names the folders")
+    # stored with its ids, so that both uses below see the same ones
+    stored = write_and_read(packed(docs, F.monotonically_increasing_id().alias(ROW_ID), old_shard.cast("int").alias("__old")), "rows")
+    facts = stored.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), ROW_ID, "__old")
+    placed = write_and_read(reshard(facts, F.col("__old"), old_shards, shards, ROW_ID), "placed")
+    affected = placed.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().filter(F.col("s") < shards)
+    here = placed.join(F.broadcast(affected), F.col("shard") == F.col("s"), "left_semi").select(ROW_ID, F.col("shard").alias(FOLDER))
+    spread = stored.join(here, ROW_ID).repartition(FOLDER, F.pmod(F.xxhash64(ROW_ID), F.lit(lanes)))
+    spread.select("row.*", FOLDER).write.partitionBy(FOLDER).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     return affected.select(F.col("s").alias("shard"))
 
 

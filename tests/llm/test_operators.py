@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import os
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from batchtally.llm import exact_dedup, licences, lm_score, mixing, pii, quality, sentencepiece_sampling, sharding, simhash, toxicity
 from batchtally.llm.components import components
+from tests.oracle import compare
 
 PROSE = " ".join(f"word{i % 37} other{i % 11} thing{i}" for i in range(30))
 ROWS = [
@@ -152,8 +155,18 @@ def test_simhash(spark, docs, none):
         ids = [r[0] for r, y in zip(rows, label, strict=True) if y == x and r[0] is not None]
         assert got[(d, simhash._signed(f))] == min(ids)
     left = simhash.drop_near_copies(frame)
-    assert left.columns == frame.columns and left.select("doc_id").distinct().count() == len(set(label))
-    assert simhash.near_components(none).count() == 0
+    assert left.columns == frame.columns and left.count() == len(set(label))
+    assert simhash.near_components(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
+
+
+def test_near_copies_go_row_by_row(spark):
+    """Copies that share an id, an id with rows in two components, null ids, and columns with the names of results."""
+    one, two, three = PROSE, "quite another text " * 20, " ".join(f"third{i}" for i in range(80))
+    rows = [(1, one, "a"), (1, one, "b"), (1, two, "c"), (2, two, "d"), (2, one, "e"), (None, three, "f"), (None, three, "g"), (None, one, "h")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, row_id string")
+    left = simhash.drop_near_copies(frame.coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(1, one), (1, two), (0, three)])
+    assert {r["row_id"] for r in left} <= {"a", "b", "c", "f", "g"}
 
 
 def test_fingerprint_by_definition():
@@ -190,30 +203,59 @@ def test_resharding(spark, docs, none, tmp_path):
         by[r["shard"]].append(r["slot"])
     assert len(by) == 5 and {len(v) for v in by.values()} <= {2, 3} and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sharding.reshard(none, sharding.by_source(4), 4, 5).count() == 0
-    rows = spark.range(200).selectExpr("id AS doc_id", "repeat('y', cast(id as int)) AS text", "concat('s', id % 3) AS source")
-    new = sharding.reshard(rows, sharding.by_source(4), 4, 6)
-    sharding.rewrite(rows, new, str(tmp_path / "shards"))
-    back = spark.read.parquet(str(tmp_path / "shards"))
-    moved = new.filter("shard <> old_shard").count()
-    assert moved and back.select("doc_id").distinct().count() == back.count()
-    assert sorted(back.select("doc_id", "shard").collect()) == sorted(new.select("doc_id", "shard").collect())
 
 
-def test_cheapest_flow_moves_fewest_bytes():
+def test_rewrite_writes_every_row_once(spark, tmp_path):
+    """Null and repeated ids, and columns with the names of results."""
+    rows = spark.range(200).selectExpr(
+        "if(id % 20 = 0, null, id div 3) AS doc_id", "repeat('y', cast(id as int)) AS text", "concat('s', id % 3) AS source", "id AS slot", "'mine' AS shard"
+    )
+    path = str(tmp_path / "shards")
+    written = {r["shard"] for r in sharding.rewrite(rows, sharding.by_source(4), path, 4, 6).collect()}
+    back = spark.read.parquet(path)
+    assert back.drop("new_shard").columns == rows.columns
+    new = sharding.reshard(rows, sharding.by_source(4), 4, 6)
+    placed = collections.Counter((r["doc_id"], r["shard"]) for r in new.collect() if r["shard"] in written)
+    assert len(written) > 3 and collections.Counter((r["doc_id"], r["new_shard"]) for r in back.collect()) == placed
+    assert {r["slot"] for r in back.collect()} <= set(range(200)) and back.select("slot").distinct().count() == back.count()
+    before = back.count()
+    sharding.rewrite(rows, sharding.by_source(4), path, 4, 6)  # run again: the folders are replaced
+    assert spark.read.parquet(path).count() == before
+    with pytest.raises(ValueError, match="new_shard"):
+        sharding.rewrite(rows.withColumn("new_shard", F.lit(1)), sharding.by_source(4), path)
+
+
+def fewest_bytes(old, shards):
+    """Least bytes moved over all ways to deal the rows, by trying every assignment."""
+    rows = [(o, b) for o, sizes in enumerate(old) for b in sizes]
+    base, more = divmod(len(rows), shards)
+    best = math.inf
+    for to in itertools.product(range(shards), repeat=len(rows)):
+        counts = [to.count(s) for s in range(shards)]
+        if sorted(counts) == [base] * (shards - more) + [base + 1] * more:
+            best = min(best, sum(b for (o, b), n in zip(rows, to, strict=True) if o != n))
+    return best
+
+
+def test_resharding_moves_fewest_bytes(spark):
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        supply = rng.integers(0, 30, rng.integers(1, 5)).tolist()
-        shards = int(rng.integers(1, 6))
-        cost = rng.integers(1, 9, len(supply)).astype(float).tolist()
-        flow = sharding.cheapest_flow(supply, shards, cost)
+    cases = [([[1, 1000], [400, 400]], 3), ([[5], [], [7, 7, 1]], 2), ([[9, 9, 9]], 1), ([[], [2, 3, 4, 50]], 3)]
+    cases += [([rng.integers(1, 60, rng.integers(0, 5)).tolist() for _ in range(rng.integers(1, 4))], int(rng.integers(1, 4))) for _ in range(60)]
+    for old, shards in cases:
+        old = [sorted(x) for x in old]
+        supply = [len(x) for x in old]
+        base = sum(supply) // shards
+        border = {o: x[len(x) - base - 1] for o, x in enumerate(old) if o < shards and len(x) > base}
+        flow = sharding.cheapest_flow(supply, shards, sharding.move_prices(supply, [sum(x) for x in old], shards, border))
         into = [sum(v for (_, n), v in flow.items() if n == s) for s in range(shards)]
         assert sum(into) == sum(supply) and max(into) - min(into) <= 1
-        base, more = divmod(sum(supply), shards)
-        paid = sum(v * cost[o] for (o, n), v in flow.items() if o != n)
-        # best case: old shards keep base rows, the dearest of the fuller ones one more
-        full = sorted((cost[o] for o in range(min(len(supply), shards)) if supply[o] > base), reverse=True)[:more]
-        want = sum(cost[o] * (supply[o] if o >= shards else max(0, supply[o] - base)) for o in range(len(supply))) - sum(full)
-        assert math.isclose(paid, want)
+        assert [sum(v for (o, _), v in flow.items() if o == i) for i in range(len(old))] == supply
+        moved = sum(sum(x[: len(x) - flow.get((o, o), 0)]) for o, x in enumerate(old))
+        assert moved == (fewest_bytes(old, shards) if sum(supply) < 10 else moved)
+    # the whole operator, on the two shards whose mean sizes mislead
+    rows = spark.createDataFrame([(1, "", 0), (2, "x" * 992, 0), (3, "y" * 392, 1), (4, "z" * 392, 1)], "doc_id int, text string, old int")
+    placed = sharding.reshard(rows, F.col("old"), 2, 3).collect()
+    assert sum(r["size"] for r in placed if r["shard"] != r["old_shard"]) == 8
 
 
 def test_sampling_without_replacement():
@@ -404,6 +446,17 @@ def test_quality_of_hosts_that_differ_as_much_as_can_be(spark, bad, hosts):
         assert {r["doc_id"] for r in quality.keep_good(frame).collect()} == {i for i, _, s in rows if int(s[4:]) >= bad}
 
 
+@pytest.mark.parametrize("bad, hosts", [(1, 10), (2, 3), (0, 2), (2, 2)])
+def test_quality_sql_agrees_where_rates_are_0_and_1(spark, tmp_path, bad, hosts):
+    text = lambda h: "short" if h < bad else " ".join(f"g{i}" for i in range(50))
+    rows = [(10 * h + i, text(h), f"host{h}") for h in range(hosts) for i in range(3 + h % 2)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert compare(spark, con, quality.op10_quality_rules, quality.OP10_SQL, str(tmp_path)) == ""
+
+
 def test_quality_prior():
     unit = quality.RATE_UNIT
     assert quality.beta_prior(0, 0, 0) == (None, None) and quality.beta_prior(3, unit, unit * unit)[1] == 0
