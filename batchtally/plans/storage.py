@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: the session's ``spark.checkpoint.dir``.
 
-    Where it is unset, a folder below the session's warehouse is used, which the
-    executors share as well.
+    Where it is unset, a folder below the session's warehouse is used. On a cluster
+    that must not be a local folder, which only the driver sees.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -21,11 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+            folder = spark._jvm.org.apache.hadoop.fs.Path(named)
+            named = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+            if not is_shared(sc.master, named):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that the executors share; {named} is local")
         sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current.rstrip("/")
 
 
+def is_shared(master: str, path: str) -> bool:
+    """Can executors under ``master`` see the qualified ``path``: any does for one JVM, no ``file:`` path beyond it."""
+    return master.split("[")[0] == "local" or not path.startswith("file:")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

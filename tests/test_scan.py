@@ -142,3 +142,10 @@ def test_small_keys_beside_a_hot_one(spark):
     for k, rows in got.sort_values("s").groupby("k"):
         want = greedy(rows["n"].tolist(), None, 9000)
         assert rows["chunk"].tolist() == [want[i] for i in range(len(rows))], k
+
+
+def test_scratch_must_be_shared_on_a_cluster():
+    from batchtally.plans.storage import is_shared
+
+    assert is_shared("local[8]", "file:/tmp/x") and is_shared("local", "file:/tmp/x") and is_shared("yarn", "hdfs://a/x")
+    assert not is_shared("yarn", "file:/tmp/x") and not is_shared("local-cluster[2,1,1024]", "file:/tmp/x")
