@@ -62,9 +62,12 @@ class MappingTable:
         self, manifest: DataFrame, datasets: DataFrame, rule: ChunkRule, *, base: str = "output.root", flush: bool = False,
         max_group_rows: int = MAX_GROUP_ROWS,
     ) -> DataFrame:
-        """New mapping rows for the files not mapped yet. These are stored before they are counted and planned, so the lookup runs once."""
-        fresh = write_and_read(self.unmapped(manifest, datasets), "unmapped")
-        planned = plan_files(fresh, self.indices(manifest.sparkSession), datasets, rule, flush=flush, max_group_rows=max_group_rows)
+        """New mapping rows for the files not mapped yet. What a lookup finds is stored before it is counted and planned, so that it runs once."""
+        spark = manifest.sparkSession
+        fresh = self.unmapped(manifest, datasets)
+        if spark.catalog.tableExists(self.name):
+            fresh = write_and_read(fresh, "unmapped")
+        planned = plan_files(fresh, self.indices(spark), datasets, rule, flush=flush, max_group_rows=max_group_rows)
         return mapping_rows(planned.filter("complete"), base)
 
     def extend(self, manifest: DataFrame, datasets: DataFrame, rule: ChunkRule, **options) -> DataFrame:
