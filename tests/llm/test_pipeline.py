@@ -17,3 +17,12 @@ def test_stages(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert all(r["text"] == texts[r["doc_id"]] for r in sentencepiece_sampling.decode(coded).collect())
     assert mixing.MAX_REPEATS >= 1
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf_dir)
+        assert found.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert found.columns == docs.columns, name
