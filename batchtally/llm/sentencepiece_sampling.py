@@ -278,7 +278,7 @@ class Lattices:
         length = np.zeros(len(start), dtype=np.int64)
         while len(active):
             here = state[active]
-            u = _uniform(seed[active], number[active], round_ * 4096 + step)
+            u = _uniform(seed[active], number[active], (round_ << 32) + step)  # a word may have any number of steps
             arc = self.first[here]
             more = np.flatnonzero(u >= self.upto[arc])
             while len(more):

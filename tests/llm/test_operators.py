@@ -258,6 +258,16 @@ def test_resharding_moves_fewest_bytes(spark):
     assert sum(r["size"] for r in placed if r["shard"] != r["old_shard"]) == 8
 
 
+def test_long_words_use_no_random_number_twice(monkeypatch):
+    lattices = sentencepiece_sampling.Lattices(sentencepiece_sampling.Pieces(sentencepiece_sampling.read_model()))
+    word = "▁" + "qz" * 10_000
+    start, real, used = lattices.states([word]), sentencepiece_sampling._uniform, []
+    monkeypatch.setattr(sentencepiece_sampling, "_uniform", lambda seed, *parts: used.append(real(seed, *parts)) or used[-1])
+    paths = [lattices.draw(start, np.array([5], dtype=np.uint64), np.array([0]), r)[0] for r in range(3)]
+    numbers = np.concatenate(used)
+    assert all(len(p) > 5000 for p in paths) and len(numbers) > 15_000 and len(np.unique(numbers)) == len(numbers)
+
+
 def test_sampling_without_replacement():
     lattices = sentencepiece_sampling.Lattices(sentencepiece_sampling.Pieces(sentencepiece_sampling.read_model()))
     p = lattices.pieces
