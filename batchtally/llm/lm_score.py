@@ -12,11 +12,15 @@ least 1 / ``COMMON`` of all tokens, so at most ``COMMON`` words, go to every tas
 are joined with the table, so no key of that join is frequent. Logarithms of
 counts are summed in whole numbers of 1 / ``UNIT``, alike in any order.
 
-Three passes over all documents: word counts; training; scoring. In training a
-task fits the network in numpy on every position of its own documents, once: for
-each run of documents in ``MASK`` passes, each over another share of positions by
-hash. All tasks begin at one common start; the local networks are then averaged by
-token count in a tree of aggregates of about half ``FAN_IN`` networks each.
+Three passes over all documents: word counts; training; scoring. In training the
+documents are dealt by a hash of their tokens to fit-shards, one for every
+``FIT_TOKENS`` tokens of the corpus, and stand in one order inside a shard, so the
+networks do not depend on the number of tasks. Equal documents are counted before
+they are shuffled and dealt in parts of ``COPIES``. A network is fitted in numpy on
+every position of its shard, once: for each run of documents in ``MASK`` passes,
+each over another share of positions by hash. All networks begin at one common
+start; they are then averaged by token count in a tree of aggregates of about half
+``FAN_IN`` networks each.
 
 Defined results
 * null or empty text: no tokens, log_prob 0, mean_log_prob null;
@@ -30,12 +34,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,14 +49,20 @@ from batchtally.plans.storage import write_and_read
 
 BUCKETS, CLASSES = 4096, 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-MASK, BATCH, RATE = 8, 512, 0.15
+MASK, BATCH, RATE = 8, 2048, 0.25
+LANE = 128  # positions in one product of matrices
 FAN_IN = 32
-TOKENS_AT_ONCE = 1 << 16
-COMMON = 1 << 20
+FIT_TOKENS = 1 << 21
+COPIES = 64
+FIT_TASKS = 4096  # fit-shards beyond this number share tasks
+TOKENS_AT_ONCE, BYTES_AT_ONCE = 1 << 16, 1 << 19
+COMMON = 1 << 16
 WORDS_HELD = 300_000
 UNIT = 1 << 32
 
-_cache: dict[bytes, int] = {}
+_byte = np.arange(256)
+_SPACES = np.isin(_byte, list(b" \t\n\r\x0b\x0c"))
+_LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uint64) + np.uint64(1)
 
 
 def words_in(text: str | None) -> list[bytes]:
@@ -60,19 +70,32 @@ def words_in(text: str | None) -> list[bytes]:
 
 
 def tokens(text: str | None) -> np.ndarray:
-    return numbers(words_in(text))
+    return numbered([(text or "").encode()])[0]
 
 
 def numbers(words: list[bytes]) -> np.ndarray:
     """The bucket of every word."""
-    if len(_cache) > 500_000:  # memory only; the numbers are the same
-        _cache.clear()
-    known, new = _cache.get, xxhash.xxh32_intdigest
-    ids = list(map(known, words))
-    for i, x in enumerate(ids):
-        if x is None:
-            ids[i] = _cache[words[i]] = new(words[i]) % BUCKETS
-    return np.array(ids, dtype=np.int32)
+    return numbered([b"\n".join(words)])[0]
+
+
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words of texts, one text after the other, and the number of words of each.
+
+    The hash of a word is a polynomial in its lower-cased bytes, summed for all words at once.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    space = _SPACES[data]
+    inside = np.flatnonzero(~space)
+    begins = np.flatnonzero(np.append(True, space[:-1])[inside])  # places in ``inside``
+    sizes = np.diff(np.append(begins, len(inside)))
+    power = np.full(sizes.max(initial=1), 0x9E3779B97F4A7C15, dtype=np.uint64).cumprod(dtype=np.uint64)
+    place = np.arange(len(inside)) - np.repeat(begins, sizes)
+    terms = _LOWER[data[inside]] * power[place]
+    h = np.add.reduceat(terms, begins) if len(begins) else np.zeros(0, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(inside[begins], ends)
+    return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32), np.diff(upto, prepend=0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -146,16 +169,27 @@ class Network:
             at += p.size
 
     def forward(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = self.embed[windows].reshape(len(windows), -1)
-        h = np.tanh(x @ self.w1 + self.b1)
-        z = h @ self.w2 + self.b2
+        """Inputs, hidden layer and logits of classes (the largest is 0), as stacks of (values, ``LANE`` positions).
+
+        Products this small stay in one thread, so tasks on one machine do not compete for cores.
+        The number of windows is a multiple of ``LANE``.
+        """
+        x = self.embed.take(windows, axis=0).reshape(-1, LANE, 2 * SIDE * WIDTH).transpose(0, 2, 1)
+        h = np.tanh(self.w1.T @ x + self.b1[:, None])
+        z = self.w2.T @ h + self.b2[:, None]
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return x, h, z
 
     def log_probs(self, ids: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        z = self.forward(windows)[2]
-        return z[np.arange(len(ids)), self.class_of[ids]] + self.inside[ids]
+        z = self.forward(_filled(windows))[2]
+        at = np.arange(len(ids))
+        own = z[at // LANE, self.class_of[ids], at % LANE]
+        return own - np.log(np.exp(z, out=z).sum(axis=1)).ravel()[: len(ids)] + self.inside[ids]
+
+
+def _filled(windows: np.ndarray) -> np.ndarray:
+    """``windows``, with empty ones behind them up to a multiple of ``LANE``."""
+    return np.pad(windows, ((0, -len(windows) % LANE), (0, 0)), constant_values=BUCKETS)
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -171,34 +205,38 @@ def windows(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
-    """(first row, end row, words, lengths) of runs of documents of some tens of thousand tokens."""
-    start, held, lengths = 0, [], []
+def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, end row, texts) of runs of documents of some hundred kilobytes."""
+    start, held, size = 0, [], 0
     for i, t in enumerate(b.column(column)):
-        words = words_in(t.as_py())
-        held += words
-        lengths.append(len(words))
-        if len(held) >= TOKENS_AT_ONCE or i == b.num_rows - 1:
-            yield start, i + 1, held, np.array(lengths, dtype=np.int64)
-            start, held, lengths = i + 1, [], []
+        held.append((t.as_py() or "").encode())
+        size += len(held[-1])
+        if size >= BYTES_AT_ONCE or i == b.num_rows - 1:
+            yield start, i + 1, held
+            start, held, size = i + 1, [], 0
 
 
 def _learn(net: Network, sums: list[np.ndarray], ids: np.ndarray, around: np.ndarray) -> None:
     """One Adagrad step on the log loss of the classes of ``ids``."""
+    around = _filled(around)
     x, h, z = net.forward(around)
-    d = np.exp(z)
-    d[np.arange(len(ids)), net.class_of[ids]] -= 1
-    d /= len(ids)
-    dh = (d @ net.w2.T) * (1 - h * h)
-    dx = (dh @ net.w1.T).reshape(-1, WIDTH)
+    d = np.exp(z, out=z)
+    d /= d.sum(axis=1, keepdims=True)
+    at = np.arange(len(ids))
+    d[at // LANE, net.class_of[ids], at % LANE] -= 1
+    d[-1, :, LANE - (len(around) - len(ids)) :] = 0  # the windows that fill the last lane
+    d /= np.float32(len(ids))
+    dh = (net.w2 @ d) * (1 - h * h)
+    dx = (dh.transpose(0, 2, 1) @ net.w1.T).reshape(-1, WIDTH)
     flat = around.ravel().astype(np.min_scalar_type(BUCKETS))
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    rows, de = ordered[first], np.add.reduceat(dx[order], first, axis=0)
+    rows, de = ordered[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0)
     sums[0][rows] = so_far = sums[0][rows] + de * de
     net.embed[rows] -= RATE * de / np.sqrt(so_far + 1e-8)
-    for p, s, g in zip(net.parts()[1:], sums[1:], [x.T @ dh, dh.sum(0), h.T @ d, d.sum(0)], strict=True):
+    of_layers = [(x @ dh.transpose(0, 2, 1)).sum(0), dh.sum((0, 2)), (h @ d.transpose(0, 2, 1)).sum(0), d.sum((0, 2))]
+    for p, s, g in zip(net.parts()[1:], sums[1:], of_layers, strict=True):
         s += g * g
         p -= RATE * g / np.sqrt(s + 1e-8)
 
@@ -212,29 +250,70 @@ def passes(ids: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(turn == k)
 
 
-def local_networks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row (n, params) per task with text: the network fitted on the task's own documents."""
+def fit_shards(docs: DataFrame, n_tokens: int) -> DataFrame:
+    """(shard, ids) of every document with tokens, in the order in which a shard's network reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(counts), 0
-        sums = [np.full_like(p, 1e-3) for p in net.parts()]
         for b in batches:
-            for _, _, words, lengths in _chunks(b, 0):
-                ids = numbers(words)
-                around = windows(ids, lengths)
-                for masked in passes(ids, lengths):
-                    near = around[masked]
-                    for at in range(0, len(masked), BATCH):
-                        part = slice(at, at + BATCH)
-                        _learn(net, sums, ids[masked[part]], near[part])
-                    n += len(masked)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([net.flat().astype(np.float32).tobytes()])], ["n", "params"])
+            for _, _, texts in _chunks(b, 0):
+                ids, lengths = numbered(texts)
+                raw, ends = ids.astype("<i2"), np.cumsum(lengths)
+                found = [raw[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True) if n]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["ids"])
+
+    shards = max(1, -(-n_tokens // FIT_TOKENS))
+    equal = docs.select("text").mapInArrow(run, "ids binary").groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int")))
+    parts = equal.select("ids", "n", part.alias("part")).withColumn("copies", F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).cast("int"))
+    keyed = parts.withColumn("key", F.xxhash64("ids", "part")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    # every shard in a partition of its own, or dealt evenly to FIT_TASKS partitions
+    dealt = keyed.repartitionById(min(shards, FIT_TASKS), F.pmod("shard", F.lit(min(shards, FIT_TASKS))))
+    return dealt.sortWithinPartitions("shard", "key", "ids", "part").select("shard", "ids", "copies")
+
 
-    return docs.select("text").mapInArrow(run, "n long, params binary")
+def local_networks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """One row (shard, n, params) per fit-shard with text: the network fitted on its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for shard, own in groupby(rows, key=itemgetter(0)):
+            net, n = Network(counts), 0
+            sums = [np.full_like(p, 1e-3) for p in net.parts()]
+            held, size = [], 0
+            for ids, last in _with_last(np.frombuffer(ids, dtype="<i2") for _, ids, copies in own for _ in range(copies)):
+                held.append(ids)
+                size += len(ids)
+                if size >= TOKENS_AT_ONCE or last:
+                    _fit(net, sums, np.concatenate(held).astype(np.int32), np.array([len(x) for x in held], dtype=np.int64))
+                    n += size
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n]), pa.array([net.flat().tobytes()])], ["shard", "n", "params"])
+
+    return fit_shards(docs, int(counts.sum())).mapInArrow(run, "shard int, n long, params binary")
+
+
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    """Every item, and whether it is the last."""
+    items = iter(items)
+    before = next(items, None)
+    for x in items:
+        yield before, False
+        before = x
+    if before is not None:
+        yield before, True
+
+
+def _fit(net: Network, sums: list[np.ndarray], ids: np.ndarray, lengths: np.ndarray) -> None:
+    """All passes over a run of documents."""
+    around = windows(ids, lengths)
+    for masked in passes(ids, lengths):
+        near, own = around[masked], ids[masked]
+        for at in range(0, len(masked), BATCH):
+            _learn(net, sums, own[at : at + BATCH], near[at : at + BATCH])
 
 
 def _mean(rows: pd.DataFrame) -> tuple[int, np.ndarray]:
+    rows = rows.sort_values(["n", "params"])  # sums of fractions depend on their order
     total = int(rows["n"].sum())
     out = sum(np.frombuffer(p, dtype=np.float32).astype(np.float64) * (n / total) for n, p in zip(rows["n"], rows["params"], strict=True))
     return total, out
@@ -278,8 +357,9 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, end, words, lengths in _chunks(b, 1):
-                ids = numbers(words)
+            for start, end, texts in _chunks(b, 1):
+                words = b"\n".join(texts).lower().split()
+                ids, lengths = numbered(texts)
                 around = windows(ids, lengths)
                 p = np.zeros(len(ids))
                 for at in range(0, len(ids), 8192):
