@@ -49,12 +49,22 @@ def unpacked(df: DataFrame) -> DataFrame:
 
 
 def prefix_sums(values: Column, block: int = 64) -> Column:
-    """Running sums of an array of longs, each including its own element.
+    """Running sums of an array of longs, each including its own element."""
+    return _running(values, lambda a, b: a + b, block)
 
-    Sums inside blocks are taken from a slice, those of whole blocks from one
+
+def prefix_max(values: Column, block: int = 64) -> Column:
+    """Running maxima of an array of longs that are not negative, each including its own element."""
+    return _running(values, lambda a, b: F.greatest(a, b), block)
+
+
+def _running(values: Column, both: Callable[[Column, Column], Column], block: int) -> Column:
+    """What ``both`` makes of the elements up to each one, and of 0.
+
+    Inside blocks it is taken from a slice, for whole blocks from one
     fold over block totals, so the work stays near ``block`` steps per element.
     """
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), both)
 
     def run(a: Column) -> Column:
         n_blocks = F.floor((F.size(a) + block - 1) / block).cast("int")
@@ -62,14 +72,16 @@ def prefix_sums(values: Column, block: int = 64) -> Column:
         before = lambda t: F.aggregate(
             t,
             F.array(F.lit(0).cast("bigint")),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
+            lambda acc, x: F.concat(acc, F.array(both(F.element_at(acc, -1), x))),
         )
         return let(
             let(of_block, before),
             lambda start: F.transform(
                 a,
-                lambda _, i: F.get(start, F.floor(i / block).cast("int"))
-                + total(F.slice(a, (F.floor(i / block) * block + 1).cast("int"), (i % block + 1).cast("int"))),
+                lambda _, i: both(
+                    F.get(start, F.floor(i / block).cast("int")),
+                    total(F.slice(a, (F.floor(i / block) * block + 1).cast("int"), (i % block + 1).cast("int"))),
+                ),
             ),
         )
 
@@ -77,6 +89,19 @@ def prefix_sums(values: Column, block: int = 64) -> Column:
     return let(values, lambda a: F.when(F.size(a) > 0, run(a)).otherwise(empty))
 
 
+def n_below(values: Column, limit: Column) -> Column:
+    """How many elements of a sorted array of longs are smaller than ``limit``: a binary search."""
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(values) + 1)).cast("int"))
+    middle = lambda at: F.floor((at["low"] + at["high"]) / 2).cast("int")
+
+    def step(at: Column, _: Column) -> Column:
+        below = F.coalesce(F.get(values, middle(at)) < limit, F.lit(False))
+        return F.struct(F.when(below, middle(at) + 1).otherwise(at["low"]).alias("low"), F.when(below, at["high"]).otherwise(middle(at)).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+    return F.aggregate(steps, start, step, lambda at: at["low"])
+
+
 def required(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

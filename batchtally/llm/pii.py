@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchtally.llm.common import documents, let, prefix_sums, required, text_of
+from batchtally.llm.common import documents, let, n_below, prefix_max, prefix_sums, required, text_of
 from batchtally.plans.storage import write_and_read
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -89,6 +89,32 @@ EXAMPLES = [
     ("", "meet (at) 9.99"),
     ("", "meet [at] noon.then"),
     ("", "ratio 99:9:9:99:9"),
+    ("phone", "Telefon 0999 9999999"),
+    ("phone", "Anruf unter 099/99999999"),
+    ("phone", "Rufnummer, Telefon (0999) 999 999"),
+    ("phone", "tél. 09 99 99 99 99"),
+    ("phone", "téléphone 09.99.99.99.99"),
+    ("phone", "llame al 999 999 999"),
+    ("phone", "teléfono móvil 999-99-99-99"),
+    ("card", "Karte 9999  9999  9999  9999"),
+    ("card", "Kreditkarte 9999/9999/9999/9999"),
+    ("card", "carte bancaire 9999.9999.9999.9999"),
+    ("card", "tarjeta 9999/9999/9999/9999"),
+    ("email", "schreiben an anna9 (at) post9.example.de"),
+    ("email", "écrire à jean99 [at] site9 [dot] fr"),
+    ("email", "correo luis.9 (at) casa9.example"),
+    ("ip", "adresse 99[.]9[.]99[.]999"),
+    ("ip", "servidor 9999:9:99a9:b9:9:99"),
+    ("ip", "Rechner 999[.]99[.]9[.]9"),
+    ("", "am 99.99.2099 99"),
+    ("", "Rechnung 99999999999"),
+    ("", "Seriennummer 9999-9999-9999"),
+    ("", "le 99/99/2099 99"),
+    ("", "facture 9999 999 999"),
+    ("", "el 99-99-2099 99"),
+    ("", "pedido 999999999999"),
+    ("", "verset 99:9:99:9:9"),
+    ("", "entre 9999 9999 9999 9999 9999 9999 unidades"),
 ]
 EXAMPLE_ROWS = 4200
 ROUNDS, RATE, LEAVES = 8, 0.5, 1.0
@@ -190,18 +216,32 @@ def proposals(text: Column) -> Column:
     return F.concat(*[of(g, KINDS.index(kind)) for g, kinds in PROPOSED.items() for kind in kinds])
 
 
+def held_patterns() -> list[bool]:
+    """For every pattern of ``EXAMPLES`` whether it is held out: every third of its kind."""
+    seen: dict[str, int] = {}
+    out = []
+    for kind, _ in EXAMPLES:
+        seen[kind] = seen.get(kind, 0) + 1
+        out.append(seen[kind] % 3 == 0)
+    return out
+
+
 def examples(spark: SparkSession, rows: int = EXAMPLE_ROWS) -> DataFrame:
-    """Labelled proposals: kind index, features, label, held-out flag."""
-    patterns = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("p")) for kind, p in EXAMPLES])
+    """Labelled proposals: kind index, features, label, held-out flag.
+
+    Whole patterns are held out, every third of a kind, so thresholds are
+    calibrated on formats that the trees have not seen.
+    """
+    patterns = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("p"), F.lit(h).alias("held")) for (kind, p), h in zip(EXAMPLES, held_patterns())])
     drawn = spark.range(rows).select("id", F.get(patterns, (F.col("id") % len(EXAMPLES)).cast("int")).alias("x"))
     digit = lambda c, i: F.when(c == "9", F.pmod(F.xxhash64("id", i), F.lit(10)).cast("string")).otherwise(c)
     text = F.array_join(F.transform(F.split("x.p", ""), digit), "")
-    spans = drawn.select("id", "x.kind", F.explode(proposals(text)).alias("c"))
+    spans = drawn.select("x.held", "x.kind", F.explode(proposals(text)).alias("c"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return spans.select(
         "c.*",
         (F.get(kinds, F.col("c.k")) == F.col("kind")).cast("double").alias("label"),
-        (F.floor(F.col("id") / len(EXAMPLES)) % 3 == 0).alias("held"),
+        "held",
     )
 
 
@@ -261,7 +301,11 @@ def fit(rows: DataFrame) -> list[dict]:
 
 
 def calibrate(held: DataFrame, trees: list[dict], precision: float = PRECISION) -> dict[int, float]:
-    """Per kind the lowest score from which on held-out proposals reach ``precision``."""
+    """Per kind the threshold beyond which held-out proposals reach ``precision``.
+
+    It lies half way between the lowest score that still does and the next lower one
+    seen, as no held-out row says where between them the precision is lost.
+    """
     binned = held.select("k", "label", (F.floor(_logit(trees) * 10) / 10).alias("bin"))
     sums = binned.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
     limits: dict[int, float] = {}
@@ -271,6 +315,8 @@ def calibrate(held: DataFrame, trees: list[dict], precision: float = PRECISION)
         for r in sorted((r for r in rows if r["k"] == k), key=lambda r: -r["bin"]):
             n, good = n + r["n"], good + r["good"]
             if good / n < precision:
+                if k in limits:
+                    limits[k] = (limits[k] + r["bin"] + 0.1) / 2
                 break
             limits[k] = r["bin"]
     return limits
@@ -291,8 +337,19 @@ def personal_spans(docs: DataFrame, model: tuple[list[dict], dict[int, float]] |
     added = F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     rows = docs.select("doc_id", text_of().alias("t"))
     spans = rows.select("doc_id", F.struct(base_spans(F.col("t")).alias("base"), added.alias("added")).alias("x"))
-    apart = lambda x: ~F.exists("x.base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return spans.select("doc_id", "x.base", F.filter(F.array_except("x.added", "x.base"), apart).alias("added"))
+    return spans.select("doc_id", "x.base", _apart(F.col("x.added"), F.col("x.base")).alias("added"))
+
+
+def _apart(added: Column, base: Column) -> Column:
+    """The spans of ``added``, sorted and each once, that touch none of ``base`` (sorted): a binary search for each."""
+
+    def free(a: Column, starts: Column, ends: Column) -> Column:
+        # of the base spans that start before x ends, the furthest end
+        clear = lambda x: F.coalesce(F.get(ends, n_below(starts, x["e"]) - 1) <= x["s"], F.lit(True))
+        return F.filter(a, lambda x, i: ((i == 0) | (x != F.get(a, i - 1))) & clear(x))
+
+    starts, ends = F.transform(base, lambda b: b["s"]), prefix_max(F.transform(base, lambda b: b["e"]))
+    return let(F.sort_array(added), lambda a: let(starts, lambda s: let(ends, lambda e: free(a, s, e))))
 
 
 def listed(spans: Column) -> Column:
@@ -304,16 +361,15 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every stretch covered by spans (sorted by start) replaced by its first span's kind in brackets."""
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int"))
-        return F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], gap, F.get(kinds, x["k"])).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))
-        )
+    def joined(x: Column, ends: Column) -> Column:
+        done = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(ends, i - 1))
+        gap = lambda x, i: F.substring(text, (done(i) + 1).cast("int"), (x["s"] - done(i)).cast("int"))
+        pieces = F.transform(x, lambda x, i: F.when(x["s"] >= done(i), F.concat(gap(x, i), F.get(kinds, x["k"]))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.char_length(text)))
 
-    rest = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, step, rest)).otherwise(text)
+    ends = prefix_max(F.transform(spans, lambda x: x["e"]))
+    return F.when(F.size(spans) > 0, let(spans, lambda x: let(ends, lambda e: joined(x, e)))).otherwise(text)
 
 
 def op2_pii_spans(spark, sf_dir: str) -> DataFrame:
