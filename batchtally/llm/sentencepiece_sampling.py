@@ -113,6 +113,7 @@ class Pieces:
         n = sp.vocab_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.bytes_of = {i: int(self.text[i][3:5], 16) for i in range(n) if sp.is_byte(i)}
+        self.raw = pa.array([bytes([self.bytes_of[i]]) if i in self.bytes_of else t.encode() for i, t in enumerate(self.text)], pa.large_binary())
         self.byte_id = {b: i for i, b in self.bytes_of.items()}
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         inside = [self.text[i] for i in plain if SPACE in self.text[i].lstrip(SPACE)]
@@ -443,9 +444,12 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, k: int = SAMPLES, model_path: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, k: int = SAMPLES, model_path: str = MODEL, check: bool = False) -> DataFrame:
     """doc_id, sample, ids, n_pieces, log_prob and inclusion: k distinct segmentations of every text.
 
+    With ``check`` every sample is decoded again, and ``round_trip`` says whether that
+    gives the text (null: empty; U+2581 counts as a space).
+
     The model (half a megabyte) is read on the driver and sent along, so executors need no file.
     """
     required(docs, ["doc_id", "text"])
@@ -465,6 +469,11 @@ def encode(docs: DataFrame, k: int = SAMPLES, model_path: str = MODEL) -> DataFr
                     end += 1
                 of, sample, ids, ends, log_p, inclusion = encode_rows(lattices, keys[at:end], held, k)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                extra = []
+                if check:
+                    back = decoded(lattices.pieces, ids, ends)
+                    plain = [(t or "").replace(SPACE, " ").encode() for t in held]
+                    extra = [pa.array([x == plain[i] for x, i in zip(back, of, strict=True)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(np.array(of, dtype=np.int64) + at)),
@@ -473,8 +482,9 @@ def encode(docs: DataFrame, k: int = SAMPLES, model_path: str = MODEL) -> DataFr
                         pa.array(np.diff(ends).astype(np.int32)),
                         pa.array(np.array(log_p, dtype=np.float64)),
                         pa.array(np.array(inclusion, dtype=np.float64)),
+                        *extra,
                     ],
-                    ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion"],
+                    schema.names,
                 )
                 at = end
 
@@ -486,25 +496,20 @@ def encode(docs: DataFrame, k: int = SAMPLES, model_path: str = MODEL) -> DataFr
             T.StructField("n_pieces", T.IntegerType()),
             T.StructField("log_prob", T.DoubleType()),
             T.StructField("inclusion", T.DoubleType()),
+            *([T.StructField("round_trip", T.BooleanType())] if check else []),
         ]
     )
     return rows.mapInArrow(run, schema)
 
 
-def decode_ids(pieces: Pieces, ids: list[int]) -> str:
-    out, raw = [], bytearray()
-    for i in ids:
-        if i in pieces.bytes_of:
-            raw.append(pieces.bytes_of[i])
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        out.append(pieces.text[i])
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out).replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+def decoded(pieces: Pieces, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The texts, in UTF-8, of piece numbers that follow one another; text i has those from ``ends[i]`` to ``ends[i + 1]``."""
+    joined = pieces.raw.take(pa.array(ids, pa.int32()))
+    upto = np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(joined) + 1) if len(joined) else np.zeros(1, dtype=np.int64)
+    data = memoryview(joined.buffers()[2] or b"")
+    places = upto[ends].tolist()
+    texts = (bytes(data[a:b]).replace(SPACE.encode(), b" ") for a, b in zip(places, places[1:]))
+    return [t[1:] if t.startswith(b" ") else t for t in texts]
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -515,11 +520,14 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattices_of(model.value).pieces
         for b in batches:
-            texts = [None if x.as_py() is None else decode_ids(pieces, x.as_py()) for x in b.column(2)]
+            lists = b.column(2)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            back = decoded(pieces, lists.flatten().to_numpy(zero_copy_only=False), ends)
+            texts = [x.decode("utf-8", "replace") if known else None for x, known in zip(back, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, type=pa.string())], ["doc_id", "sample", "text"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["sample"], T.StructField("text", T.StringType())]))
 
 
 def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(documents(spark, sf_dir))
+    return encode(documents(spark, sf_dir), check=True)
