@@ -56,7 +56,7 @@ FIT_TOKENS = 1 << 21
 COPIES = 64
 FIT_TASKS = 4096  # fit-shards beyond this number share tasks
 TOKENS_AT_ONCE, BYTES_AT_ONCE = 1 << 16, 1 << 19
-COMMON = 1 << 16
+COMMON = 1 << 18
 WORDS_HELD = 300_000
 UNIT = 1 << 32
 
@@ -175,8 +175,11 @@ class Network:
         The number of windows is a multiple of ``LANE``.
         """
         x = self.embed.take(windows, axis=0).reshape(-1, LANE, 2 * SIDE * WIDTH).transpose(0, 2, 1)
-        h = np.tanh(self.w1.T @ x + self.b1[:, None])
-        z = self.w2.T @ h + self.b2[:, None]
+        h = self.w1.T @ x
+        h += self.b1[:, None]
+        np.tanh(h, out=h)
+        z = self.w2.T @ h
+        z += self.b2[:, None]
         z -= z.max(axis=1, keepdims=True)
         return x, h, z
 
@@ -226,7 +229,8 @@ def _learn(net: Network, sums: list[np.ndarray], ids: np.ndarray, around: np.nda
     d[at // LANE, net.class_of[ids], at % LANE] -= 1
     d[-1, :, LANE - (len(around) - len(ids)) :] = 0  # the windows that fill the last lane
     d /= np.float32(len(ids))
-    dh = (net.w2 @ d) * (1 - h * h)
+    dh = net.w2 @ d
+    dh -= dh * h * h
     dx = (dh.transpose(0, 2, 1) @ net.w1.T).reshape(-1, WIDTH)
     flat = around.ravel().astype(np.min_scalar_type(BUCKETS))
     order = np.argsort(flat, kind="stable")
@@ -362,8 +366,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 ids, lengths = numbered(texts)
                 around = windows(ids, lengths)
                 p = np.zeros(len(ids))
-                for at in range(0, len(ids), 8192):
-                    p[at : at + 8192] = net.log_probs(ids[at : at + 8192], around[at : at + 8192])
+                for at in range(0, len(ids), BATCH):
+                    p[at : at + BATCH] = net.log_probs(ids[at : at + BATCH], around[at : at + BATCH])
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 units = np.array(list(map(known.get, words, repeat(-1))), dtype=np.int64)
                 rare = np.flatnonzero(units < 0)
