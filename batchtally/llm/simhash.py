@@ -17,7 +17,7 @@ Defined results
 * fewer words than a shingle: the whole sequence is the only shingle;
 * repeated rows share fingerprint and component; null ids take part, but name no component
   unless all ids of it are null;
-* an empty table gives an empty result; other columns are ignored, or carried by ``drop_near_copies``, which decides row by row.
+* an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchtally.llm.common import documents, packed, required, small
+from batchtally.llm.common import documents, required
 from batchtally.llm.components import components
 from batchtally.plans.storage import write_and_read
 
@@ -144,7 +144,7 @@ def allocate(masks: list[int], n: int, equal_pairs: list[int], p: np.ndarray, di
         width, found, step = bin(mask).count("1"), _candidates(mask, pairs, p), {}
         probes = np.cumsum([1, width, width * (width - 1) / 2, width * (width - 1) * (width - 2) / 6])
         for used, (cost, so_far) in best.items():
-            for t in range(-1, distance + 1):
+            for t in range(-1, min(distance, len(found) - 1) + 1):
                 more = 0.0 if t < 0 else PROBE_COST * n * (1 + probes[t]) + CANDIDATE_COST * found[t]
                 if used + t not in step or cost + more < step[used + t][0]:
                     step[used + t] = (cost + more, [*so_far, t])
@@ -197,24 +197,6 @@ def near_components(docs: DataFrame) -> DataFrame:
     return rows.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, a null one last; of several such rows the first stored."""
-    required(docs, ["doc_id", "text"])
-    # stored with its ids, so that every step below sees the same ones
-    stored = write_and_read(packed(docs, F.monotonically_increasing_id().alias("row_id")), "rows")
-    fields = [F.col("row.doc_id").alias("doc_id"), F.col("row_id"), F.col("row.text").alias("text")]
-    keyed = stored.select(F.struct(fields[0].isNull().alias("a"), fields[0], fields[1]).alias("doc_id"), fields[2])
-    rows = write_and_read(with_fingerprints(keyed), "fingerprints")
-    fps = write_and_read(rows.groupBy("fp").agg(F.min("doc_id").alias("best")), "distinct")
-    roots = components(write_and_read(links(fps, layout(fps)), "links"))
-    named = write_and_read(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("root", "fp").alias("root")), "roots")
-    stays = named.groupBy("root").agg(F.min("best").alias("best"))
-    kept = named.join(stays.select("root", F.col("best.row_id").alias("kept_id")), "root").select("fp", "kept_id")
-    gone = rows.select("fp", F.col("doc_id.row_id").alias("row_id")).join(kept, "fp").filter("row_id <> kept_id").select("row_id")
-    gone = small(write_and_read(gone, "gone"))  # fewer than those that stay; texts are shuffled only where it is large
-    return stored.join(gone, "row_id", "left_anti").select("row.*")
-
-
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from batchtally.llm import exact_dedup, licences, lm_score, mixing, pii, quality, sentencepiece_sampling, sharding, simhash, toxicity
+from batchtally.llm import exact_dedup, licences, lm_score, mixing, near_copies, pii, quality, sentencepiece_sampling, sharding, simhash, toxicity
 from batchtally.llm.components import components
 from tests.oracle import compare
 
@@ -200,9 +200,65 @@ def test_simhash(spark, docs, none):
     for (d, *_), f, x in zip(rows, fps, label, strict=True):
         ids = [r[0] for r, y in zip(rows, label, strict=True) if y == x and r[0] is not None]
         assert got[(d, simhash._signed(f))] == min(ids)
-    left = simhash.drop_near_copies(frame)
-    assert left.columns == frame.columns and left.count() == len(set(label))
-    assert simhash.near_components(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
+    assert simhash.near_components(none).count() == 0
+
+
+def _shingle_set(text, size=5):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0d]+", words)
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def _groups(texts, similarity=0.8, size=5):
+    """Smallest position reachable over pairs of similar texts, by comparing all of them."""
+    sets, label = [_shingle_set(t, size) for t in texts], list(range(len(texts)))
+    alike = lambda a, b: a == b or (a and b and len(a & b) >= similarity * len(a | b))
+    near = [[j for j, b in enumerate(sets) if alike(a, b)] for a in sets]
+    for _ in texts:
+        label = [min(label[j] for j in js) for js in near]
+    return label
+
+
+@pytest.mark.parametrize(("size", "similarity"), [(5, 0.8), (3, 0.9)])
+def test_near_copies_against_all_pairs(spark, none, size, similarity):
+    """Texts with changed words, appended parts and other cases of letters, beside unrelated ones that share words."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [r[1] for r in ROWS]
+    for k in range(40):
+        base = list(rng.choice(vocabulary, 150 + 5 * k))
+        texts.append(" ".join(base))
+        for changed in (1, 2, 12):
+            copy = list(base)
+            for at in rng.integers(0, len(base), changed):
+                copy[at] = f"new{k}x{at}"
+            texts.append("\n".join(copy))
+        texts += [" ".join(base).upper(), " ".join([*base, "one", "more", "end"])]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, best string").repartition(5)
+    label = _groups(texts, similarity, size)
+    left = near_copies.drop_near_copies(frame, size=size, similarity=similarity)
+    assert left.columns == frame.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(label))
+    assert near_copies.drop_near_copies(none).count() == 0
+
+
+def test_no_pair_within_the_distance_is_missed(spark):
+    """Fingerprints alone: every pair of at most 5 differing bits in one half, and near enough, is a candidate."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        hi, lo = (int(x) for x in rng.integers(-(2**63), 2**63, 2))
+        rows.append((hi, lo))
+        for n in range(8):
+            flips = sum(1 << int(b) for b in rng.choice(63, n, replace=False))
+            rows.append((hi ^ flips, lo ^ (flips << 1 & (2**62 - 1))))
+    classes = [(s, 100, hi, lo) for s, (hi, lo) in enumerate(rows)]
+    got = {tuple(r) for r in near_copies.candidates(spark.createDataFrame(classes, "s long, n long, hi long, lo long")).collect()}
+    bits = lambda x: bin(x & (2**64 - 1)).count("1")
+    for (a, _, ha, la), (b, _, hb, lb) in itertools.combinations(classes, 2):
+        if min(bits(ha ^ hb), bits(la ^ lb)) <= near_copies.DISTANCE and bits(ha ^ hb) + bits(la ^ lb) <= near_copies.FAR:
+            assert (a, b) in got
+    assert all(bits(rows[a][0] ^ rows[b][0]) + bits(rows[a][1] ^ rows[b][1]) <= near_copies.FAR for a, b in got)
 
 
 def test_near_copies_go_row_by_row(spark):
@@ -210,7 +266,7 @@ def test_near_copies_go_row_by_row(spark):
     one, two, three = PROSE, "quite another text " * 20, " ".join(f"third{i}" for i in range(80))
     rows = [(1, one, "a"), (1, one, "b"), (1, two, "c"), (2, two, "d"), (2, one, "e"), (None, three, "f"), (None, three, "g"), (None, one, "h")]
     frame = spark.createDataFrame(rows, "doc_id int, text string, row_id string")
-    left = simhash.drop_near_copies(frame.coalesce(1)).collect()
+    left = near_copies.drop_near_copies(frame.coalesce(1)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(1, one), (1, two), (0, three)])
     assert {r["row_id"] for r in left} <= {"a", "b", "c", "f", "g"}
 

@@ -1,7 +1,7 @@
 """The pipeline's stages on a small table."""
 
 import corpus_pipeline
-from batchtally.llm import mixing, sentencepiece_sampling, simhash
+from batchtally.llm import mixing, near_copies, sentencepiece_sampling
 
 
 def test_stages(spark, sf_dir):
@@ -11,8 +11,8 @@ def test_stages(spark, sf_dir):
         kept = spark.createDataFrame(stage(spark, kept, sf_dir).collect(), docs.schema)
         assert kept.columns == docs.columns and kept.count(), name
         if name == "near_dedup":
-            fps = [simhash.fingerprint(r["text"]) for r in kept.collect()]
-            assert all(bin(a ^ b).count("1") > simhash.DISTANCE for i, a in enumerate(fps) for b in fps[:i])
+            sets = [set(near_copies.shingle_hashes(r["text"]).tolist()) for r in kept.collect()]
+            assert all(len(a & b) < near_copies.SIMILARITY * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     coded = corpus_pipeline.STAGES[4][1](spark, kept, sf_dir)
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert all(r["text"] == texts[r["doc_id"]] for r in sentencepiece_sampling.decode(coded).collect())
