@@ -29,32 +29,65 @@ class ChunkAggregate:
     merge: Callable[[pd.DataFrame], Mapping[str, Any]]
 
 
-def aggregate_chunks(routed: DataFrame, aggregate: ChunkAggregate, keys: Sequence[str] = ("dataset", "out_index"), *, lanes: int = LANES) -> DataFrame:
+def aggregate_chunks(
+    routed: DataFrame, aggregate: ChunkAggregate, keys: Sequence[str] = ("dataset", "out_index"), *, lanes: int = LANES, scattered: bool = False
+) -> DataFrame:
     """The state of each chunk as columns.
 
     States are lifted where the records lie, one per chunk and batch of rows, so no record is
     shuffled and a huge chunk is worked on by all tasks that hold some of it. Its states, few to a
     task, are merged in ``lanes`` tasks and then in one.
+
+    Where there are many chunks and the records of each lie ``scattered`` over the tasks, a batch would hold
+    about one record of a chunk, and the user's code would run once a record. They are then gathered by chunk first,
+    in one exchange whose partitions Spark splits where they are too large, and sorted, so that it runs about once a chunk.
     """
     keys = list(keys)
     state = T.StructType.fromDDL(aggregate.state)
     names = [f.name for f in state.fields]
     schema = T.StructType([routed.schema[k] for k in keys] + state.fields)
 
-    def lift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(*key, *_fields(aggregate.lift(part), names)) for key, part in batch.groupby(keys, dropna=False, sort=False)]
-            if rows:
-                yield _frame(rows, schema)
-
-    def merge(key: Tuple[Any, ...], states: pd.DataFrame) -> pd.DataFrame:
-        one = states[names].iloc[0].to_dict() if len(states) == 1 else aggregate.merge(states[names])
-        return _frame([(*key[: len(keys)], *_fields(one, names))], schema)
-
-    merge.__annotations__ = {"key": Tuple[Any, ...], "states": pd.DataFrame, "return": pd.DataFrame}
-    lifted = routed.mapInPandas(lift, schema).withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
-    in_lanes = lifted.groupBy(*keys, "_lane").applyInPandas(merge, schema)
-    return in_lanes.groupBy(*keys).applyInPandas(merge, schema)
+    def lift(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _folded(frames, keys, schema, aggregate.lift, aggregate.merge)
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = lambda part: {n: part[n].iloc[0] for n in names} if len(part) == 1 else aggregate.merge(part[names])
+        yield from _folded(frames, keys, schema, one, aggregate.merge)
+
+    rows = routed.hint("rebalance", *keys).sortWithinPartitions(*keys) if scattered else routed
+    lifted = rows.mapInPandas(lift, schema).withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+    in_lanes = lifted.repartition(*keys, "_lane").drop("_lane").sortWithinPartitions(*keys).mapInPandas(merge, schema)
+    return in_lanes.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, schema)
+
+
+def _folded(
+    frames: Iterator[pd.DataFrame],
+    keys: Sequence[str],
+    schema: T.StructType,
+    state_of: Callable[[pd.DataFrame], Mapping[str, Any]],
+    merge: Callable[[pd.DataFrame], Mapping[str, Any]],
+) -> Iterator[pd.DataFrame]:
+    """One row of ``schema`` per run of a frame's equal keys; a run that goes on in the next frame is merged."""
+    names = schema.names[len(keys) :]
+    at, held = None, None  # key and state of the run that may go on
+    for frame in frames:
+        rows = []
+        for key, part in frame.groupby(list(keys), dropna=False, sort=False):
+            state = dict(zip(names, _fields(state_of(part), names), strict=True))
+            if held is not None and _same_key(key, at):
+                held = merge(pd.DataFrame([held, state], columns=names))
+                continue
+            if held is not None:
+                rows.append((*at, *_fields(held, names)))
+            at, held = key, state
+        if rows:
+            yield _frame(rows, schema)
+    if held is not None:
+        yield _frame([(*at, *_fields(held, names))], schema)
+
+
+def _same_key(a: tuple, b: tuple) -> bool:
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b, strict=True))
 
 
 def _fields(state: Mapping[str, Any], names: Sequence[str]) -> list[Any]:
@@ -62,7 +95,16 @@ def _fields(state: Mapping[str, Any], names: Sequence[str]) -> list[Any]:
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=schema.names)
+    """Rows as columns of objects, so that a null makes no float of a column of whole numbers."""
+    columns = {}
+    for field, values in zip(schema.fields, zip(*rows, strict=True), strict=True):
+        whole = isinstance(field.dataType, T.IntegralType)
+        columns[field.name] = pd.Series([_whole(x) for x in values] if whole else list(values), dtype=object)
+    return pd.DataFrame(columns, columns=schema.names)
+
+
+def _whole(x: Any) -> Any:
+    return None if pd.isna(x) else int(x) if x == int(x) else x
 
 
 def process_chunks(

@@ -250,7 +250,7 @@ def user_code_per_chunk(t: Tables) -> DataFrame:
 
     aggregate = ChunkAggregate("n bigint, negative_sum double", of_records, lambda states: states.sum().to_dict())
     routed = C.route_records(t.events_of_files, _mapping(t, 50))
-    found = aggregate_chunks(routed.select("dataset", "out_index", "weight"), aggregate)
+    found = aggregate_chunks(routed.select("dataset", "out_index", "weight"), aggregate, scattered=True)  # chunks of 50 files, in any task
     return found.withColumn("negative_sum", F.round("negative_sum", 4))
 
 

@@ -315,6 +315,35 @@ def test_user_aggregate_of_a_huge_chunk(spark):
     assert U.aggregate_chunks(df.limit(0), aggregate).count() == 0
 
 
+def test_user_aggregate_of_scattered_records(spark):
+    """Every task holds some records of every chunk, but the user's code runs about once a chunk, and nulls are a key."""
+    df = spark.range(0, 6000, 1, 6).selectExpr("if(id % 5 = 0, null, 'd') as dataset", "if(id % 7 = 0, null, id % 300) as out_index", "id as v")
+    lifts = spark.sparkContext.accumulator(0)
+
+    def lift(frame):
+        lifts.add(1)
+        return {"n": len(frame), "top": int(frame["v"].max())}
+
+    aggregate = U.ChunkAggregate("n bigint, top bigint", lift, lambda s: {"n": int(s["n"].sum()), "top": int(s["top"].max())})
+    row = lambda r: (r.dataset, r.out_index, r.n, r.top)
+    got = sorted(map(row, U.aggregate_chunks(df, aggregate, scattered=True).collect()), key=str)
+    want = df.groupBy("dataset", "out_index").agg(F.count("*").alias("n"), F.max("v").alias("top")).collect()
+    assert got == sorted(map(row, want), key=str) and len(got) > 300
+    assert lifts.value <= 1.2 * len(got)  # six times as many where the records lie
+    again = sorted(map(row, U.aggregate_chunks(df, aggregate).collect()), key=str)
+    assert again == got
+
+
+def test_extra_members_of_summaries(spark):
+    """Members without a column keep their text, whatever their kind, and the jobs are not turned into text."""
+    doc = '{"d": {"jobs": {"1": {"output": ["x", 1]}}, "tag": "t", "a": "say \\"x\\"", "b": 1.50, "c": null, "e": [1, {"f": "g h"}], "h": true, "i": 12345678901234567890, "j": {}}}'
+    rows = S.task_summary_rows(spark.createDataFrame([(doc,)], "value string"))
+    assert "from_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    old = F.from_json(F.to_json(F.parse_json(F.get_json_object("value", "$.d"))), "map<string,string>")
+    want = spark.createDataFrame([(doc,)], "value string").select(old.alias("m")).first().m
+    assert rows.first().extra == {k: v for k, v in want.items() if k not in ("jobs", "tag")}
+
+
 def test_record_defaults(spark):
     rows = spark.createDataFrame([(1, None, "old", None, "invalid"), (2, "new", "old", ["s"], None)], "id int, tag string, cms3tag string, siblings array<string>, status string")
     one, two = C.with_record_defaults(rows).orderBy("id").collect()
