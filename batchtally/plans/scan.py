@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from batchtally.plans.storage import cut
 
 MAX_GROUP_ROWS = 1_000_000
+MOST_BLOCKS = 256  # each is a partition that is sampled and reported to the driver; only blocks of MAX_GROUP_ROWS may be more
 
 
 def _cols(order: Sequence[Column | str]) -> list[Column]:
@@ -70,6 +71,7 @@ def _join_blocks(rows: DataFrame, per_block: DataFrame, names: Sequence[str]) ->
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], total: int, rows: int) -> DataFrame:
+    rows = max(rows, min(-(-total // MOST_BLOCKS), MAX_GROUP_ROWS))
     parts = max(2, -(-total // rows))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *_cols(order))
     return cut(ranged.withColumn("_block", F.spark_partition_id()))

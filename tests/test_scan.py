@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from batchtally.plans import jumps, scan
 from batchtally.plans.jumps import greedy_groups
 from batchtally.plans.scan import carry_last, number_rows
 
@@ -149,3 +150,27 @@ def test_scratch_must_be_shared_on_a_cluster():
 
     assert is_shared("local[8]", "file:/tmp/x") and is_shared("local", "file:/tmp/x") and is_shared("yarn", "hdfs://a/x")
     assert not is_shared("yarn", "file:/tmp/x") and not is_shared("local-cluster[2,1,1024]", "file:/tmp/x")
+
+
+def test_blocks_are_bounded_in_number_and_in_python(spark, monkeypatch):
+    """A small bound makes no partition for every few rows, and a large one no large block in Python."""
+    df = spark.range(4000).selectExpr("'a' as k", "id as s", "id % 7 as n")
+    ranged = spark.range(4000).selectExpr("'a' as k", "id as s")
+    parts, sizes = [], []
+    monkeypatch.setattr(scan, "cut", lambda x: parts.append(x.rdd.getNumPartitions()) or x)
+    scan._blocks(ranged, ["k"], ["s"], 4000, 2)
+    scan._blocks(ranged, ["k"], ["s"], 4000, 1000)
+    monkeypatch.undo()
+    assert parts[0] <= 256 and parts[1] == 4
+
+    monkeypatch.setattr(jumps, "BLOCK_ROWS", 300, raising=False)
+    block_of = jumps._block_of
+    monkeypatch.setattr(jumps, "_block_of", lambda pos, size: sizes.append(size) or block_of(pos, size))
+    got = {r.s: r.chunk for r in greedy_groups(df, ["k"], ["s"], count="n", limit=20, max_group_rows=1500).collect()}
+    assert sizes == [300]
+    held, chunk = 0, 0
+    for s in range(4000):
+        if s and held + s % 7 > 20:
+            held, chunk = 0, chunk + 1
+        held += s % 7
+        assert got[s] == chunk
