@@ -15,7 +15,7 @@ in blocks of bounded size:
 4. walk each block from its entry and number the starts by a running count.
 
 What is broadcast here has one row per huge key or per block, so at most one row
-for every ``max_group_rows`` rows (and key) of the huge part.
+for every ``max_group_rows`` rows (``BLOCK_ROWS`` if that is less) and key of the huge part.
 
 Chains that meet merge, so step 2 normally holds few rows; it stays exact when
 they do not merge.
@@ -36,6 +36,8 @@ from pyspark.sql import Window as W
 from batchtally.plans.scan import MAX_GROUP_ROWS, Census, carry_min, group_sizes, hot_keys, number_rows
 from batchtally.plans.storage import cut
 
+BLOCK_ROWS = 1 << 17  # rows of a block that Python holds, at most
+
 
 def _fold(count: str, files: int | None, limit: int | None, out: str, closed: str):
     """mapInPandas function over numbered rows of whole keys; its state outlives a batch.
@@ -184,7 +186,7 @@ def _walk_block(keys: list[str]):
 
 def _reach(jumps: DataFrame, keys: list[str], bound: int, files: int | None) -> DataFrame:
     """Rows (keys, _pos, _group, _closed) from each row's jump."""
-    at = [*keys, "_pos"]
+    at, bound = [*keys, "_pos"], min(bound, BLOCK_ROWS)
     blocked = cut(jumps.withColumn("_block", _block_of("_pos", bound)))
     by_block = [*keys, "_block"]
 
