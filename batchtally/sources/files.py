@@ -150,8 +150,10 @@ def task_summary_rows(docs: DataFrame) -> DataFrame:
     """
     get = lambda v, path, kind: F.try_variant_get(v, path, kind)
     tasks = _members(docs.select(F.try_parse_json("value").alias("_d")), "_d", "dataset")
-    texts = F.from_json(F.to_json("_m"), "map<string,string>")
-    extra = F.map_filter(texts, lambda k, _: ~k.isin("jobs", *TASK_FIELDS))
+    # only the members that are kept become text; the jobs, by far the longest one, do not
+    others = F.map_filter(get(F.col("_m"), "$", "map<string,variant>"), lambda k, _: ~k.isin("jobs", *TASK_FIELDS))
+    raw = lambda v: F.when(F.schema_of_variant(v) == "STRING", get(v, "$", "string")).otherwise(F.to_json(v))
+    extra = F.transform_values(others, lambda _, v: F.when(~F.is_variant_null(v), raw(v)))
     own = [get(F.col("_m"), f"$.{name}", kind).alias(name) for name, kind in TASK_FIELDS.items()]
     jobs = _members(tasks.select("dataset", *own, extra.alias("extra"), get(F.col("_m"), "$.jobs", "variant").alias("_jobs")), "_jobs", "_i")
     job = F.col("_m")
