@@ -80,7 +80,7 @@ _SYMBOLS = [b"#", b"*", b"$", b"%", b"&"]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """doc_id, label columns and feature numbers of a bounded sample."""
+    """doc_id, label columns and feature numbers (packed 32-bit integers) of a bounded sample."""
     wanted = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     wanted = wanted.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -91,12 +91,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([features(t.as_py()) for t in b.column("text")], type=pa.list_(pa.int64()))
+            found = pa.array([features(t.as_py()).astype("<i4").tobytes() for t in b.column("text")], type=pa.binary())
             columns = [b.column("doc_id"), b.column("quality"), b.column("toxic"), found]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "toxic", "features"])
 
     kinds = [rows.schema[c] for c in ("doc_id", "quality", "toxic")]
-    return rows.mapInArrow(run, T.StructType([*kinds, T.StructField("features", T.ArrayType(T.LongType()))]))
+    return rows.mapInArrow(run, T.StructType([*kinds, T.StructField("features", T.BinaryType())]))
 
 
 @dataclass
@@ -122,14 +122,21 @@ class Sparse:
 
 def sparse(lists: list[np.ndarray], vocabulary: np.ndarray) -> Sparse:
     """The kept features of each list; ``vocabulary`` is sorted."""
-    lengths = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.concatenate([*lists, np.zeros(0, dtype=np.int64)])
-    row = np.repeat(np.arange(len(lists)), lengths)
-    if not len(vocabulary):
-        return Sparse(row[:0], flat[:0], len(lists), 0)
-    col = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-    known = vocabulary[col] == flat
-    return Sparse(row[known], col[known], len(lists), len(vocabulary))
+    rows, cols = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if len(vocabulary):
+        for row, flat in _flat(lists):
+            col = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+            known = vocabulary[col] == flat
+            rows.append(row[known])
+            cols.append(col[known])
+    return Sparse(np.concatenate(rows), np.concatenate(cols), len(lists), len(vocabulary))
+
+
+def _flat(lists: list[np.ndarray], at_once: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and feature numbers of all lists, some rows at a time."""
+    for at in range(0, len(lists), at_once):
+        part = lists[at : at + at_once]
+        yield np.repeat(np.arange(at, at + len(part)), [len(x) for x in part]), np.concatenate(part)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -193,14 +200,15 @@ class Chain:
 
 def telling(lists: list[np.ndarray], labels: np.ndarray, most: int = FEATURES) -> np.ndarray:
     """Features whose document counts differ most between label values, over all categories; sorted."""
-    flat = np.concatenate([*lists, np.zeros(0, dtype=np.int64)])
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    names, at = np.unique(flat, return_inverse=True)
-    total = np.bincount(at, minlength=len(names))
-    best = np.zeros(len(names))
-    for y in labels.T:
+    total, hits_of = np.zeros(HASHED, dtype=np.int64), np.zeros((labels.shape[1], HASHED))
+    for row, flat in _flat(lists):
+        np.add.at(total, flat, 1)
+        for hits, y in zip(hits_of, labels.T, strict=True):
+            np.add.at(hits, flat, y[row])
+    names = np.flatnonzero(total)
+    total, best = total[names], np.zeros(len(names))
+    for y, hits in zip(labels.T, hits_of[:, names], strict=True):
         share = y.mean() if len(y) else 0.0
-        hits = np.bincount(at, y[row], minlength=len(names))
         best = np.maximum(best, np.abs(hits - share * total) / np.sqrt(total * max(share * (1 - share), 1e-9) + 1))
     order = np.lexsort((names, -best))[:most]
     return np.sort(names[order[total[order] >= 2]])
@@ -235,7 +243,7 @@ def fit_chain(ids: np.ndarray, lists: list[np.ndarray], labels: np.ndarray) -> C
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
     rows = sorted(labelled_sample(docs, labels, most).collect(), key=lambda r: r["doc_id"])  # at most ``most`` rows
-    lists = [np.array(r["features"], dtype=np.int64) for r in rows]
+    lists = [np.frombuffer(r["features"], dtype="<i4") for r in rows]
     poor = np.array([r["quality"] == 0 for r in rows], dtype=float)
     toxic = np.array([r["toxic"] == 1 for r in rows], dtype=float)
     return fit_chain(np.array([r["doc_id"] for r in rows]), lists, np.column_stack([poor, toxic, poor * toxic]))

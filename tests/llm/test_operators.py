@@ -5,7 +5,9 @@ import hashlib
 import itertools
 import math
 import os
+import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from batchtally.llm import exact_dedup, licences, lm_score, mixing, near_copies, pii, quality, sentencepiece_sampling, sharding, simhash, toxicity
 from batchtally.llm.components import components
+from batchtally.plans.storage import write_and_read
 from tests.oracle import compare
 
 PROSE = " ".join(f"word{i % 37} other{i % 11} thing{i}" for i in range(30))
@@ -597,3 +600,37 @@ def test_quality_prior():
     rates = [0.1, 0.25, 0.5, 0.05]
     mean, strength = quality.beta_prior(4, sum(round(x * unit) for x in rates), sum(round(x * unit) ** 2 for x in rates))
     assert math.isclose(mean, np.mean(rates)) and math.isclose(strength, np.mean(rates) * (1 - np.mean(rates)) / np.var(rates) - 1)
+
+
+def test_near_copies_of_a_large_group_make_few_pairs(spark):
+    """Texts of one group are verified against its middle; the search then meets no pair twice, and loses no link."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        words = list(base)
+        words[rnd.randrange(200)] = f"x{i}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    told = near_copies._described(rows, near_copies.SHINGLE)
+    classes = write_and_read(told.groupBy("s").agg(F.min("key").alias("best"), *[F.first(c).alias(c) for c in ("n", "hi", "lo")]), "classes")
+    layouts = near_copies.layouts_of(classes)
+    star = near_copies.stars(classes, layouts).collect()
+    parts = sum(len(x) for x in layouts)
+    assert 0 < len(star) <= parts * len(texts)
+    joined = near_copies.candidates(classes.withColumn("root", F.lit(1)), layouts=layouts).count()
+    assert joined == 0 and near_copies.candidates(classes, layouts=layouts).count() > len(star)
+    assert {r.best for r in near_copies.near_groups(rows).collect()} == {0}
+
+
+def test_toxicity_fit_holds_few_copies_of_its_features():
+    rng = np.random.default_rng(1)
+    lists = [np.unique(rng.integers(0, toxicity.HASHED, 700)) for _ in range(4000)]
+    labels = (rng.random((4000, 3)) < 0.3).astype(float)
+    tracemalloc.start()
+    vocabulary = toxicity.telling(lists, labels)
+    x = toxicity.sparse(lists, vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6
+    assert len(vocabulary) == toxicity.FEATURES and len(x.row) == sum(np.isin(f, vocabulary).sum() for f in lists)
