@@ -28,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +43,9 @@ from batchtally.plans.storage import write_and_read
 
 LEAST, LONGEST, SHOWN, COVER = 30, 4, 2000, 80
 SCALE = 2_000_000
-BLOCK = 1 << 20  # words a task works on at a time; longer texts are cut into blocks that overlap
-VOCABULARY = 1 << 20  # words after which a task starts a new numbering
+BLOCK = 1 << 19  # words a task works on at a time; longer texts are cut into blocks that overlap
+VOCABULARY = 1 << 18  # words after which a task starts a new numbering
+AT_ONCE = 1 << 16  # n-grams that are looked up or written out at a time
 SLOT_BYTES = 64 << 20  # of text for a slot
 LEAST_SLOTS = 64
 FILTER_BITS = 1 << 28  # of all slots
@@ -66,7 +68,7 @@ class Words(dict):
 
     def __init__(self):
         super().__init__({BREAK: 0, b"": -1})
-        self.words, self.hashes = [BREAK], [0]
+        self.words, self.hashes = [BREAK], array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.words)
@@ -89,7 +91,7 @@ class Block:
 
     def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """n, the places where an n-gram starts, and its hashes."""
-        hashes = np.array(self.words.hashes, dtype=np.uint64)[self.ids]
+        hashes = np.array(self.words.hashes, dtype=np.uint64)[self.ids]  # a copy: a view would forbid the array to grow
         seeds = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.names], dtype=np.uint64)
         h, ok = seeds[self.langs], self.own.copy()
         for n in range(1, LONGEST + 1):
@@ -158,24 +160,34 @@ def summaries(docs: DataFrame, slots: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            found = np.concatenate([h for _, _, h in block.grams()] or [np.zeros(0, dtype=np.uint64)])
-            h, n = np.unique(found, return_counts=True)
-            of = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
-            rest = (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
-            n = n.astype(np.uint32)
-            ends = np.searchsorted(of, np.arange(slots + 1))
-            rows: list[tuple] = []
-            for s in np.flatnonzero(np.diff(ends)):
-                low, high = ends[s], ends[s + 1]
-                rows.append((int(s), False, int(n[low:high].sum(dtype=np.int64)), b"", b""))
-                for at in range(low, high, ROW):
-                    to = min(at + ROW, high)
-                    rows.append((int(s), True, 0, rest[at:to].tobytes(), n[at:to].tobytes()))
-            for at in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096], strict=True), SUMMARY_TYPES, strict=True)],
-                    ["slot", "late", "mass", "hashes", "counts"],
-                )
+            for _, _, found in block.grams():  # equal n-grams have one n, so each n is summed up by itself
+                if len(found):
+                    yield from summary(found)
+
+    def summary(h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h.sort()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(first, append=len(h)).astype(np.uint32)
+        h = h[first]
+        of = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
+        rest = (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+        ends = np.searchsorted(of, np.arange(slots + 1))
+        rows: list[tuple] = []
+        for s in np.flatnonzero(np.diff(ends)):
+            low, high = ends[s], ends[s + 1]
+            rows.append((int(s), False, int(n[low:high].sum(dtype=np.int64)), b"", b""))
+            for at in range(low, high, ROW):
+                to = min(at + ROW, high)
+                rows.append((int(s), True, 0, rest[at:to].tobytes(), n[at:to].tobytes()))
+            if len(rows) >= 256:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SUMMARY_TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["slot", "late", "mass", "hashes", "counts"])
 
     return docs.select("lang", "text").mapInArrow(run, SUMMARY)
 
@@ -313,12 +325,14 @@ def survivor_counts(docs: DataFrame, passes: Callable[[np.ndarray], np.ndarray])
                 if n == 1:
                     of = np.bincount(block.langs[at], minlength=len(block.names))
                     yield _counts(block.names, 0, [b""] * len(of), of)
-                keep = passes(h)
+                keep = np.concatenate([passes(h[i : i + AT_ONCE]) for i in range(0, max(len(h), 1), AT_ONCE)])
                 if keep.any():
-                    place, count = _exact(block, n, at[keep], h[keep])
-                    words, ids = block.words.words, [block.ids[place + k].tolist() for k in range(n)]
-                    phrase = [b" ".join([words[i] for i in x]) for x in zip(*ids, strict=True)]
-                    yield _counts([block.names[i] for i in block.langs[place].tolist()], n, phrase, count)
+                    places, counts = _exact(block, n, at[keep], h[keep])
+                    for i in range(0, len(places), AT_ONCE):
+                        place, count = places[i : i + AT_ONCE], counts[i : i + AT_ONCE]
+                        words, ids = block.words.words, [block.ids[place + k].tolist() for k in range(n)]
+                        phrase = [b" ".join([words[i] for i in x]) for x in zip(*ids, strict=True)]
+                        yield _counts([block.names[i] for i in block.langs[place].tolist()], n, phrase, count)
 
     def _counts(langs, n, phrases, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -242,3 +243,24 @@ def test_settled_vectors_are_not_scanned():
     np.fill_diagonal(gains, -np.inf)
     found, _, _, scanned = centroids.settle(v, a, upper, lower, new, np.linalg.norm(n - o, axis=1), gains.max(axis=1), np.zeros(10))
     assert (found == centroids.squared(v, new).argmin(axis=1)).all() and scanned < 300
+
+
+class _Task:
+    """Stands for a table; gives the function a task runs."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_a_task_of_phrases_holds_little():
+    words = np.random.default_rng(1).integers(0, 30_000, 1_100_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(f"w{x}" for x in words)])], ["lang", "text"])
+    tracemalloc.start()
+    mass = sum(sum(b.column("mass").to_pylist()) for b in phrases.summaries(_Task(), 64)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert mass == 4 * len(words) - 6
+    assert peak < 150e6  # 239 MB with a million words at once and all n-grams together
