@@ -137,14 +137,16 @@ def _candidates(mask: int, equal_pairs: int, p: np.ndarray) -> list[float]:
     return [(equal_pairs + 1) * sum(by_distance[: t + 1]) for t in range(4)]
 
 
-def allocate(masks: list[int], n: int, equal_pairs: list[int], p: np.ndarray, distance: int = DISTANCE) -> tuple[float, list[int]]:
-    """Thresholds (-1: unused) that sum to distance - m + 1 at least cost, by dynamic programming over partitions."""
+def allocate(
+    masks: list[int], n: int, equal_pairs: list[int], p: np.ndarray, distance: int = DISTANCE, most: int | None = None
+) -> tuple[float, list[int]]:
+    """Thresholds (-1: unused; none above ``most``) that sum to distance - m + 1 at least cost, by dynamic programming over partitions."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for mask, pairs in zip(masks, equal_pairs, strict=True):
         width, found, step = bin(mask).count("1"), _candidates(mask, pairs, p), {}
         probes = np.cumsum([1, width, width * (width - 1) / 2, width * (width - 1) * (width - 2) / 6])
         for used, (cost, so_far) in best.items():
-            for t in range(-1, min(distance, len(found) - 1) + 1):
+            for t in range(-1, min(distance if most is None else most, len(found) - 1) + 1):
                 more = 0.0 if t < 0 else PROBE_COST * n * (1 + probes[t]) + CANDIDATE_COST * found[t]
                 if used + t not in step or cost + more < step[used + t][0]:
                     step[used + t] = (cost + more, [*so_far, t])

@@ -623,6 +623,52 @@ def test_near_copies_of_a_large_group_make_few_pairs(spark):
     assert {r.best for r in near_copies.near_groups(rows).collect()} == {0}
 
 
+def test_near_copies_that_are_no_links_make_few_pairs(spark):
+    """A large group of texts that are close in their words but not in their shingles leaves in the join; links stay."""
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in range(10, 120, 22):
+            words[at + rnd.randrange(6)] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    texts += [f"{t} end" for t in texts[:10]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    told = write_and_read(near_copies._described(rows, near_copies.SHINGLE), "described")
+    layouts = near_copies.layouts_of(told)
+    found = {tuple(r) for r in near_copies.candidates(told, layouts=layouts).collect()}
+    every = {tuple(r) for r in near_copies.candidates(told.select("s", "n", "hi", "lo"), layouts=layouts).collect()}
+    assert len(every) > 500 and found <= every and 10 <= len(found) < 100
+    sets = {r["s"]: set(near_copies.shingle_hashes(texts[r["key"]]).tolist()) for r in told.collect()}
+    links = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= near_copies.SIMILARITY * len(sets[a] | sets[b])}
+    assert len(links) == 10 and links <= found
+
+
+def test_odd_sketches_differ_in_no_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 5, 100, 3000):
+        a = np.unique(rng.integers(-(2**63), 2**63, n))
+        b = np.unique(np.concatenate([a[n // 7 :], rng.integers(-(2**63), 2**63, n // 9)]))
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(near_copies.odd_sketch(a), near_copies.odd_sketch(b), strict=True))
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (0 < len(np.setxor1d(a, b)))
+
+
+def test_probes_of_near_copies_are_made_where_they_may_meet(spark):
+    """No threshold above 1 in a large group, and hardly a row for fingerprints that are like no other."""
+    rng = np.random.default_rng(13)
+    lone = [(s, 100, *(int(x) for x in rng.integers(-(2**63), 2**63, 2))) for s in range(300)]
+    close = [(1000 + s, 100, 1 << s % 60, 3 << s // 60) for s in range(300)]
+    rows = lambda classes: spark.createDataFrame(classes, "s long, n long, hi long, lo long")
+    layouts = near_copies.layouts_of(rows(close))
+    assert all(t <= 1 for of in layouts for _, t in of) and all(sum(t for _, t in of) == near_copies.DISTANCE - 2 for of in layouts)
+    layouts = near_copies.layouts_of(rows(lone))
+    bitmaps = near_copies.held(rows(lone), layouts)
+    assert near_copies._keys(rows(lone), layouts, "own").count() == 6 * 300
+    for way in ("own", "probes", "met"):
+        assert near_copies._keys(rows(lone), layouts, way, bitmaps).count() < 2500
+
+
 def test_toxicity_fit_holds_few_copies_of_its_features():
     rng = np.random.default_rng(1)
     lists = [np.unique(rng.integers(0, toxicity.HASHED, 700)) for _ in range(4000)]
