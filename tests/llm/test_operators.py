@@ -655,18 +655,19 @@ def test_odd_sketches_differ_in_no_more_bits_than_sets_in_members():
 
 
 def test_probes_of_near_copies_are_made_where_they_may_meet(spark):
-    """No threshold above 1 in a large group, and hardly a row for fingerprints that are like no other."""
+    """Hardly a row for fingerprints that are like no other, also at high thresholds; these are bounded by the rows they make."""
     rng = np.random.default_rng(13)
     lone = [(s, 100, *(int(x) for x in rng.integers(-(2**63), 2**63, 2))) for s in range(300)]
-    close = [(1000 + s, 100, 1 << s % 60, 3 << s // 60) for s in range(300)]
-    rows = lambda classes: spark.createDataFrame(classes, "s long, n long, hi long, lo long")
-    layouts = near_copies.layouts_of(rows(close))
-    assert all(t <= 1 for of in layouts for _, t in of) and all(sum(t for _, t in of) == near_copies.DISTANCE - 2 for of in layouts)
-    layouts = near_copies.layouts_of(rows(lone))
-    bitmaps = near_copies.held(rows(lone), layouts)
-    assert near_copies._keys(rows(lone), layouts, "own").count() == 6 * 300
-    for way in ("own", "probes", "met"):
-        assert near_copies._keys(rows(lone), layouts, way, bitmaps).count() < 2500
+    close = spark.createDataFrame([(1 << s % 60 | 3 << s // 60,) for s in range(300)], "fp long")
+    high, low = near_copies.layout(close), near_copies.layout(close, rows=2)
+    assert max(t for _, t in high) > 1 and all(t <= 1 for _, t in low) and sum(t for _, t in low) == near_copies.DISTANCE - 2
+    classes = spark.createDataFrame(lone, "s long, n long, hi long, lo long")
+    for layouts in (near_copies.layouts_of(classes), [high, high]):
+        bitmaps = near_copies.held(classes, layouts)
+        flips = sum(len(simhash._flips(mask, t)) for of in layouts for mask, t in of)
+        assert near_copies._keys(classes, layouts, "own").count() == sum(map(len, layouts)) * 300
+        assert near_copies._keys(classes, layouts, "probes", bitmaps).count() < 300 * flips / 10
+        assert near_copies._keys(classes, layouts, "own", bitmaps).count() < 300
 
 
 def test_toxicity_fit_holds_few_copies_of_its_features():
