@@ -670,6 +670,66 @@ def test_probes_of_near_copies_are_made_where_they_may_meet(spark):
         assert near_copies._keys(classes, layouts, "own", bitmaps).count() < 300
 
 
+def test_near_copies_far_apart_in_words_are_found(spark):
+    """Two changed words in sixty leave a similarity of 0.806, and often more bits apart than probes are sure to find."""
+    rnd = random.Random(17)
+    texts = []
+    for k in range(80):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(60)]
+        at = rnd.randrange(5, 50)
+        texts += [" ".join(words), " ".join([*words[:at], f"new{k}", f"other{k}", *words[at + 2 :]])]
+    sets = [set(near_copies.shingle_hashes(t).tolist()) for t in texts]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.82 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    prints = [near_copies.fingerprints(t) for t in texts]
+    bits = [min(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(*two, strict=True)) for two in zip(prints[::2], prints[1::2], strict=True)]
+    assert sum(n > near_copies.DISTANCE for n in bits) > 10
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    assert {r["key"]: r["best"] for r in near_copies.near_groups(rows).collect()} == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_bands_of_near_copies():
+    """Equal bands are as frequent as the similarity says, and enough of them are taken."""
+    for similarity in (0.3, 0.5, 0.8, 0.95, 1.0):
+        n, size = near_copies.bands_for(similarity)
+        assert (1 - similarity**size) ** n <= near_copies.MISSED
+    assert near_copies.bands_for(near_copies.SIMILARITY) == (31, 4)
+    rng = np.random.default_rng(19)
+    a = np.unique(rng.integers(-(2**63), 2**63, 9000))
+    b = np.concatenate([a[900:], rng.integers(-(2**63), 2**63, 900)])
+    equal = np.mean(np.array(near_copies.bands(a, 3000, 1)) == np.array(near_copies.bands(b[::-1], 3000, 1)))
+    assert abs(equal - 8100 / 9900) < 0.04
+    assert near_copies.bands(np.zeros(0, dtype=np.int64), 5, 4) == near_copies.bands(np.zeros(0, dtype=np.int64), 5, 4)
+
+
+def test_bands_make_no_rows_by_chance_and_each_pair_once(spark):
+    """Texts like no other share no band; a large group is linked by stars, and the search is left with pairs of different roots."""
+    rnd = random.Random(23)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"l{rnd.randrange(5000)}" for _ in range(60)) for _ in range(300)]
+    for i in range(80):
+        words = list(base)
+        for at in rnd.sample(range(150), 2 + i % 4):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    told = write_and_read(near_copies._described(rows, near_copies.SHINGLE, near_copies.SIMILARITY), "described")
+    n, _ = near_copies.bands_for(near_copies.SIMILARITY)
+    shared = near_copies.shared_bands(told)
+    alone = {r["s"] for r in told.filter("key < 300").collect()}
+    assert not alone & {r["s"] for r in shared.collect()} and shared.count() <= 80 * n
+    sets = {r["s"]: set(near_copies.shingle_hashes(texts[r["key"]]).tolist()) for r in told.collect()}
+    links = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= near_copies.SIMILARITY * len(sets[a] | sets[b])}
+    every = [tuple(r) for r in near_copies.candidates(told, shared=shared).collect()]
+    assert len(every) == len(set(every)) and links <= set(every)
+    star = {tuple(r) for r in near_copies.stars(told, shared=shared).collect()}
+    assert star <= set(every) and len(star) < len(every) / 2
+    roots = told.withColumn("root", F.when(F.col("key") % 3 == 0, F.lit(1)).otherwise(F.col("s")))
+    root = {r["s"]: r["root"] for r in roots.collect()}
+    apart = [tuple(r) for r in near_copies.candidates(roots, shared=shared).collect()]
+    assert sorted(apart) == sorted((a, b) for a, b in every if root[a] != root[b])
+    assert near_copies.candidates(told.withColumn("root", F.lit(1)), shared=shared).count() == 0
+
+
 def test_toxicity_fit_holds_few_copies_of_its_features():
     rng = np.random.default_rng(1)
     lists = [np.unique(rng.integers(0, toxicity.HASHED, 700)) for _ in range(4000)]
